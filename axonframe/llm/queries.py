@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, substring, toxicity
+from . import decontaminate, quality, simhash, substring, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,9 @@ def op9_quality_classifier(spark, sf_dir):
     model = quality.fit(docs, labels.where(~quality.held_out(4, 2)))
     scored = quality.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", quality.held_out(4, 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op10_decontamination(spark, sf_dir):
+    found = decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("containment", 9).alias("containment"))
