@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, substring, toxicity
+from . import decontaminate, packing, quality, simhash, substring, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op9_quality_classifier(spark, sf_dir):
 def op10_decontamination(spark, sf_dir):
     found = decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("containment", 9).alias("containment"))
+
+
+@query()
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
