@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, substring, toxicity
+from . import covertree, decontaminate, packing, quality, simhash, substring, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op10_decontamination(spark, sf_dir):
 @query()
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_embedding_near_dedup(spark, sf_dir):
+    return covertree.near_duplicates(read(spark, sf_dir, "embeddings"))
