@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, packing, quality, simhash, substring, toxicity
+from . import covertree, decontaminate, html, packing, quality, simhash, substring, toxicity, urls
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,31 @@ def op2_best_fit_packing(spark, sf_dir):
 @query()
 def op3_embedding_near_dedup(spark, sf_dir):
     return covertree.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+SITES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+@query(r"""
+WITH u AS (SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+r AS (SELECT *, '.' || host AS h, CASE
+    WHEN suffix(h, '.example.org') AND prefix(path, '/en/1') THEN 'example.org/en/1'
+    WHEN suffix(h, '.example.org') AND prefix(path, '/es/') THEN 'example.org/es/'
+    WHEN suffix(h, '.com') AND prefix(path, '/fr/') THEN 'com/fr/'
+    WHEN suffix(h, '.com') AND prefix(path, '/de/') THEN 'com/de/'
+    WHEN suffix(h, '.org') AND prefix(path, '/') THEN 'org/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host || path, '^[^/]*(^|[.-])(casino|bets|spam|adult|porn|ads-track|malware|phishing)([.-]|/|$)') THEN 'block'
+    ELSE 'allow' END AS verdict FROM r
+""")
+def op5_url_filters(spark, sf_dir):
+    rules = [urls.site_rule(*s) for s in SITES] + [urls.pattern_rule("block", *p) for p in urls.PATTERNS]
+    return urls.judge(read(spark, sf_dir, "pages"), urls.rule_table(spark, rules)).drop("pattern")
+
+
+@query()
+def op6_html_extraction(spark, sf_dir):
+    return html.extract(read(spark, sf_dir, "pages"))
