@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, html, packing, quality, simhash, substring, toxicity, urls
+from . import covertree, decontaminate, html, licenses, packing, quality, simhash, substring, toxicity, urls
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op5_url_filters(spark, sf_dir):
 @query()
 def op6_html_extraction(spark, sf_dir):
     return html.extract(read(spark, sf_dir, "pages"))
+
+
+@query(licenses.oracle_sql())
+def op8_license_scan(spark, sf_dir):
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
+    return licenses.scan(read(spark, sf_dir, "documents"), templates).withColumn("containment", F.round("containment", 9))
