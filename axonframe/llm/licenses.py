@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Chance at most that a window holding enough of a template shares no band with it.
@@ -109,13 +111,11 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) ->
     every = sorted({h for r in rows for h in r.of})
     # each shingle of a template has its longest word, so a document without any of these holds no shingle
     needed = sorted({max(r.w[i : i + SHINGLE], key=lambda w: (len(w), w)) for r in rows for i in range(r.n - SHINGLE + 1)})
-    held = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.coalesce("text", F.lit(""))).alias("w"))
-        .where(F.arrays_overlap("w", F.array(*map(F.lit, needed))))
-        .select("doc_id", "text_hash", shingles_of(F.col("w")).alias("h"))
-        .where(F.exists("h", lambda h: h.isin(every)))
-    )
+    # stored, so that words and shingles are made once and not again for each use
+    text = F.coalesce("text", F.lit(""))
+    kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.arrays_overlap(words_of(text), F.array(*map(F.lit, needed))))
+    kept = stored(kept.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(text).alias("w")), "words")
+    held = stored(kept.select("doc_id", "text_hash", shingles_of(F.col("w")).alias("h")), "shingles").where(F.exists("h", lambda h: h.isin(every)))
 
     def matches(size: Size) -> DataFrame:
         each = F.sequence(F.lit(0), F.size("h") - 1, F.lit(size.stride))
