@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,20 +48,18 @@ def doc_key() -> list:
     return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")]
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of ``batch`` whose texts hold about ``most_bytes``, at least a row
-    each, with the texts as UTF-8 bytes (None for null)."""
-    texts = batch.column(column)
-    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
-    sizes = np.cumsum(np.nan_to_num(np.asarray(texts.cast(pa.large_binary()).fill_null(b"").to_pandas().str.len(), dtype=float)))
+def slices_of(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts hold about ``most_bytes``, at least a row each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
-    while start < len(texts):
-        base = sizes[start - 1] if start else 0.0
+    while start < len(batch):
+        base = sizes[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(sizes, base + most_bytes, side="right")))
-        yield batch.slice(start, end - start), texts.slice(start, end - start).cast(pa.large_binary()).to_pylist()
+        yield batch.slice(start, end - start)
         start = end
 
 
+
 class Forest:
     """Union-find over 0..n-1 that takes whole arrays of pairs."""
 

@@ -17,6 +17,8 @@ THRESHOLD = 0.93
 BLOCK = 4096
 #: A node of at most so many points has no children: its points are compared as they are.
 LEAF = 48
+#: Pairs of points that two nodes hold at most to be compared as they are: one product of matrices is quicker than going on.
+DIRECT = 1 << 16
 #: Distances are widened by this against rounding when node pairs are pruned.
 SLACK = 1e-9
 
@@ -91,7 +93,7 @@ def linked(a: CoverTree, b: CoverTree, threshold: float):
     todo = [(a.root, b.root)]
     while todo:
         p, q = todo.pop()
-        if not p.children and not q.children or min(len(p.points), len(q.points)) == 1 or len(p.points) * len(q.points) <= LEAF * LEAF:
+        if not p.children and not q.children or min(len(p.points), len(q.points)) == 1 or len(p.points) * len(q.points) <= DIRECT:
             step = max(1, (1 << 20) // len(q.points))
             for at in range(0, len(p.points), step):
                 i, j = np.nonzero(a.x[p.points[at : at + step]] @ b.x[q.points].T >= threshold)

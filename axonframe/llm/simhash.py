@@ -114,62 +114,98 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(fp: np.ndarray, other: np.ndarray | None, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of fingerprints that hold the links within ``fp``, or between it and ``other``, together."""
-    every = fp if other is None else np.concatenate([fp, other])
-    forest, right = Forest(len(every)), 0 if other is None else len(fp)
-    b = fp if other is None else other
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for at in range(0, len(fp), step):
-        i, j = np.nonzero(np.bitwise_count(fp[at : at + step, None] ^ b[None, :]) <= bits)
-        forest.join(i + at, j + right)
+def _near(a: list[np.ndarray], b: list[np.ndarray], bits: int) -> np.ndarray:
+    return sum(np.bitwise_count(x[:, None] ^ y[None, :]).astype(np.int16) for x, y in zip(a, b)) <= bits
+
+
+def _forest(node: np.ndarray, words: list[np.ndarray], n: int, bits: int, also) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes that hold the links together: among all if ``n`` is 0, else between the first ``n`` and the others.
+
+    ``words`` are the parts of the fingerprints; ``also`` takes two lists of parts
+    and tells which pairs that are near enough count.
+    """
+    forest = Forest(len(node))
+    right, left = [w[n:] for w in words], [w[: n or len(node)] for w in words]
+    step = max(1, (1 << 20) // max(1, len(right[0])))
+    for at in range(0, len(left[0]), step):
+        i, j = np.nonzero(_near([w[at : at + step] for w in left], right, bits))
+        i, j = i + at, j + n
+        apart = node[i] != node[j]
+        i, j = i[apart], j[apart]
+        if also is not None and len(i):
+            yes = also([w[i] for w in words], [w[j] for w in words])
+            i, j = i[yes], j[yes]
+        forest.join(i, j)
     root = forest.all_roots()
     own = np.flatnonzero(root != np.arange(len(root)))
     if len(own):
-        yield every[own], every[root[own]]
+        yield node[own], node[root[own]]
 
 
-def _compare(bits: int):
+def _compare(bits: int, names: tuple[str, ...], also=None):
+    """Rows in order of key, left, right and side to edges within each group; ``names``: the node and the words of its fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[np.ndarray] = []
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "left", "right", "side", "fp")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "left", "right", "side", *names)]
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)] if held else cols
             group = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
             done = group[-1] if len(group) else 0
-            yield from _groups([c[:done] for c in cols], bits)
+            yield from _groups([c[:done] for c in cols], bits, also)
             held = [c[done:] for c in cols]
         if held:
-            yield from _groups(held, bits)
+            yield from _groups(held, bits, also)
 
     return run
 
 
-def _groups(cols: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key, left, right, side: links within each group."""
-    key, left, right, side, fp = cols
+def _groups(cols: list[np.ndarray], bits: int, also) -> Iterator[pa.RecordBatch]:
+    key, left, right, side, node = cols[:5]
+    words = [c.view(np.uint64) for c in cols[5:]]
     if not len(key):
         return
     bounds = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1, [len(key)]])
-    sizes = np.diff(bounds)
     out_a, out_b = [], []
-    two = bounds[:-1][(sizes == 2)]
-    two = two[(left[two] == right[two])]
-    near = np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= bits
-    out_a.append(fp[two[near]])
-    out_b.append(fp[two[near] + 1])
-    for at, n in zip(bounds[:-1][sizes > 1], sizes[sizes > 1]):
-        x, s = fp[at : at + n].view(np.uint64), side[at : at + n]
-        if left[at] == right[at]:
-            pairs = _forest(x, None, bits) if n > 2 else ()
-        else:
-            pairs = _forest(x[s == 0], x[s == 1], bits)
-        for a, b in pairs:
-            out_a.append(a.view(np.int64))
-            out_b.append(b.view(np.int64))
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    for at, n in zip(bounds[:-1], np.diff(bounds)):
+        if n > 1:
+            here = slice(at, at + n)
+            first = 0 if left[at] == right[at] else int((side[here] == 0).sum())
+            if first == n:
+                continue
+            for a, b in _forest(node[here], [w[here] for w in words], first, bits, also):
+                out_a.append(a)
+                out_b.append(b)
+    if out_a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+
+def _dealt(keyed: DataFrame, names: tuple[str, ...], hot: DataFrame) -> DataFrame:
+    """Rows of (key, *names) with the pair of blocks that they are compared in; only keys of ``hot`` (key, blocks) have more than one."""
+    none = F.lit(0).cast("int")
+    if not hot.head(1):
+        return keyed.select("key", none.alias("left"), none.alias("right"), none.alias("side"), *names)
+    at = F.pmod(F.xxhash64(names[0]), F.col("blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")),
+        lambda k: F.struct(F.least(k, F.col("at")).alias("left"), F.greatest(k, F.col("at")).alias("right"), F.when(F.col("at") > k, 1).otherwise(0).alias("side")),
+    )
+    alone = F.array(F.struct(none.alias("left"), none.alias("right"), none.alias("side")))
+    return (
+        keyed.join(hot, "key", "left")
+        .withColumn("at", at)
+        .select("key", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("p"), *names)
+        .select("key", "p.left", "p.right", "p.side", *names)
+    )
+
+
+def _hot(keyed: DataFrame, block: int) -> DataFrame:
+    return stored(keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks")), "hot-keys")
+
+
+def _edges(dealt: DataFrame, bits: int, names: tuple[str, ...], also=None) -> DataFrame:
+    ordered = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side")
+    return ordered.mapInArrow(_compare(bits, names, also), "a long, b long")
 
 
 def near_links(distinct: DataFrame, bits: int = 2, block: int = BLOCK) -> DataFrame:
@@ -191,25 +227,9 @@ def near_links(distinct: DataFrame, bits: int = 2, block: int = BLOCK) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
 
     keyed = distinct.select("fp").mapInArrow(explode, "key long, fp long")
-    hot = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks"))
-    hot = stored(hot, "hot-keys")
-    none = F.lit(0).cast("int")
-    if not hot.head(1):
-        dealt = keyed.select("key", none.alias("left"), none.alias("right"), none.alias("side"), "fp")
-    else:
-        at = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        pairs = F.transform(
-            F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")),
-            lambda k: F.struct(F.least(k, F.col("at")).alias("left"), F.greatest(k, F.col("at")).alias("right"), F.when(F.col("at") > k, 1).otherwise(0).alias("side")),
-        )
-        alone = F.array(F.struct(none.alias("left"), none.alias("right"), none.alias("side")))
-        dealt = (
-            keyed.join(hot, "key", "left")
-            .withColumn("at", at)
-            .select("key", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("p"), "fp")
-            .select("key", "p.left", "p.right", "p.side", "fp")
-        )
-    return dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side").mapInArrow(_compare(bits), "a long, b long")
+    names = ("node", "fp")
+    keyed = keyed.withColumn("node", F.col("fp"))
+    return _edges(_dealt(keyed, names, _hot(keyed, block)), bits, names)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import slices_of
 
 WINDOW = 35
 GRAM = 8
@@ -88,8 +88,8 @@ def _cut_windows(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in batches_of(batch, "text", CHUNK_BYTES):
-                words = [(t or b"").split() for t in texts]
+            for part in slices_of(batch, "text", CHUNK_BYTES):
+                words = [(t or b"").split() for t in part.column("text").cast(pa.large_binary()).to_pylist()]
                 sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
                 if not (sizes >= window).any():
                     continue
@@ -241,21 +241,23 @@ def _cut_batch(batch: pa.RecordBatch, expand: zstandard.ZstdDecompressor, joined
     return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False, extra: list[str] = ()) -> DataFrame:
     """``docs`` (doc_id, text) without the words that repeated windows cover.
 
-    Returns doc_id, text, n_words and n_removed, one row per row of ``docs``. A text
-    of which nothing goes is returned as it is unless ``joined``; else the words kept are joined by
-    one space. A window is ``window`` consecutive words of one document; it counts
-    as repeated if its words also start at any other place of any document, as
-    ``docs`` stands. A null text has no words and stays null; rows that repeat are
-    documents of their own, so their windows repeat; ids may be null or shared;
-    texts shorter than a window lose nothing; other columns are ignored; an empty
-    table gives an empty table.
+    Returns doc_id, text, the columns named in ``extra`` as they are, n_words and
+    n_removed, one row per row of ``docs``. A text of which nothing goes is returned
+    as it is unless ``joined``; else the words kept are joined by one space. A window
+    is ``window`` consecutive words of one document; it counts as repeated if its
+    words also start at any other place of any document, as ``docs`` stands. A null
+    text has no words and stays null; rows that repeat are documents of their own,
+    so their windows repeat; ids may be null or shared; texts shorter than a window
+    lose nothing; columns not named are dropped; an empty table gives an empty table.
     """
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_hash", F.xxhash64("text"))
+    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*extra, F.lit(0).alias("_")).alias("extra")).withColumn("text_hash", F.xxhash64("text"))
     spans = repeated_spans(named, window).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("removed_spans"))
-    packed = named.mapInArrow(_pack, "doc_id long, text binary, text_hash long")
+    packed = named.mapInArrow(_pack, named.withColumn("text", F.col("text").cast("binary")).schema)
     both = packed.alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.text_hash = s.text_hash"), "left")
-    out = both.select("d.doc_id", "d.text", "s.removed_spans").mapInArrow(_cut(joined), "doc_id long, text string, n_words long, n_removed long")
-    return out
+    both = both.select("d.doc_id", "d.text", "d.extra", "s.removed_spans")
+    schema = named.select("doc_id", "text", "extra", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")).schema
+    out = both.mapInArrow(_cut(joined), schema)
+    return out.select("doc_id", "text", *[F.col("extra")[c].alias(c) for c in extra], "n_words", "n_removed")

@@ -1,13 +1,72 @@
-"""A pipeline over documents: stages that each apply one operator of axonframe.llm."""
+"""A pipeline over documents: stages that each apply one operator of axonframe.llm.
+
+Every stage takes (spark, docs, sf_dir) and works on all documents that the stage
+before it kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from axonframe.llm import copies, decontaminate, packing, quality, substring
+from axonframe.llm.common import read, stored
+
+#: Documents that score lower are rejected.
+LEAST_QUALITY = 0.7
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier does not reject.
+
+    Labels of documents whose crc32 of the id, mod 4, is 2 stay unseen, as in the query.
+    """
+    labels = read(spark, sf_dir, "labels").where(~quality.held_out(4, 2))
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, by five-word shingles at 0.8."""
+    return copies.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that repeated windows cover; n_chars follows. No document goes."""
+    cut = substring.remove_repeats(docs, extra=[c for c in docs.columns if c not in ("doc_id", "text")])
+    out = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.find_items(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct()
+    found = stored(found.withColumn("known", F.lit(True)), "contaminated")
+    named = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    clean = named.alias("d").join(copies._sized(found, 24).alias("f"), F.expr("d.text_hash = f.text_hash and cast(d.doc_id as long) <=> f.doc_id"), "left_anti")
+    return clean.select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Fingerprints, a fitted model and a genetic algorithm are beyond SQL: tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each result written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
