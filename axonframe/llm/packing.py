@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import os
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -10,10 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices_of, stored
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -25,8 +29,10 @@ GENERATIONS = 8
 EPOCHS = 2
 #: A bin at least this full is settled; the others of all shards are packed once more together.
 SETTLED = 0.98
-#: Words whose ids a worker keeps at hand.
-CACHED_WORDS = 300_000
+#: Parts of words whose ids a worker keeps at hand.
+CACHED_PARTS = 1_000_000
+#: Text that is tokenized at once.
+CHUNK_BYTES = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -35,37 +41,59 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_cache: dict[str, tuple] = {}
+#: A word that is letters and then punctuation: its tokens are those of the two parts,
+#: and those of the letters do not depend on their case. Other words are encoded whole.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_state: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer and the words met so far with their ids, one for each worker."""
-    if path not in _cache:
+    """The tokenizer and the ids of the parts of words met so far, one for each worker."""
+    if path not in _state:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _cache[path] = Tokenizer.from_file(path), {}
-    return _cache[path]
+        _state[path] = Tokenizer.from_file(path), {}
+    return _state[path]
 
 
-def token_bytes(texts: list[bytes | None], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian 32-bit words.
-
-    The tokenizer never joins across white space, so words are encoded once each.
-    """
+def _word_ids(words: list[str], path: str) -> list[bytes]:
+    """Ids of each word as little-endian 32-bit numbers."""
     tokenizer, known = _tokenizer(path)
-    for text in texts:
-        words = (text or b"").split()
-        fresh = [w for w in set(words) if w not in known]
-        if fresh:
-            if len(known) + len(fresh) > CACHED_WORDS:
-                known.clear()
-                fresh = list(set(words))
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        yield b"".join(map(known.__getitem__, words))
+    letters, rest = [], []
+    for w in words:
+        m = _PLAIN.fullmatch(w)
+        letters.append(m[1].lower() if m else w)
+        rest.append(m[2] if m else "")
+    fresh = [p for p in {*letters, *rest} if p not in known]
+    if len(known) + len(fresh) > CACHED_PARTS:
+        known.clear()
+        fresh = list({*letters, *rest})
+    for at in range(0, len(fresh), 20_000):
+        some = fresh[at : at + 20_000]
+        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            known[p] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
+    get = known.__getitem__
+    return list(map(operator.add, map(get, letters), map(get, rest)))
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and where each text's ids start and end.
+
+    The tokenizer never joins across white space, so each distinct word is encoded
+    once and its ids are put wherever the word stands.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = lists.flatten().dictionary_encode()
+    at = coded.indices.to_numpy()
+    made = _word_ids(coded.dictionary.to_pylist(), path)
+    table = np.frombuffer(b"".join(made), dtype="<u4")
+    lengths = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return table[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], ends[offsets]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -76,17 +104,18 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([SEPARATOR], dtype="<u4").tobytes()
         for batch in batches:
-            rows, piece, length, crc = [], [], [], []
-            texts = (t.as_py() for t in batch.column("text").cast(pa.large_binary()))
-            for i, ids in enumerate(token_bytes(texts, path)):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append(i), piece.append(k), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-            piece = np.array(piece, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names
-            )
+            for part in slices_of(batch, "text", CHUNK_BYTES):
+                rows, piece, length, crc = [], [], [], []
+                flat, bounds = token_ids(part.column("text").cast(pa.large_string()), path)
+                for i in range(len(part)):
+                    ids = flat[bounds[i] : bounds[i + 1]].tobytes() + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        some = ids[at : at + 4 * capacity]
+                        rows.append(i), piece.append(k), length.append(len(some) // 4), crc.append(zlib.crc32(some))
+                numbers = np.array(piece, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers), pa.array(numbers.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names
+                )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
