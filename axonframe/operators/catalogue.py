@@ -2,46 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from .registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+for _name in ("events", "graph", "planes", "features", "models"):
+    importlib.import_module(f"{__package__}.queries_{_name}")
 
-
-def query(sql: str | None = None):
-    """Register a function of (spark, sf_dir) under its own name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as spikes: neuron, time in microseconds, event id."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return ev.select(F.col("user_id").alias("neuron"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), "event_id", "event_type", "value")
-
-
-@query("""
-WITH s AS (SELECT user_id AS neuron, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)) / 1e6 AS isi FROM events)
-SELECT neuron, count(*) AS n_intervals, round(avg(isi), 6) AS mean_isi,
-       round(CASE WHEN count(*) > 1 AND avg(isi) > 0 THEN stddev_samp(isi) / avg(isi) END, 6) AS cv
-FROM s WHERE isi IS NOT NULL GROUP BY neuron
-""")
-def interval_cv(spark, sf_dir):
-    """Mean and coefficient of variation of each neuron's inter-event intervals."""
-    w = W.partitionBy("neuron").orderBy("t_us", "event_id")
-    isi = spikes(spark, sf_dir).select("neuron", ((F.col("t_us") - F.lag("t_us").over(w)) / 1e6).alias("isi")).where("isi is not null")
-    return isi.groupBy("neuron").agg(
-        F.count("*").alias("n_intervals"),
-        F.round(F.avg("isi"), 6).alias("mean_isi"),
-        F.round(F.when((F.count("*") > 1) & (F.avg("isi") > 0), F.stddev_samp("isi") / F.avg("isi")), 6).alias("cv"),
-    )
+__all__ = ["ORACLE_SQL", "QUERIES"]
