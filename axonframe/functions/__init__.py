@@ -1 +1 @@
-
+"""Scalar functions: units, ticks and the expression language."""

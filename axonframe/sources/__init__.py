@@ -1 +1 @@
-
+"""Readers and writers: models, frame files, event files."""

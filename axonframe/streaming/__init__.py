@@ -1 +1 @@
-
+"""Stateful runs: networks tick by tick, replicates, streams."""
