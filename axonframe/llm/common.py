@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -60,6 +61,19 @@ def slices_of(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) ->
 
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def tidy() -> None:
+    """Give memory that is free but held back to the system: workers live on after a task, beside others on the same executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 class Forest:
     """Union-find over 0..n-1 that takes whole arrays of pairs."""
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, stored
+from .common import Forest, slices_of, stored, tidy
 from .components import connected_components
 from .simhash import BLOCK, _dealt, _edges, _hot, _majority, fuzzy_keys
 from .substring import rolling
@@ -69,6 +69,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo.append(a), hi.append(b)
         made = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, lo, hi)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rk1", "rk2")), *made], ["doc_id", "rk1", "rk2", "node", "lo", "hi"])
+    tidy()
 
 
 def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +100,18 @@ def _second_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(node[at[r]]), pa.array(lo[at[r]]), pa.array(hi[at[r]])], ["key", "node", "lo", "hi"])
 
 
-def _two_shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Of pairs of fingerprints those with two segments that share a codeword number."""
-    shared = np.zeros(len(a[0]), dtype=np.int8)
-    for x, y in zip(_segments(*a), _segments(*b)):
-        shared += (fuzzy_keys(x)[:, :, None] == fuzzy_keys(y)[:, None, :]).any(axis=(1, 2))
-    return shared >= 2
+def _two_shared(words: list[np.ndarray]):
+    """A test of pairs of places: whether two segments of their fingerprints share a codeword number each."""
+    keys = [fuzzy_keys(s) for s in _segments(*words)]
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared = np.zeros(len(a), dtype=np.int8)
+        for k in keys:
+            x, y = k[a], k[b]
+            shared += np.any([x[:, c, None] == y for c in range(6)], axis=(0, 2))
+        return shared >= 2
+
+    return test
 
 
 def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -129,9 +136,11 @@ def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(words_of(t.as_py())).view(np.int64) for t in batch.column("text").cast(pa.large_binary())]
-        column = pa.array(sets, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cid")), column], ["node", "cid", "shingles"])
+        for part in slices_of(batch, "text", 2 << 20):
+            sets = [shingle_set(words_of(t.as_py())).view(np.int64) for t in part.column("text").cast(pa.large_binary())]
+            column = pa.array(sets, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "cid")), column], ["node", "cid", "shingles"])
+    tidy()
 
 
 def _pairs(similarity: float):
@@ -159,10 +168,12 @@ def _pairs(similarity: float):
         if frame["left"].iloc[0] != frame["right"].iloc[0]:
             near &= side[:, None] != side[None, :]
         i, j = np.nonzero(np.triu(near, 1))
-        forest = Forest(len(sets))
+        forest = Forest(len(node))
         forest.join(i, j)
         root = forest.all_roots()
         own = np.flatnonzero(root != np.arange(len(root)))
+        del sets, flat, owner, code, times, keep, shared, near
+        tidy()
         return pd.DataFrame({"a": node[own], "b": node[root[own]]})
 
     return run

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, stored
+from .common import Forest, stored, tidy
 from .components import connected_components
 
 #: Bit positions (first, count) of the three segments of a fingerprint.
@@ -121,21 +121,26 @@ def _near(a: list[np.ndarray], b: list[np.ndarray], bits: int) -> np.ndarray:
 def _forest(node: np.ndarray, words: list[np.ndarray], n: int, bits: int, also) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of nodes that hold the links together: among all if ``n`` is 0, else between the first ``n`` and the others.
 
-    ``words`` are the parts of the fingerprints; ``also`` takes two lists of parts
-    and tells which pairs that are near enough count.
+    ``words`` are the parts of the fingerprints. ``also`` makes of them a test that
+    near pairs of places have to pass; those joined already are not tested.
     """
     forest = Forest(len(node))
+    test = also(words) if also else None
     right, left = [w[n:] for w in words], [w[: n or len(node)] for w in words]
-    step = max(1, (1 << 20) // max(1, len(right[0])))
+    step = max(1, (1 << 18) // max(1, len(right[0])))
     for at in range(0, len(left[0]), step):
         i, j = np.nonzero(_near([w[at : at + step] for w in left], right, bits))
         i, j = i + at, j + n
         apart = node[i] != node[j]
         i, j = i[apart], j[apart]
-        if also is not None and len(i):
-            yes = also([w[i] for w in words], [w[j] for w in words])
-            i, j = i[yes], j[yes]
-        forest.join(i, j)
+        for some in range(0, len(i), 1 << 15):
+            a, b = i[some : some + (1 << 15)], j[some : some + (1 << 15)]
+            if test is not None:
+                apart = forest.roots(a) != forest.roots(b)
+                a, b = a[apart], b[apart]
+                yes = test(a, b)
+                a, b = a[yes], b[yes]
+            forest.join(a, b)
     root = forest.all_roots()
     own = np.flatnonzero(root != np.arange(len(root)))
     if len(own):
@@ -156,6 +161,7 @@ def _compare(bits: int, names: tuple[str, ...], also=None):
             held = [c[done:] for c in cols]
         if held:
             yield from _groups(held, bits, also)
+        tidy()
 
     return run
 

@@ -18,14 +18,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices_of
+from .common import slices_of, tidy
 
 WINDOW = 35
 GRAM = 8
 #: Base of the polynomial modulo 2**64, odd, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -122,6 +122,8 @@ def _cut_windows(window: int, gram: int):
                 lo, hi = _runs(again, doc)
                 if len(lo):
                     yield _emit(_mix(wh[lo]), doc[lo], pos[lo], hi - lo + 1, None, None, ids, hashes)
+                del h, grams, whole, doc, at, anchor, wh, pos, inverse, again
+                tidy()
 
     return run
 
@@ -206,7 +208,9 @@ def _cut(joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            yield _cut_batch(batch, expand, joined)
+            for part in slices_of(batch, "text", CHUNK_BYTES):
+                yield _cut_batch(part, expand, joined)
+                tidy()
 
     return run
 
