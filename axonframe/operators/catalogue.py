@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE_SQL, QUERIES
 
-for _name in ("events", "graph", "planes", "features", "models"):
+for _name in ("events", "graph", "planes", "features", "models", "more"):
     importlib.import_module(f"{__package__}.queries_{_name}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
