@@ -12,43 +12,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "boilerplate_part", "article_part", "heading")
+FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "boilerplate_part", "article_part", "heading", "beside_article")
 #: Labelled blocks that the tree is trained on: the features in order, then 1 for main text.
 LABELLED = (
     # menus, headers, footers, sidebars: in a part that is marked as such
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 1, 0, 0, 0), (6, 1.0, 4, 1.0, 12, 0.0, 1, 0, 0, 0),
-    (8, 0.0, 2, 1.0, 10, 0.0, 1, 0, 0, 0), (14, 0.1, 40, 0.0, 0, 0.0, 1, 0, 0, 0), (25, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (60, 0.0, 90, 0.0, 20, 0.2, 1, 0, 0, 0), (120, 0.0, 200, 0.0, 6, 0.0, 1, 0, 0, 0), (3, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 1, 0, 0, 0, 0), (6, 1.0, 4, 1.0, 12, 0.0, 1, 0, 0, 0, 0),
+    (8, 0.0, 2, 1.0, 10, 0.0, 1, 0, 0, 0, 0), (14, 0.1, 40, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (25, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 0, 0),
+    (60, 0.0, 90, 0.0, 20, 0.2, 1, 0, 0, 0, 0), (120, 0.0, 200, 0.0, 6, 0.0, 1, 0, 0, 0, 0), (3, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0, 0),
     # the same inside an article: reader comments, adverts, forms
-    (9, 0.0, 70, 0.0, 30, 0.0, 1, 1, 0, 0), (45, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0), (2, 0.5, 45, 0.0, 45, 0.0, 1, 1, 0, 0),
-    (150, 0.0, 10, 0.0, 150, 0.0, 1, 1, 0, 0), (4, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0), (3, 1.0, 20, 0.0, 3, 1.0, 1, 1, 0, 0),
+    (9, 0.0, 70, 0.0, 30, 0.0, 1, 1, 0, 0, 0), (45, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0, 0), (2, 0.5, 45, 0.0, 45, 0.0, 1, 1, 0, 0, 0),
+    (150, 0.0, 10, 0.0, 150, 0.0, 1, 1, 0, 0, 0), (4, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0, 0), (3, 1.0, 20, 0.0, 3, 1.0, 1, 1, 0, 0, 0),
     # article text, headings and short paragraphs among it
-    (8, 0.0, 3, 1.0, 90, 0.0, 0, 1, 1, 1), (90, 0.0, 8, 0.0, 45, 0.0, 0, 1, 0, 1), (45, 0.1, 90, 0.0, 3, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 45, 0.0, 60, 0.0, 0, 1, 0, 1), (1, 0.0, 30, 0.0, 12, 0.1, 0, 1, 0, 1), (3, 0.0, 2, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (300, 0.0, 20, 0.0, 20, 0.0, 0, 1, 0, 1), (20, 0.3, 60, 0.0, 60, 0.0, 0, 1, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (12, 0.0, 9, 0.0, 14, 0.1, 0, 1, 0, 1), (7, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 1), (4, 1.0, 80, 0.0, 70, 0.0, 0, 1, 0, 1),
-    (6, 0.0, 50, 0.0, 4, 1.0, 0, 1, 0, 1), (2, 1.0, 6, 0.0, 2, 1.0, 0, 1, 0, 1), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 1),
-    (3, 0.0, 40, 0.0, 1, 1.0, 0, 1, 1, 1), (70, 0.0, 2, 1.0, 1, 1.0, 0, 1, 0, 1), (9, 0.6, 5, 0.8, 8, 0.7, 0, 1, 0, 1),
-    (1, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 1), (4, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 1), (35, 0.5, 1, 1.0, 2, 1.0, 0, 1, 0, 1),
+    (8, 0.0, 3, 1.0, 90, 0.0, 0, 1, 1, 0, 1), (90, 0.0, 8, 0.0, 45, 0.0, 0, 1, 0, 0, 1), (45, 0.1, 90, 0.0, 3, 0.0, 0, 1, 0, 0, 1),
+    (2, 0.0, 45, 0.0, 60, 0.0, 0, 1, 0, 0, 1), (1, 0.0, 30, 0.0, 12, 0.1, 0, 1, 0, 0, 1), (3, 0.0, 2, 0.0, 1, 0.0, 0, 1, 0, 0, 1),
+    (300, 0.0, 20, 0.0, 20, 0.0, 0, 1, 0, 0, 1), (20, 0.3, 60, 0.0, 60, 0.0, 0, 1, 0, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1),
+    (12, 0.0, 9, 0.0, 14, 0.1, 0, 1, 0, 0, 1), (7, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (4, 1.0, 80, 0.0, 70, 0.0, 0, 1, 0, 0, 1),
+    (6, 0.0, 50, 0.0, 4, 1.0, 0, 1, 0, 0, 1), (2, 1.0, 6, 0.0, 2, 1.0, 0, 1, 0, 0, 1), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0, 1),
+    (3, 0.0, 40, 0.0, 1, 1.0, 0, 1, 1, 0, 1), (70, 0.0, 2, 1.0, 1, 1.0, 0, 1, 0, 0, 1), (9, 0.6, 5, 0.8, 8, 0.7, 0, 1, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (4, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 0, 1), (35, 0.5, 1, 1.0, 2, 1.0, 0, 1, 0, 0, 1),
     # pages whose parts are not marked: long text with few links, whatever stands beside it
-    (80, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1), (40, 0.1, 80, 0.0, 30, 0.0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 1),
-    (60, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 1), (30, 0.0, 2, 0.0, 3, 1.0, 0, 0, 0, 1), (100, 0.0, 1, 0.0, 4, 0.0, 0, 0, 0, 1),
-    (160, 0.0, 4, 0.0, 6, 0.2, 0, 0, 0, 1), (22, 0.0, 5, 0.0, 25, 0.0, 0, 0, 0, 1), (26, 0.0, 3, 1.0, 1, 1.0, 0, 0, 0, 1),
-    (50, 0.2, 8, 0.0, 0, 0.0, 0, 0, 0, 1), (20, 0.0, 40, 0.0, 2, 0.0, 0, 0, 0, 1), (24, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (45, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1), (200, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 1), (33, 0.25, 12, 0.0, 5, 0.0, 0, 0, 0, 1),
+    (80, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (40, 0.1, 80, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 0, 1),
+    (60, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 2, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (100, 0.0, 1, 0.0, 4, 0.0, 0, 0, 0, 0, 1),
+    (160, 0.0, 4, 0.0, 6, 0.2, 0, 0, 0, 0, 1), (22, 0.0, 5, 0.0, 25, 0.0, 0, 0, 0, 0, 1), (26, 0.0, 3, 1.0, 1, 1.0, 0, 0, 0, 0, 1),
+    (50, 0.2, 8, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 40, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (24, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (45, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (200, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (33, 0.25, 12, 0.0, 5, 0.0, 0, 0, 0, 0, 1),
     # short text there: kept between long text, and as the heading of long text
-    (6, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1), (2, 0.0, 60, 0.0, 30, 0.0, 0, 0, 0, 1), (9, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0, 1),
-    (1, 0.0, 25, 0.0, 100, 0.0, 0, 0, 0, 1), (12, 0.2, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (3, 0.0, 22, 0.0, 24, 0.0, 0, 0, 0, 1),
-    (5, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1, 1), (3, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1, 1), (4, 0.0, 0, 0.0, 25, 0.0, 0, 0, 1, 1),
-    (7, 0.0, 5, 0.8, 30, 0.0, 0, 0, 1, 1), (6, 0.0, 3, 0.0, 22, 0.0, 0, 0, 1, 1), (2, 0.0, 30, 0.0, 90, 0.0, 0, 0, 1, 1),
+    (6, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0, 0, 1),
+    (1, 0.0, 25, 0.0, 100, 0.0, 0, 0, 0, 0, 1), (12, 0.2, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 22, 0.0, 24, 0.0, 0, 0, 0, 0, 1),
+    (5, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1, 0, 1), (4, 0.0, 0, 0.0, 25, 0.0, 0, 0, 1, 0, 1),
+    (7, 0.0, 5, 0.8, 30, 0.0, 0, 0, 1, 0, 1), (6, 0.0, 3, 0.0, 22, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 30, 0.0, 90, 0.0, 0, 0, 1, 0, 1),
     # and dropped elsewhere, as is text that is mostly links
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (5, 0.8, 3, 1.0, 30, 0.0, 0, 0, 0, 0),
-    (30, 0.8, 20, 0.9, 25, 0.7, 0, 0, 0, 0), (12, 0.6, 50, 0.0, 10, 0.8, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (6, 0.0, 5, 0.5, 3, 0.0, 0, 0, 0, 0), (2, 0.0, 1, 0.0, 4, 0.0, 0, 0, 0, 0), (8, 0.3, 6, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (7, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (5, 0.4, 70, 0.0, 4, 1.0, 0, 0, 0, 0), (40, 0.6, 3, 1.0, 5, 0.9, 0, 0, 0, 0),
-    (4, 0.0, 100, 0.0, 3, 0.6, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0), (2, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0),
-    (60, 0.9, 90, 0.0, 80, 0.0, 0, 0, 0, 0), (3, 0.0, 5, 0.0, 4, 0.0, 0, 0, 1, 0), (2, 0.0, 80, 0.0, 3, 1.0, 0, 0, 1, 0),
-    (6, 0.0, 4, 0.0, 35, 0.0, 0, 0, 0, 0), (9, 0.0, 2, 0.0, 60, 0.0, 0, 0, 0, 0), (10, 0.0, 45, 0.0, 8, 0.0, 0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (5, 0.8, 3, 1.0, 30, 0.0, 0, 0, 0, 0, 0),
+    (30, 0.8, 20, 0.9, 25, 0.7, 0, 0, 0, 0, 0), (12, 0.6, 50, 0.0, 10, 0.8, 0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
+    (6, 0.0, 5, 0.5, 3, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 1, 0.0, 4, 0.0, 0, 0, 0, 0, 0), (8, 0.3, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (7, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (5, 0.4, 70, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (40, 0.6, 3, 1.0, 5, 0.9, 0, 0, 0, 0, 0),
+    (4, 0.0, 100, 0.0, 3, 0.6, 0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 0),
+    (60, 0.9, 90, 0.0, 80, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 5, 0.0, 4, 0.0, 0, 0, 1, 0, 0), (2, 0.0, 80, 0.0, 3, 1.0, 0, 0, 1, 0, 0),
+    (6, 0.0, 4, 0.0, 35, 0.0, 0, 0, 0, 0, 0), (9, 0.0, 2, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (10, 0.0, 45, 0.0, 8, 0.0, 0, 0, 0, 0, 0),
+    # a page has an article, and these stand beside it
+    (40, 0.0, 60, 0.0, 30, 0.0, 0, 0, 0, 1, 0), (12, 0.0, 3, 1.0, 20, 0.0, 0, 0, 0, 1, 0), (4, 0.0, 30, 0.0, 60, 0.0, 0, 0, 1, 1, 0),
+    (120, 0.0, 5, 0.0, 8, 0.0, 0, 0, 0, 1, 0), (25, 0.1, 200, 0.0, 0, 0.0, 0, 0, 0, 1, 0), (7, 0.0, 40, 0.0, 45, 0.0, 0, 0, 0, 1, 0),
+    (16, 0.0, 6, 1.0, 9, 0.0, 0, 0, 0, 1, 0), (60, 0.2, 60, 0.0, 60, 0.0, 0, 0, 0, 1, 0), (2, 0.0, 22, 0.0, 80, 0.0, 0, 0, 1, 1, 0),
 )
 
 #: Elements whose text is never shown as such, or is a control.
@@ -63,6 +67,8 @@ MARKS = frozenset(
     "menu menubar nav navbar navigation breadcrumb breadcrumbs related recommended recommendations share sharing social footer header masthead "
     "complementary contentinfo copyright disclaimer login search toolbar widget pagination pager tagcloud skip form".split()
 )
+#: Those of them that count on an article itself.
+COMMENTS = frozenset("comment comments reply replies".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -126,7 +132,8 @@ def blocks(html: str) -> list[Block]:
                 continue
             if not closing:
                 marks = {w for v in _MARK.findall(m[3]) for w in _WORDS.split("".join(v).lower())} if m[3] else set()
-                bad = tag in BOILERPLATE or (bool(marks & MARKS) and tag not in ("html", "body", "article", "main")) or bool(m[3] and _HIDDEN.search(m[3]))
+                known = frozenset() if tag in ("html", "body") else COMMENTS if tag in ARTICLE else MARKS
+                bad = tag in BOILERPLATE or bool(marks & known) or bool(m[3] and _HIDDEN.search(m[3]))
                 above = stack[-1] if stack else ("", False, False)
                 stack.append((tag, above[1] or bad, above[2] or tag in ARTICLE))
             elif any(s[0] == tag for s in stack):
@@ -140,7 +147,8 @@ def table_of(found: list[Block]) -> np.ndarray:
     """The features of each block, neighbours included."""
     words = np.array([0.0, *(b.words for b in found), 0.0])
     links = np.array([0.0, *(b.link_words / b.words for b in found), 0.0])
-    marks = np.array([[b.boilerplate, b.article, b.heading] for b in found], dtype=float).reshape(-1, 3)
+    has_article = any(b.article and not b.boilerplate for b in found)
+    marks = np.array([[b.boilerplate, b.article, b.heading, has_article and not b.article] for b in found], dtype=float).reshape(-1, 4)
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], marks])
 
 

@@ -412,6 +412,8 @@ MAIN = "<p>" + "word " * 40 + "</p>"
     (f"<div class='menu'><a>x</a></div>{MAIN}<p>brief</p>{MAIN}<div id=comments><p>{'nice ' * 50}</p></div>", "\n".join(["word " * 39 + "word", "brief", "word " * 39 + "word"])),
     ("<article><p>a</p><script>var t='</p><p>no</p>';</script><style>p{}</style><!-- <p>no</p> --><form><p>mail</p></form><aside>ad</aside><p>b &lt;i&gt; &#233;</p></article>", "a\nb <i> é"),
     ("<main><p>kept</p><div class='ad banner'><p>buy</p></div><section class=\"cookie-notice\">yes</section></main>", "kept"),
+    (f"<div id=left>{MAIN}</div><article><p>the text</p></article><div>{MAIN}</div>", "the text"),
+    ("<article class='post with-sidebar'><p>the text</p></article><article class='comment'><p>so true</p></article>", "the text"),
     ("<article><p>unclosed <em>tags <p>x < y & z", "unclosed tags\nx < y & z"),
 ])
 def test_pages(page, text):
