@@ -103,3 +103,45 @@ def test_chain_passes_every_spike():
     <Simulation id="x" length="220 ms" step="0.1 ms" target="n"/></neuroml>""")
     model.connect([0, 1], [1, 2], "s", 1.0, 1e-3)
     assert Counter(n for _, n in Network(model).run()) == {0: 4, 1: 4, 2: 4}
+
+
+RECORDED = CELL.replace('target="n"/>', 'target="n"><OutputFile id="o" fileName="v.dat"><OutputColumn id="v0" quantity="pop[0]/v"/></OutputFile>'
+    '<OutputFile id="f" fileName="v.spire.gz"><OutputColumn id="v1" quantity="pop[0]/v"/></OutputFile><EventOutputFile id="e" fileName="s.dat" format="ID_TIME"><EventSelection id="c0" select="pop[0]" eventPort="spike"/></EventOutputFile></Simulation>')
+
+
+def test_recording(spark, tmp_path):
+    from axonframe.streaming.recorder import Recording
+
+    whole = Recording(loads(RECORDED.format(drive=DRIVE)), video_stride=100).run()
+    parts, seen = Recording(loads(RECORDED.format(drive=DRIVE)), video_stride=100), []
+
+    def stop(tick):
+        seen.append(tick)
+        if tick == 1234:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        parts.run(after_each_tick=stop)
+    parts.run(100).run()
+    assert parts.spikes == whole.spikes and parts.rows == whole.rows and len(whole.rows) == 10_000 and seen[-1] == 1234
+    with pytest.raises(ModelError):
+        whole.run()
+    whole.write(str(tmp_path))
+    whole.write_video(str(tmp_path / "m.spire"))
+    lines = (tmp_path / "v.dat").read_text().splitlines()
+    assert lines[2].split("\t")[0] == "0.0001" and len(lines) == 10_000
+    assert np.allclose(Fr.decode((tmp_path / "v.spire.gz").read_bytes(), "gzip")[:, 0], [r[0] for r in whole.rows])
+    assert (tmp_path / "s.dat").read_text().startswith("c0\t0.03575\n") and len(Fr.decode((tmp_path / "m.spire").read_bytes())) == 100
+    assert whole.trace_table(spark).count() == 20_000 and whole.spike_table(spark).count() == len(whole.spikes)
+    assert whole.mean_firing_rate() == pytest.approx(len(whole.spikes) / 0.5)
+    with pytest.raises(ModelError):
+        whole.state_variable_array("nothing")
+
+
+def test_reservoir_features(spark):
+    from axonframe.streaming.recorder import reservoir_features
+
+    model = loads(network_text(12))
+    items = spark.createDataFrame([(i, [i * 1e-11] * 5) for i in range(4)], "item long, drive array<double>")
+    rows = {r.item: r.features for r in reservoir_features(spark, model, items, "item", "drive", 50.0, 600).collect()}
+    assert all(len(f) == 16 for f in rows.values()) and rows[0] != rows[3]
