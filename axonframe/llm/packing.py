@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import operator
 import os
-import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -30,7 +28,7 @@ EPOCHS = 2
 #: A bin at least this full is settled; the others of all shards are packed once more together.
 SETTLED = 0.98
 #: Parts of words whose ids a worker keeps at hand.
-CACHED_PARTS = 400_000
+CACHED_PARTS = 700_000
 #: Text that is tokenized at once.
 CHUNK_BYTES = 8 << 20
 
@@ -43,7 +41,8 @@ def default_tokenizer() -> str:
 
 #: A word that is letters and then punctuation: its tokens are those of the two parts,
 #: and those of the letters do not depend on their case. Other words are encoded whole.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _state: dict[str, tuple] = {}
 
 
@@ -53,47 +52,59 @@ def _tokenizer(path: str) -> tuple:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _state[path] = Tokenizer.from_file(path), {}
+        _state[path] = Tokenizer.from_file(path), {"": b""}
     return _state[path]
 
 
-def _word_ids(words: list[str], path: str) -> list[bytes]:
-    """Ids of each word as little-endian 32-bit numbers."""
+def _encoded(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all parts one after another, and how many each has."""
     tokenizer, known = _tokenizer(path)
-    letters, rest = [], []
-    for w in words:
-        m = _PLAIN.fullmatch(w)
-        letters.append(m[1].lower() if m else w)
-        rest.append(m[2] if m else "")
-    fresh = [p for p in {*letters, *rest} if p not in known]
+    fresh = [p for p in parts if p not in known]
     if len(known) + len(fresh) > CACHED_PARTS:
         known.clear()
-        fresh = list({*letters, *rest})
+        known[""] = b""
+        fresh = [p for p in parts if p]
     for at in range(0, len(fresh), 20_000):
         some = fresh[at : at + 20_000]
         for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
             known[p] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
-    get = known.__getitem__
-    return list(map(operator.add, map(get, letters), map(get, rest)))
+    made = list(map(known.__getitem__, parts))
+    return np.frombuffer(b"".join(made), dtype="<u4"), np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+
+
+def _gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat``, one after another, and where each ends, from 0."""
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[which]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and where each text's ids start and end.
 
-    The tokenizer never joins across white space, so each distinct word is encoded
+    The tokenizer never joins across white space, so each distinct word is looked up
     once and its ids are put wherever the word stands.
     """
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     coded = lists.flatten().dictionary_encode()
-    at = coded.indices.to_numpy()
-    made = _word_ids(coded.dictionary.to_pylist(), path)
-    table = np.frombuffer(b"".join(made), dtype="<u4")
-    lengths = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
-    starts = np.cumsum(lengths) - lengths
-    n = lengths[at]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    return table[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], ends[offsets]
+    words = coded.dictionary
+    letters = pc.ascii_rtrim(words, _PUNCTUATION)
+    plain = pc.match_substring_regex(letters, _LETTERS)
+    first = pc.if_else(plain, pc.utf8_lower(letters), words).dictionary_encode()
+    ends_at = np.where(plain.to_numpy(zero_copy_only=False), pc.utf8_length(letters).to_numpy(), pc.utf8_length(words).to_numpy())
+    more = np.flatnonzero(ends_at < pc.utf8_length(words).to_numpy())
+    rest: dict[str, int] = {"": 0}
+    second = np.zeros(len(words), dtype=np.int64)
+    second[more] = [rest.setdefault(w[k:], len(rest)) for w, k in zip(words.take(pa.array(more)).to_pylist(), ends_at[more].tolist())]
+    parts = first.dictionary.to_pylist()
+    flat, lengths = _encoded([*parts, *rest], path)
+    # the ids of each distinct word from those of its two parts, then those of all words
+    both = np.column_stack([first.indices.to_numpy(), second + len(parts)]).ravel()
+    flat, ends = _gather(flat, lengths, both)
+    flat, ends = _gather(flat, np.diff(ends[::2]), coded.indices.to_numpy())
+    return flat, ends[offsets]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -116,8 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers), pa.array(numbers.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names
                 )
-                del flat
-                tidy()
+            tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
