@@ -27,9 +27,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        # the least neighbours are stored: beside an aggregate by the same key, Spark can't split the join of a hub
+        low = stored(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = stored(large, "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("low")), "low")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct(F.col("u"), F.col("low").alias("v")))).alias("e"))

@@ -191,6 +191,7 @@ def similar(sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK_
     common = F.size(F.array_intersect("shingles", "of"))
     joined = stored(sets.join(pivots, "cid").select("cid", "node", "pivot", (common >= similarity * (F.size("shingles") + F.size("of") - common) - 1e-9).alias("joined")), "compared")
     counts = joined.groupBy("cid").agg(F.count_if("joined").alias("done"), F.count_if(~F.col("joined")).alias("open")).where("open > 0")
+    counts = stored(counts, "open-groups")
     ns, nu = F.ceil(F.col("done") / block).cast("int"), F.ceil(F.col("open") / block).cast("int")
     at = F.pmod(F.xxhash64("node"), F.when(F.col("joined"), ns).otherwise(nu)).cast("int")
     one = lambda k, left, right, side: F.struct(k.alias("kind"), left.alias("left"), right.alias("right"), side.cast("int").alias("side"))

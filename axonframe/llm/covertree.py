@@ -186,7 +186,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         classes.select("node", "low", "copies", "embedding", "label").join(counted, "node", "left").join(groups, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = stored(named, "named")
+    least = stored(named.groupBy("component").agg(F.min("low").alias("component_id")), "least")
     named = named.join(least, "component").select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked_rows = valid.join(named, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

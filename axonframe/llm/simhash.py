@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, bits: int
     marked = stored(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     nodes = connected_components(near_links(distinct, bits))
-    grouped = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    grouped = stored(distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component")), "grouped")
+    least = stored(grouped.groupBy("component").agg(F.min("low").alias("component_id")), "least")
     named = grouped.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

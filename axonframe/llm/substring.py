@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False,
     lose nothing; columns not named are dropped; an empty table gives an empty table.
     """
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*extra, F.lit(0).alias("_")).alias("extra")).withColumn("text_hash", F.xxhash64("text"))
-    spans = repeated_spans(named, window).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("removed_spans"))
+    spans = repeated_spans(named, window).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("removed_spans"))
     packed = named.mapInArrow(_pack, named.withColumn("text", F.col("text").cast("binary")).schema)
     both = packed.alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.text_hash = s.text_hash"), "left")
     both = both.select("d.doc_id", "d.text", "d.extra", "s.removed_spans")
