@@ -3,7 +3,7 @@
 LIBRARY = """
 <neuroml>
   <ComponentType name="baseStandalone"/><ComponentType name="baseCell"/><ComponentType name="baseSpikingCell"/><ComponentType name="baseCellMembPot"/><ComponentType name="baseCellMembPotCap"/>
-  <ComponentType name="baseCellMembPotDL"/><ComponentType name="baseIaf"/><ComponentType name="baseIafCapCell"/><ComponentType name="baseSynapse"/><ComponentType name="baseVoltageDepSynapse"/>
+  <ComponentType name="baseCellMembPotDL"/><ComponentType name="baseIaf"><Parameter name="thresh" dimension="voltage"/><Parameter name="reset" dimension="voltage"/></ComponentType><ComponentType name="baseIafCapCell" extends="baseIaf"><Parameter name="C" dimension="capacitance"/></ComponentType><ComponentType name="baseSynapse"/><ComponentType name="baseVoltageDepSynapse"/>
   <ComponentType name="baseCurrentBasedSynapse"/><ComponentType name="baseSpikeSource"/><ComponentType name="basePointCurrent"/><ComponentType name="basePointCurrentDL"/><ComponentType name="baseInput"/>
   
   <ComponentType name="iafCell"><Parameter name="leakConductance" dimension="conductance"/><Parameter name="leakReversal" dimension="voltage"/>
@@ -59,6 +59,11 @@ LIBRARY = """
     <Dynamics><ConditionalDerivedVariable name="i" exposure="i"><Case condition="t .geq. delay .and. t .lt. delay + duration" value="weight * amplitude * sin(phase + 6.283185307179586 * (t - delay) / period)"/></ConditionalDerivedVariable></Dynamics></ComponentType>
   <ComponentType name="rampGenerator"><Parameter name="delay" dimension="time"/><Parameter name="duration" dimension="time"/><Parameter name="startAmplitude" dimension="current"/><Parameter name="finishAmplitude" dimension="current"/><Parameter name="baselineAmplitude" dimension="current"/>
     <Dynamics><ConditionalDerivedVariable name="i" exposure="i"><Case condition="t .geq. delay .and. t .lt. delay + duration" value="weight * (startAmplitude + (finishAmplitude - startAmplitude) * (t - delay) / duration)"/><Case value="weight * baselineAmplitude"/></ConditionalDerivedVariable></Dynamics></ComponentType>
+  <ComponentType name="poissonFiringSynapse"><Parameter name="averageRate" dimension="per_time"/><Parameter name="tau" dimension="time"/><Parameter name="ibase" dimension="current"/><Constant name="E" value="2.7182818284590451"/>
+    <Dynamics><StateVariable name="I" dimension="current"/><StateVariable name="J" dimension="current"/><StateVariable name="tnext" dimension="time"/><DerivedVariable name="i" exposure="i" value="weight * I"/>
+      <TimeDerivative variable="I" value="(E * J - I) / tau"/><TimeDerivative variable="J" value="-1 * J / tau"/>
+      <OnStart><StateAssignment variable="tnext" value="-1 * ln(1 - random(1)) / averageRate"/></OnStart>
+      <OnCondition test="t .gt. tnext"><StateAssignment variable="J" value="J + ibase"/><StateAssignment variable="tnext" value="tnext - ln(1 - random(1)) / averageRate"/></OnCondition></Dynamics></ComponentType>
   <ComponentType name="spikeArray"/>
 </neuroml>
 """
