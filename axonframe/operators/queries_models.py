@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.units import UNITS, quantity_to_si, split_quantity
+from . import planes as P
 from .registry import SPK, query, spikes, table
 
 EV = "ev AS (SELECT event_id, coalesce(value, 0.0) / 10 AS x, (event_id % 17)::DOUBLE - 8 AS y FROM events)"
@@ -210,3 +211,28 @@ def als_sweep(spark, sf_dir):
     return lane_errors(edges(spark, sf_dir), [1, 2, 4], sweeps=3)
 
 
+
+
+@query()
+def lane_search(spark, sf_dir):
+    """Fewest lanes, doubling up to 4, whose fit of connection delays is within 45 % of their root mean square."""
+    from .factorise import fewest_lanes
+    from .registry import edges
+
+    plane = edges(spark, sf_dir).select("src", "dst", F.col("delay").cast("double").alias("weight"))
+    return spark.createDataFrame([(fewest_lanes(plane, 0.45, most=4, sweeps=2),)], "lanes int")
+
+
+@query()
+def refit_plane(spark, sf_dir):
+    """A plane with its deltas folded in, fitted again: the error before any fit of the changes, and after."""
+    from .factorise import errors, fit
+    from .graph import ordinals
+    from .queries_planes import updates
+    from .registry import edges
+
+    numbered = ordinals(edges(spark, sf_dir)).select("src", "dst", "ordinal", "weight")
+    deltas = P.compact(updates(spark, sf_dir).where("plane = 0")).select("ordinal", (F.col("delta") / 1000).alias("delta"))
+    changed = numbered.join(deltas, "ordinal", "left").select("src", "dst", (F.col("weight") + F.coalesce("delta", F.lit(0.0))).alias("weight"))
+    old = errors(changed, *fit(numbered, 2, 2)).select(F.lit("before").alias("fit"), F.round("error", 6).alias("error"))
+    return old.unionByName(errors(changed, *fit(changed, 2, 2)).select(F.lit("after").alias("fit"), F.round("error", 6).alias("error")))
