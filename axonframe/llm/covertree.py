@@ -18,7 +18,7 @@ BLOCK = 4096
 #: A node of at most so many points has no children: its points are compared as they are.
 LEAF = 48
 #: Pairs of points that two nodes hold at most to be compared as they are: one product of matrices is quicker than going on.
-DIRECT = 1 << 16
+DIRECT = 1 << 12
 #: Distances are widened by this against rounding when node pairs are pruned.
 SLACK = 1e-9
 
@@ -87,35 +87,35 @@ def linked(a: CoverTree, b: CoverTree, threshold: float):
 
     A pair of nodes goes on only if their centers are no further apart than the
     threshold's distance and both covering radii. A node without children meets the
-    other's children; two of them meet in an exact comparison.
+    other's children. Small pairs of nodes meet in an exact comparison.
     """
     reach = float(np.sqrt(2 - 2 * threshold))
+
+    def compare(left: np.ndarray, right: np.ndarray):
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i, j = np.nonzero(a.x[left[at : at + step]] @ b.x[right].T >= threshold)
+            if len(i):
+                yield left[at : at + step][i], right[j]
+
     todo = [(a.root, b.root)]
     while todo:
         p, q = todo.pop()
-        if not p.children and not q.children or min(len(p.points), len(q.points)) == 1 or len(p.points) * len(q.points) <= DIRECT:
-            step = max(1, (1 << 20) // len(q.points))
-            for at in range(0, len(p.points), step):
-                i, j = np.nonzero(a.x[p.points[at : at + step]] @ b.x[q.points].T >= threshold)
-                if len(i):
-                    yield p.points[at : at + step][i], q.points[j]
+        if not p.children and not q.children or len(p.points) * len(q.points) <= DIRECT:
+            yield from compare(p.points, q.points)
             continue
         ps, qs = p.children or [p], q.children or [q]
         cp, cq = np.array([n.center for n in ps]), np.array([n.center for n in qs])
         rp, rq = np.array([n.radius for n in ps]), np.array([n.radius for n in qs])
-        step = max(1, (1 << 20) // len(qs))
-        for at in range(0, len(ps), step):
-            d = np.sqrt(np.maximum(0.0, 2 - 2 * (a.x[cp[at : at + step]] @ b.x[cq].T)))
-            i, j = np.nonzero(d <= reach + rp[at : at + step, None] + rq[None, :] + SLACK)
-            i = i + at
-            single = (rp[i] == 0) & (rq[j] == 0)
-            single &= np.array([len(n.points) == 1 for n in ps])[i] & np.array([len(n.points) == 1 for n in qs])[j]
-            if single.any():  # one point each: compared at once
-                x, y = cp[i[single]], cq[j[single]]
-                yes = np.einsum("ij,ij->i", a.x[x], b.x[y]) >= threshold
-                if yes.any():
-                    yield x[yes], y[yes]
-            todo += [(ps[m], qs[n]) for m, n in zip(i[~single], j[~single])]
+        sizes, leaf = np.array([len(n.points) for n in qs]), np.array([not n.children for n in qs])
+        for i, node in enumerate(ps):
+            d = np.sqrt(np.maximum(0.0, 2 - 2 * (b.x[cq] @ a.x[cp[i]])))
+            near = np.flatnonzero(d <= reach + rp[i] + rq + SLACK)
+            # all that is small enough is compared at once, the rest goes on
+            small = (sizes[near] * len(node.points) <= DIRECT) | (leaf[near] & (not node.children))
+            if small.any():
+                yield from compare(node.points, np.concatenate([qs[j].points for j in near[small]]))
+            todo += [(node, qs[j]) for j in near[~small]]
 
 
 def _task(threshold: float):
