@@ -152,15 +152,22 @@ def column(tree: Node, values: dict[str, Column]) -> Column:
         if op == "random":
             return x * F.rand()
         if op == "H":
-            return F.when(x > 0, 1.0).otherwise(0.0)
+            return F.when((x > 0) & ~F.isnan(x), 1.0).otherwise(0.0)
         if op in ("ln", "log"):
-            return F.when(x > 0, F.log(x)).when(x == 0, F.lit(-math.inf)).otherwise(F.lit(math.nan))
+            return F.when(F.isnan(x), x).when(x > 0, F.log(x)).when(x == 0, F.lit(-math.inf)).otherwise(F.lit(math.nan))
+        if op in ("ceil", "floor"):  # whole already, or not finite
+            return F.when(F.abs(x) < 2.0**52, getattr(F, op)(x).cast("double")).otherwise(x)
         return getattr(F, op)(x).cast("double")
     y = args[1]
     if op == "/":
-        return F.when(y != 0, F.try_divide(x, y)).when(x > 0, F.lit(math.inf)).when(x < 0, F.lit(-math.inf)).otherwise(F.lit(math.nan))
+        # only its text tells a zero's sign; this is worked out for divisors of zero alone
+        infinite = F.when(y.cast("string").startswith("-"), F.lit(-math.inf)).otherwise(F.lit(math.inf))
+        return F.when(F.isnan(x) | F.isnan(y), F.lit(math.nan)).when(y != 0, F.try_divide(x, y)).when(x > 0, infinite).when(x < 0, -infinite).otherwise(F.lit(math.nan))
     simple = {"+": x + y, "-": x - y, "*": x * y, "^": F.pow(x, y)}
     if op in simple:
         return simple[op]
     test = {">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y, "==": x == y, "!=": x != y, "&&": (x != 0) & (y != 0), "||": (x != 0) | (y != 0)}[op]
-    return test.cast("double")
+    if op in ("&&", "||"):
+        return test.cast("double")
+    # Spark has NaN equal to itself and above all numbers; here no comparison with it holds
+    return F.when(F.isnan(x) | F.isnan(y), 1.0 if op == "!=" else 0.0).otherwise(test.cast("double"))
