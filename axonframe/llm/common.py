@@ -67,8 +67,15 @@ except (OSError, AttributeError):  # another C library
     _trim = None
 
 
-def tidy() -> None:
-    """Give memory that is free but held back to the system: workers live on after a task, beside others on the same executor."""
+#: What workers keep between tasks, by operator: each has a method ``clear``.
+CACHES: list = []
+
+
+def tidy(own=None) -> None:
+    """Give memory back to the system that is free, or kept for other operators than ``own``: workers live on after a task, beside others on the same executor."""
+    for cache in CACHES:
+        if cache is not own:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices_of, stored, tidy
+from .common import CACHES, slices_of, stored, tidy
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -28,9 +28,9 @@ EPOCHS = 2
 #: A bin at least this full is settled; the others of all shards are packed once more together.
 SETTLED = 0.98
 #: Parts of words whose ids a worker keeps at hand.
-CACHED_PARTS = 700_000
+CACHED_PARTS = 550_000
 #: Text that is tokenized at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 
 
 def default_tokenizer() -> str:
@@ -44,6 +44,7 @@ def default_tokenizer() -> str:
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _state: dict[str, tuple] = {}
+CACHES.append(_state)
 
 
 def _tokenizer(path: str) -> tuple:
@@ -127,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers), pa.array(numbers.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names
                 )
-            tidy()
+            tidy(_state)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 FEATURES = (
     "log_words", "symbols", "upper", "digits", "shouts", "bars", "stops", "distinct", "top_word", "word_length",
     "capital_words", "lines", "repeated_lines", "junk_ends", "short_words", "sentence_length", "high_bytes", "repeated_pairs",
@@ -183,5 +185,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column("quality_score", pa.array(shared.value(_table(batch.column("text"))), pa.float64()))
+        tidy()
 
     return docs.drop("quality_score").mapInArrow(run, schema)
