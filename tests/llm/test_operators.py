@@ -118,6 +118,22 @@ def test_near_copies_against_all_pairs(spark):
     assert {x.doc_id for x in copies.keep_one(docs).collect()} == want
 
 
+def test_near_copies_cut_short_and_extended(spark):
+    """Pairs at exactly 0.8, and others of other edits above it, of which SimHash alone loses some."""
+    r, texts = np.random.default_rng(6), []
+    for g in range(40):
+        base, other = ([f"w{x}" for x in r.integers(0, 3000, 104)] for _ in range(2))
+        edits = base[:84], base[20:], base + other[:24], base + [f"new{g}x{i}" for i in range(25)]
+        for edited in edits:
+            one, two = shingles(" ".join(base)), shingles(" ".join(edited))
+            assert len(one & two) * 10 >= 8 * len(one | two)
+        mark = lambda words, k: " ".join(f"{w}of{g}k{k}" for w in words)  # noqa: B023,E731
+        for k, edited in enumerate(edits):
+            texts += [mark(base, k), mark(edited, k)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in copies.keep_one(docs).collect()) == list(range(0, len(texts), 2))
+
+
 def test_near_copies_in_many_blocks(spark):
     r = np.random.default_rng(4)
     base = [f"w{x}" for x in r.integers(0, 400, 200)]
