@@ -56,7 +56,10 @@ LABELLED = (
 )
 
 #: Elements whose text is never shown as such, or is a control.
-DROPPED = frozenset("script style noscript template svg math iframe object canvas head title select option button textarea audio video map".split())
+DROPPED = frozenset("script style noscript template svg math iframe object canvas title select option button textarea audio video map".split())
+#: Those of them that end where the same opens again, and those that take the rest of a page if left open: code.
+ONCE = frozenset("button option select".split())
+CODE = frozenset("script style".split())
 #: Elements that hold boilerplate, and elements that hold an article.
 BOILERPLATE = frozenset("nav header footer aside form dialog menu fieldset".split())
 ARTICLE = frozenset("article main".split())
@@ -73,6 +76,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Tags that end a dropped element whose own end tag is missing.
+_FLOW = re.compile(r"</?(?:html|head|body|main|article|section|div|p|h[1-6]|ul|ol|dl|li|dt|dd|table|thead|tbody|tfoot|tr|td|th|caption|blockquote|pre|figure|figcaption|hr|address|details|summary|center|nav|header|footer|aside|form|dialog|menu|fieldset)(?=[\s/>])", re.I)
+_OPTION = re.compile(r"</?(?:option|optgroup|select|datalist)(?=[\s/>])", re.I)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden(?![\w-])(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|\baria-hidden\s*=\s*["']?true""", re.I)
 _WORDS = re.compile(r"[^a-z0-9]+")
@@ -88,11 +94,27 @@ class Block:
     heading: bool
 
 
+def _dropped_to(html: str, tag: str, at: int) -> int:
+    """Where a dropped element ends whose contents start at ``at``: after its end tag; if that is missing, at the first flow content or end of what is around it."""
+    stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+    again = re.compile(rf"<{tag}(?=[\s/>])", re.I).search(html, at, stop.start() if stop else len(html)) if tag in ONCE else None
+    last = again.start() if again else len(html)
+    if tag == "option":
+        other = _OPTION.search(html, at, stop.start() if stop else len(html))
+        if other:
+            stop, last = None, other.start()
+    if stop and not again:
+        return stop.end()
+    flow = None if tag in CODE else _FLOW.search(html, at, last)
+    return flow.start() if flow else last
+
+
 def blocks(html: str) -> list[Block]:
     """Runs of text between block-level tags, in page order, without empty ones."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article: of all elements around
+    # tag, boilerplate, article, boilerplate whatever article it holds: of all elements around
+    stack: list[tuple[str, bool, bool, bool]] = []
     links, heading, at, end = 0, False, 0, len(html)
 
     def flush() -> None:
@@ -117,8 +139,9 @@ def blocks(html: str) -> list[Block]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in DROPPED:
             if not closing and not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = stop.end() if stop else end
+                at = _dropped_to(html, tag, at)
+            parts.append((" ", False))
+        elif tag == "head":  # what it holds is dropped or has no text, and its end tag may be missing
             parts.append((" ", False))
         elif tag in INLINE:
             if tag == "a":
@@ -133,9 +156,13 @@ def blocks(html: str) -> list[Block]:
             if not closing:
                 marks = {w for v in _MARK.findall(m[3]) for w in _WORDS.split("".join(v).lower())} if m[3] else set()
                 known = frozenset() if tag in ("html", "body") else COMMENTS if tag in ARTICLE else MARKS
-                bad = tag in BOILERPLATE or bool(marks & known) or bool(m[3] and _HIDDEN.search(m[3]))
-                above = stack[-1] if stack else ("", False, False)
-                stack.append((tag, above[1] or bad, above[2] or tag in ARTICLE))
+                marked = bool(marks & known)
+                sure = tag in BOILERPLATE or bool(m[3] and _HIDDEN.search(m[3]))
+                above = stack[-1] if stack else ("", False, False, False)
+                # a class around an article says nothing of the article, but inside one it marks all of its part
+                inside = any(s[0] == "article" for s in stack)
+                bad = (above[3] if tag in ARTICLE else above[1]) or sure or marked
+                stack.append((tag, bad, above[2] or tag in ARTICLE, above[3] or sure or marked and (inside or tag in ARTICLE)))
             elif any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
@@ -200,7 +227,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space in a block becomes one space, and
     the blocks of main text are joined by line ends. A null html counts as empty and
-    has an empty text; tags left open, repeated pages and null ids do no harm; other
+    has an empty text; tags left open (but for script and style, which take the rest of a page), repeated pages and null ids do no harm; other
     columns are ignored; an empty table gives an empty table.
     """
     tree = train()

@@ -445,6 +445,26 @@ def test_pages_query(spark):
         assert r.text == "\n".join(b for b in want if b) and r.n_chars == len(r.text)
 
 
+def test_html_open_tags_and_marked_wrappers():
+    body = "<article><h1>Title here</h1><p>" + "plain words of a long enough paragraph " * 8 + "</p></article>"
+    text = html.main_text(f"<html><head></head><body>{body}</body></html>", TREE)
+    assert "plain words" in text
+    for page in (
+        f"<html><head><title>t</title><body>{body}",
+        f"<html><head><meta charset=utf-8><title>t</title>{body}",
+        f"<head><title>t<body>{body}",
+        f"<body><div><select><option>a<option>b</div>{body}",
+        f"<body><div><button>press</div>{body}<button>again</button>",
+        f"<body><div><option>a<option>b</option></div>{body}<option>c</option>",
+        f'<body><div class="layout has-sidebar">{body}</div>',
+        f'<body><div class="no-sidebar"><main>{body}</main></div>',
+        f'<body><main><div class="no-sidebar">{body}</div></main>',
+    ):
+        assert html.main_text(page, TREE) == text, page
+    assert html.main_text(f'<body><div class="sidebar"><p>{"menu words " * 30}</p></div>{body}', TREE) == text
+    assert html.main_text(f"<body><aside>{body}</aside>", TREE) == ""
+
+
 def test_pages_odd(spark):
     rows = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>", 2), (1, "u", "<p>", 2)], "page_id long, url string, html string, text int")
     assert [r.n_chars for r in html.extract(rows).collect()] == [0, 0, 0] and html.extract(rows.where("false")).count() == 0
