@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +24,18 @@ FOLDED = {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES | {"l": "i", "ı": "i"
 FOLDED |= {i: " " for i in range(128) if not (chr(i).isalnum() or chr(i) in "@$")}
 FOLDED |= {i: None for i in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 FOLDED |= {0xFF21 + i: chr(97 + i).replace("l", "i") for i in range(26)} | {0xFF41 + i: chr(97 + i).replace("l", "i") for i in range(26)}
+
+
+class _Folding(dict):
+    """What a character folds to: itself if it is a letter, digit or mark on one, else a blank, whatever its code point."""
+
+    def __missing__(self, code: int) -> int | str:
+        c = chr(code)
+        self[code] = found = code if c.isalnum() or unicodedata.category(c)[0] == "M" else " "
+        return found
+
+
+FOLDED = _Folding(FOLDED)
 _INNER = re.compile(r"(?<=\w)[!|](?=\w)")
 
 #: Terms with weights that hold without training; they match at the start of a word.

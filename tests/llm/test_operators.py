@@ -511,6 +511,14 @@ def test_held_out(spark, name, label, cut, least):
         assert (part.predicted == value).mean() >= (least if value else 0.95) - (0.04 if label == "toxic" and value else 0)
 
 
+def test_toxic_words_after_any_punctuation():
+    lexicon = toxicity.Lexicon({toxicity.fold(k): v for k, v in toxicity.SEED_TERMS.items()})
+    for text in ("“idiot”", "¡idiota!", "word—idiot", "say\u00a0idiot", "«idiot»", "…idiot", "‘idiot’", "€ “1d1ot”", "•idiot"):
+        assert lexicon.measure(text)[2] == 1, text
+        assert any(w.startswith(toxicity.fold("idiot")) for w in toxicity._starts(text)), text
+    assert lexicon.measure("videidiot ide\u0301idiot")[2] == 0
+
+
 def test_folding_and_exceptions():
     lex = toxicity.Lexicon({toxicity.fold(k): v for k, v in toxicity.SEED_TERMS.items()})
     hit = lambda t: lex.measure(t)[2]
