@@ -38,6 +38,16 @@ def random_fixed_outdegree(spark: SparkSession, nodes: int, fanout: int, seed: i
     if skip is not None:
         drawn = drawn.join(skip.select("src", "dst"), ["src", "dst"], "left_anti")
     first = drawn.groupBy("src", "dst").agg(F.min("k").alias("k"))
+    # sources with too few: of so many lowest targets enough are left, after all drawn ones
+    got = spark.range(nodes).select(F.col("id").alias("src")).join(first.groupBy("src").count(), "src", "left").where(f"coalesce(count, 0) < {fanout}")
+    most = F.lit(fanout + 1)
+    if skip is not None:
+        got = got.join(skip.groupBy("src").agg(F.count_distinct("dst").alias("skipped")), "src", "left")
+        most = most + F.coalesce("skipped", F.lit(0))
+    left = got.select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.least(most, F.lit(nodes)).cast("long") - 1)).alias("dst")).where("src <> dst")
+    if skip is not None:
+        left = left.join(skip.select("src", "dst"), ["src", "dst"], "left_anti")
+    first = first.unionByName(left.join(first.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("k", F.col("dst") + tries))
     return first.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("k"))).where(F.col("rank") <= fanout).select("src", "dst")
 
 

@@ -167,3 +167,15 @@ def test_a_synapse_must_show_what_its_cells_sum():
     text = network_text(10).replace("<alphaCurrentSynapse", '<ComponentType name="other"><Dynamics><StateVariable name="x" exposure="x"/></Dynamics></ComponentType><other id="o"/><alphaCurrentSynapse').replace('synapse="syn"', 'synapse="o"')
     with pytest.raises(ModelError):
         Network(loads(text))
+
+
+def test_random_targets_are_filled_up(spark):
+    from axonframe.operators import graph
+
+    skip = spark.createDataFrame([(0, 1), (0, 2)], "src long, dst long")
+    got = {}
+    for r in graph.random_fixed_outdegree(spark, 12, 11, 1, skip).collect():
+        got.setdefault(r.src, []).append(r.dst)
+    assert {k: sorted(v) for k, v in got.items()} == {i: [j for j in range(12) if j != i and (i or j not in (1, 2))] for i in range(12)}
+    rows = graph.random_fixed_outdegree(spark, 49, 48, 1).collect()
+    assert len(rows) == len(set(rows)) == 49 * 48
