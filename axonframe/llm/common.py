@@ -15,17 +15,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows that a Python worker gets at once, where the session leaves this at Spark's default of 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; batches of whole texts to Python workers are kept small from now on, as each is held at both ends."""
+    if spark.conf.get(_BATCH) in ("64MB", "67108864b", str(64 << 20)):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and all runs in one process (local tests) a
+    temporary folder is set; on a cluster executors could not see it, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="axonframe-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -40,13 +52,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def doc_key() -> list:
-    """Columns that name a row of documents by what it holds.
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it as long as a column of that name is there."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
-    Rows with equal id and equal text are interchangeable, so ids may be null or
-    repeated without any row being lost or mixed up in a join.
-    """
-    return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")]
+
+#: A table goes to all executors only if its rows take so many bytes at most; else it is joined by shuffling.
+MOST_BROADCAST = 16 << 20
+
+
+def sized(table: DataFrame, row_bytes: int) -> DataFrame:
+    """Marked for a broadcast if its rows, counted, stay under the bound."""
+    return F.broadcast(table) if table.count() * row_bytes <= MOST_BROADCAST else table
 
 
 def slices_of(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, slices_of, stored, tidy
+from .common import Forest, sized, slices_of, stored, tidy
 from .components import connected_components
 from .simhash import BLOCK, _dealt, _edges, _hot, _majority, fuzzy_keys
 from .substring import rolling
@@ -37,8 +37,6 @@ BANDS, ROWS = 40, 4
 _ODD = np.random.default_rng(42).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
 #: Documents of a block when a group of candidates is compared in pairs of blocks.
 BLOCK_DOCS = 256
-#: A table of keys goes to all executors only if it takes so many bytes at most; else it is joined by shuffling.
-MOST_BROADCAST = 16 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -155,7 +153,7 @@ def banded(marked: DataFrame) -> DataFrame:
     keyed = marked.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     low = stored(shared.select("key", "low"), "bands")
-    return keyed.join(_sized(low, 16), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return keyed.join(sized(low, 16), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,11 +232,6 @@ def similar(sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK_
     return joined.where("joined").select(F.col("node").alias("a"), F.col("pivot").alias("b")).unionByName(found)
 
 
-def _sized(table: DataFrame, row_bytes: int) -> DataFrame:
-    """Marked for a broadcast if its rows, counted, stay under the bound."""
-    return F.broadcast(table) if table.count() * row_bytes <= MOST_BROADCAST else table
-
-
 def row_keys(docs: DataFrame) -> DataFrame:
     """``docs`` with rk1 and rk2, together 128 bits that name a row's id and text."""
     return docs.withColumns({"rk1": F.xxhash64("doc_id", "text"), "rk2": F.xxhash64("text", F.lit("second"), "doc_id")})
@@ -259,7 +252,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = stored(nodes.select("node", "lo", "hi", "first.rk1", "first.rk2"), "nodes")
     loose = connected_components(candidates(nodes).unionByName(banded(marked)))
     wanted = stored(nodes.join(loose, "node").select("node", "rk1", "rk2", F.col("component").alias("cid")), "wanted")
-    texts = named.join(_sized(wanted, 48), ["rk1", "rk2"]).select("node", "cid", "text")
+    texts = named.join(sized(wanted, 48), ["rk1", "rk2"]).select("node", "cid", "text")
     sets = stored(texts.mapInArrow(_sets, "node long, cid long, shingles array<long>"), "sets")
     sets = sets.dropDuplicates(["node"]) if _repeats(marked) else sets
     joined = connected_components(similar(sets, similarity))
@@ -280,7 +273,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = stored(groups(docs, similarity), "groups")
     best = found.groupBy("component").agg(F.min(F.struct("doc_id", "rk1", "rk2")).alias("best")).select("best.rk1", "best.rk2", F.lit(True).alias("stays"))
     gone = stored(found.select("rk1", "rk2").distinct().join(best, ["rk1", "rk2"], "left").where("stays is null").select("rk1", "rk2"), "gone")
-    named = docs.withColumns({"rk1": F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), "rk2": F.xxhash64(F.col("text").cast("string"), F.lit("second"), F.col("doc_id").cast("long"))})
-    kept = named.join(_sized(gone, 16), ["rk1", "rk2"], "left_anti")
+    i, t = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    named = docs.select(F.struct("*").alias("row"), F.xxhash64(i, t).alias("rk1"), F.xxhash64(t, F.lit("second"), i).alias("rk2"))
+    kept = named.join(sized(gone, 16), ["rk1", "rk2"], "left_anti")
     kept = kept.dropDuplicates(["rk1", "rk2"]) if _repeats(found) else kept
-    return kept.drop("rk1", "rk2")
+    return kept.select("row.*")
