@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices_of, tidy
+from .common import fresh, slices_of, stored, tidy
 
 WINDOW = 35
 GRAM = 8
@@ -69,10 +70,22 @@ def _runs(flag: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return on[np.concatenate([[0], cut])], on[np.concatenate([cut - 1, [len(on) - 1]])]
 
 
-def _emit(key, row, lo, n, wh_offsets, wh, ids, hashes) -> pa.RecordBatch:
-    blobs = None
+#: Bytes of a window's hash that travel; the anchor they travel with has 64 bits more.
+WIDTH = 6
+#: An anchor of more runs than this is hot: its windows are dealt out by their own hash.
+HOT_RUNS = 1 << 13
+#: Hot anchors at most, which all tasks get; with so many runs in all that there could be more, HOT_RUNS grows.
+MOST_HOT = 1 << 22
+#: Windows of one key that a task holds before it drops those that it has told already.
+HELD_WINDOWS = 1 << 16
+
+
+def _emit(key, row, lo, n, wh, ids, hashes) -> pa.RecordBatch:
+    """Runs, each with the hashes of its windows; without ``wh`` spans that need no counting."""
     if wh is not None:
-        blobs = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer((wh_offsets * 8).astype(np.int32)), pa.py_buffer(wh)])
+        offsets = np.concatenate([[0], np.cumsum(n)]) * WIDTH
+        low = np.ascontiguousarray(wh.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+        blobs = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(low)])
     else:
         blobs = pa.nulls(len(key), pa.binary())
     take = pa.array(row)
@@ -82,106 +95,167 @@ def _emit(key, row, lo, n, wh_offsets, wh, ids, hashes) -> pa.RecordBatch:
     )
 
 
-def _cut_windows(window: int, gram: int):
-    """Documents to runs of windows; windows that repeat within a chunk are counted
+class _Windows:
+    """The windows of a chunk of texts, and the runs of those in a row that share an anchor."""
+
+    def __init__(self, texts: pa.Array, window: int, gram: int):
+        words = [(t or b"").split() for t in texts.cast(pa.large_binary()).to_pylist()]
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.any = bool((sizes >= window).any())
+        if not self.any:
+            return
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), dtype=np.uint64, count=int(sizes.sum()))
+        del words
+        grams, whole = rolling(h, (gram, window))
+        ends = np.cumsum(sizes)
+        doc = np.repeat(np.arange(len(sizes)), sizes)[: len(whole)]
+        at = np.flatnonzero(np.arange(len(whole)) + window <= ends[doc])
+        anchor = _anchors(grams, window - gram + 1)[at]
+        self.hash, self.doc = whole[at], doc[at]
+        self.place = at - (ends - sizes)[self.doc]
+        start = np.ones(len(at), dtype=bool)
+        start[1:] = (anchor[1:] != anchor[:-1]) | (self.doc[1:] != self.doc[:-1])
+        self.begin = np.flatnonzero(start)
+        self.n = np.diff(np.concatenate([self.begin, [len(at)]]))
+        self.key = grams[anchor[self.begin]]
+
+
+def _count_anchors(window: int, gram: int):
+    """Documents to anchors with their number of runs in a chunk; key null: of all anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices_of(batch, "text", CHUNK_BYTES):
+                w = _Windows(part.column("text"), window, gram)
+                if w.any:
+                    key, count = np.unique(w.key, return_counts=True)
+                    keys = pa.concat_arrays([pa.array(key.view(np.int64)), pa.nulls(1, pa.int64())])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.append(count, len(w.key)).astype(np.int64))], ["key", "runs"])
+                del w
+                tidy()
+
+    return run
+
+
+def hot_anchors(docs: DataFrame, window: int, gram: int, hot_runs: int = HOT_RUNS) -> np.ndarray:
+    """Hashes in order of the anchors of ``docs`` (text) with over ``hot_runs`` runs, MOST_HOT at most."""
+    counts = docs.select("text").mapInArrow(_count_anchors(window, gram), "key long, runs long").groupBy("key").agg(F.sum("runs").alias("runs"))
+    often = stored(counts.where(F.col("key").isNull() | (F.col("runs") > hot_runs)), "anchors")
+    total = often.where("key is null").first()
+    bound = max(hot_runs, total.runs // MOST_HOT) if total else hot_runs  # so fewer than MOST_HOT have more
+    rows = often.where(F.col("key").isNotNull() & (F.col("runs") > bound)).select("key").toArrow()
+    return np.sort(rows.column("key").to_numpy().view(np.uint64))
+
+
+def _cut_windows(window: int, gram: int, hot: np.ndarray):
+    """Documents to runs of windows, those of ``hot`` anchors to runs of one window each
+    that have its own hash for a key. Windows that repeat within a chunk are counted
     here and answered with rows that have no ``windows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices_of(batch, "text", CHUNK_BYTES):
-                words = [(t or b"").split() for t in part.column("text").cast(pa.large_binary()).to_pylist()]
-                sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-                if not (sizes >= window).any():
-                    continue
-                h = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), dtype=np.uint64, count=int(sizes.sum()))
-                del words
-                grams, whole = rolling(h, (gram, window))
-                if not len(whole):
+                w = _Windows(part.column("text"), window, gram)
+                if not w.any:
                     continue
-                ends = np.cumsum(sizes)
-                doc = np.repeat(np.arange(len(sizes)), sizes)[: len(whole)]
-                at = np.flatnonzero(np.arange(len(whole)) + window <= ends[doc])
-                anchor = _anchors(grams, window - gram + 1)[at]
-                wh, doc = whole[at], doc[at]
-                pos = at - (ends - sizes)[doc]
+                wh, doc, pos, begin, n = w.hash, w.doc, w.place, w.begin, w.n
                 _, first, inverse, count = np.unique(wh, return_index=True, return_inverse=True, return_counts=True)
                 again = count[inverse] > 1
-                start = np.ones(len(at), dtype=bool)
-                start[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                begin = np.flatnonzero(start)
                 needed = ~again
                 needed[first] = True
-                send = np.add.reduceat(needed, begin) > 0
-                n = np.diff(np.concatenate([begin, [len(at)]]))
+                is_hot = np.isin(w.key, hot, kind="sort") if len(hot) else np.zeros(len(w.key), dtype=bool)
+                send = (np.add.reduceat(needed, begin) > 0) & ~is_hot
                 ids, hashes = part.column("doc_id"), part.column("text_hash")
                 if send.any():
-                    keep = np.repeat(send, n)
-                    offsets = np.concatenate([[0], np.cumsum(n[send])])
                     b = begin[send]
-                    yield _emit(grams[anchor[b]], doc[b], pos[b], n[send], offsets, np.ascontiguousarray(wh[keep]), ids, hashes)
+                    yield _emit(w.key[send], doc[b], pos[b], n[send], wh[np.repeat(send, n)], ids, hashes)
+                alone = np.flatnonzero(np.repeat(is_hot, n) & needed)
+                for at in range(0, len(alone), 200_000):
+                    some = alone[at : at + 200_000]
+                    yield _emit(_mix(wh[some] ^ np.uint64(INVERSE)), doc[some], pos[some], np.ones(len(some), dtype=np.int64), wh[some], ids, hashes)
                 lo, hi = _runs(again, doc)
                 if len(lo):
-                    yield _emit(_mix(wh[lo]), doc[lo], pos[lo], hi - lo + 1, None, None, ids, hashes)
-                del h, grams, whole, doc, at, anchor, wh, pos, inverse, again
+                    yield _emit(_mix(wh[lo]), doc[lo], pos[lo], hi - lo + 1, None, ids, hashes)
+                del w, wh, doc, pos, inverse, again, needed
                 tidy()
 
     return run
 
 
-def _count_windows(window: int):
+def _count_windows(window: int, held_windows: int = HELD_WINDOWS):
     """Runs in order of key to spans (doc_id, text_hash, start, end) of repeated windows.
 
-    Keys whole in a batch are counted there. Of a key that goes on in the next batch
-    only the windows met once so far and the hashes known to repeat are kept.
+    The windows of a key are told when the next key begins. Of a key with over
+    ``held_windows`` only one place of each window is kept beyond that, marked if it
+    is told already. A window is a column in five arrays: full hash, document (row
+    of ``docs``: id, whether that is null, hash of the text), place, told.
     """
-    names = ["doc_id", "text_hash", "start", "end"]
 
-    def spans(ids, hashes, row, lo, hi):
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names)
+    def spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc["id"], mask=doc["null"]), pa.array(doc["hash"]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
+            ["doc_id", "text_hash", "start", "end"],
+        )
+
+    def settle(cols: list[np.ndarray]) -> tuple[pa.RecordBatch | None, list[np.ndarray]]:
+        """Spans of the repeated windows not told yet, and one place of each window, told or not."""
+        full, doc, place, told = cols
+        _, first, inverse, count = np.unique(full, return_index=True, return_inverse=True, return_counts=True)
+        many = count[inverse] > 1
+        on = np.flatnonzero(many & ~told)
+        out = None
+        if len(on):
+            cut = np.flatnonzero((np.diff(place[on]) != 1) | (doc[on][1:] != doc[on][:-1])) + 1
+            lo, hi = on[np.concatenate([[0], cut])], on[np.concatenate([cut - 1, [len(on) - 1]])]
+            out = spans(doc[lo], place[lo], place[hi] + window)
+        kept = [c[first] for c in cols]
+        kept[3] = kept[3] | (count > 1)
+        return out, kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, once, often = None, {}, set()  # of the key that the batch before ended with
+        held: list[np.ndarray] | None = None
+        last = None
         for batch in batches:
-            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             key, lo, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "n"))
+            doc = np.zeros(len(key), dtype=[("id", np.int64), ("hash", np.int64), ("null", np.bool_)])
+            doc["id"], doc["hash"] = pc.fill_null(batch.column("doc_id"), 0).to_numpy(), pc.fill_null(batch.column("text_hash"), 0).to_numpy()
+            doc["null"] = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             blobs = batch.column("windows")
-            plain = np.asarray(blobs.is_null().to_numpy(zero_copy_only=False))
+            plain = blobs.is_null().to_numpy(zero_copy_only=False)
             if plain.any():
-                yield spans(ids, hashes, np.flatnonzero(plain), lo[plain], lo[plain] + n[plain] + window - 1)
+                yield spans(doc[plain], lo[plain], lo[plain] + n[plain] + window - 1)
             rows = np.flatnonzero(~plain)
             if not len(rows):
                 continue
-            n, key, lo = n[rows].astype(np.int64), key[rows], lo[rows]
-            wh = np.frombuffer(b"".join(blobs.take(pa.array(rows)).to_pylist()), dtype=np.uint64)
+            n, key = n[rows].astype(np.int64), key[rows]
+            wide = np.zeros((int(n.sum()), 8), dtype=np.uint8)
+            wide[:, :WIDTH] = np.frombuffer(b"".join(blobs.take(pa.array(rows)).to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
             row = np.repeat(np.arange(len(rows)), n)
-            place = lo[row] + np.arange(len(wh)) - np.repeat(np.cumsum(n) - n, n)
-            full = wh + _mix(key.view(np.uint64))[row]
-            _, inverse, count = np.unique(full, return_inverse=True, return_counts=True)
-            repeated = count[inverse] > 1
-            if last is not None and key[0] == last:
-                for i in np.flatnonzero(key[row] == last):
-                    w = int(wh[i])
-                    if w in often:
-                        repeated[i] = True
-                    elif w in once:
-                        held_id, held_hash, start = once.pop(w)
-                        often.add(w)
-                        repeated[i] = True
-                        yield pa.RecordBatch.from_arrays([pa.array([held_id], ids.type), pa.array([held_hash], pa.int64()), pa.array([start], pa.int32()), pa.array([start + window], pa.int32())], names)
-            if last is None or key[-1] != last:
-                last, once, often = key[-1], {}, set()
-            for i in np.flatnonzero(key[row] == last):
-                w = int(wh[i])
-                if repeated[i]:
-                    often.add(w)
-                    once.pop(w, None)
-                elif w not in often:
-                    r = int(rows[row[i]])
-                    once[w] = (ids[r].as_py(), hashes[r].as_py(), int(place[i]))
-            first, final = _runs(repeated, row)
-            if len(first):
-                yield spans(ids, hashes, rows[row[first]], place[first], place[final] + window)
+            place = (lo[rows] - (np.cumsum(n) - n))[row] + np.arange(len(row))
+            full = wide.view("<u8").ravel() + _mix(key.view(np.uint64))[row]
+            cols = [full, doc[rows][row], place, np.zeros(len(full), dtype=bool)]
+            first_of_last = int(np.flatnonzero(key == key[-1])[0])
+            if held is not None and key[0] == last:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            elif held is not None:
+                out, _ = settle(held)
+                if out is not None:
+                    yield out
+            open_at = len(cols[0]) - int(n[first_of_last:].sum()) if first_of_last else 0
+            if open_at:
+                out, _ = settle([c[:open_at] for c in cols])
+                if out is not None:
+                    yield out
+            held, last = [c[open_at:] for c in cols], key[-1]
+            if len(held[0]) > held_windows:
+                out, held = settle(held)
+                if out is not None:
+                    yield out
+        if held is not None:
+            out, _ = settle(held)
+            if out is not None:
+                yield out
+        tidy()
 
     return run
 
@@ -190,27 +264,39 @@ _RUNS = "key long, doc_id long, text_hash long, lo int, n int, windows binary"
 _SPANS = "doc_id long, text_hash long, start int, end int"
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Word spans (start, end) of ``docs`` (doc_id, text, text_hash) that repeated windows cover, by document; spans may overlap."""
-    runs = docs.select("doc_id", "text_hash", "text").mapInArrow(_cut_windows(window, min(GRAM, window)), _RUNS)
+def repeated_spans(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """Word spans (start, end) of ``docs`` (doc_id, text, text_hash) that repeated windows cover, by document; spans may overlap.
+
+    Anchors with over ``hot_runs`` runs, such as those of a line that a third of all
+    documents hold, are found first: their windows are dealt out by their own hash,
+    and each chunk sends a window once, however often it has it.
+    """
+    gram = min(GRAM, window)
+    hot = hot_anchors(docs, window, gram, hot_runs)
+    runs = docs.select("doc_id", "text_hash", "text").mapInArrow(_cut_windows(window, gram, hot), _RUNS)
     return runs.repartition("key").sortWithinPartitions("key").mapInArrow(_count_windows(window), _SPANS)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        packed = pa.array([None if t is None else squeeze.compress(t) for t in batch.column(at).cast(pa.large_binary()).to_pylist()], pa.binary())
-        yield batch.set_column(at, "text", packed)
+        for part in slices_of(batch, "text", CHUNK_BYTES):
+            at = part.schema.get_field_index("text")
+            packed = pa.array([None if t is None else squeeze.compress(t) for t in part.column(at).cast(pa.large_binary()).to_pylist()], pa.binary())
+            yield part.set_column(at, "text", packed)
 
 
 def _cut(joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in slices_of(batch, "text", CHUNK_BYTES):
-                yield _cut_batch(part, expand, joined)
-                tidy()
+            sizes = np.cumsum([0 if t is None else zstandard.frame_content_size(t) for t in batch.column("text").to_pylist()])
+            start = 0
+            while start < len(batch):  # by the size of the texts once expanded
+                end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + CHUNK_BYTES, side="right")))
+                yield _cut_batch(batch.slice(start, end - start), expand, joined)
+                start = end
+            tidy()
 
     return run
 
@@ -245,7 +331,18 @@ def _cut_batch(batch: pa.RecordBatch, expand: zstandard.ZstdDecompressor, joined
     return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False, extra: list[str] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, extra: list[str], window: int = WINDOW, joined: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """What :func:`remove_repeats` returns, with the columns named in ``extra`` in a struct ``extra``, so that no names clash."""
+    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*extra, F.lit(0).alias(fresh("_", extra))).alias("extra")).withColumn("text_hash", F.xxhash64("text"))
+    spans = repeated_spans(named, window, hot_runs).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("removed_spans"))
+    packed = named.mapInArrow(_pack, named.withColumn("text", F.col("text").cast("binary")).schema)
+    both = packed.alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.text_hash = s.text_hash"), "left")
+    both = both.select("d.doc_id", "d.text", "d.extra", "s.removed_spans")
+    schema = named.select("doc_id", "text", "extra", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")).schema
+    return both.mapInArrow(_cut(joined), schema)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False, extra: list[str] = (), hot_runs: int = HOT_RUNS) -> DataFrame:
     """``docs`` (doc_id, text) without the words that repeated windows cover.
 
     Returns doc_id, text, the columns named in ``extra`` as they are, n_words and
@@ -257,11 +354,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False,
     so their windows repeat; ids may be null or shared; texts shorter than a window
     lose nothing; columns not named are dropped; an empty table gives an empty table.
     """
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*extra, F.lit(0).alias("_")).alias("extra")).withColumn("text_hash", F.xxhash64("text"))
-    spans = repeated_spans(named, window).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("removed_spans"))
-    packed = named.mapInArrow(_pack, named.withColumn("text", F.col("text").cast("binary")).schema)
-    both = packed.alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.text_hash = s.text_hash"), "left")
-    both = both.select("d.doc_id", "d.text", "d.extra", "s.removed_spans")
-    schema = named.select("doc_id", "text", "extra", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")).schema
-    out = both.mapInArrow(_cut(joined), schema)
-    return out.select("doc_id", "text", *[F.col("extra")[c].alias(c) for c in extra], "n_words", "n_removed")
+    extra = list(extra)
+    return cut_repeats(docs, extra, window, joined, hot_runs).select("doc_id", "text", *[F.col("extra")[c].alias(c) for c in extra], "n_words", "n_removed")
