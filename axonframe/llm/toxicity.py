@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -16,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices_of, stored
+
 #: Letters of other scripts, and digits, that are written for Latin letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝкмтвнαεορτυικνχβγη", "aeopcyxijshdqwkmtbhaeoptuiknxbyn"))
 SUBSTITUTES = dict(zip("0123456789@$€£", "oizeasbtbgasei"))
@@ -23,15 +28,14 @@ SUBSTITUTES = dict(zip("0123456789@$€£", "oizeasbtbgasei"))
 FOLDED = {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES | {"l": "i", "ı": "i"}).items()}
 FOLDED |= {i: " " for i in range(128) if not (chr(i).isalnum() or chr(i) in "@$")}
 FOLDED |= {i: None for i in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
-FOLDED |= {0xFF21 + i: chr(97 + i).replace("l", "i") for i in range(26)} | {0xFF41 + i: chr(97 + i).replace("l", "i") for i in range(26)}
 
 
 class _Folding(dict):
-    """What a character folds to: itself if it is a letter, digit or mark on one, else a blank, whatever its code point."""
+    """What a character folds to: itself if it is a letter or digit, nothing if it is a mark on one, else a blank, whatever its code point."""
 
-    def __missing__(self, code: int) -> int | str:
+    def __missing__(self, code: int) -> int | str | None:
         c = chr(code)
-        self[code] = found = code if c.isalnum() or unicodedata.category(c)[0] == "M" else " "
+        self[code] = found = code if c.isalnum() else None if unicodedata.category(c)[0] == "M" else " "
         return found
 
 
@@ -45,17 +49,19 @@ SEED_TERMS = {
 }
 #: Matches inside these do not count.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "circus clown", "pond scum", "soap scum", "not an idiot", "not a loser", "not stupid")
-#: Labelled documents at most that a lexicon is learned from, and terms at most that it has.
+#: Labelled documents at most that a lexicon is learned from.
 MOST_LABELLED = 10_000
-MOST_TERMS = 5_000
+#: Letters of the stems that may become terms, besides whole words of any length.
 SHORTEST, LONGEST = 4, 9
 
 
 def fold(text: str) -> str:
-    """Lower case, with look-alikes and digits as letters and punctuation as blanks."""
+    """Lower case, with look-alikes, styled letters and digits as plain letters, without accents, and with blanks for all else."""
     text = text.lower()
     if "!" in text or "|" in text:
         text = _INNER.sub("i", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).lower()
     return text.translate(FOLDED)
 
 
@@ -82,21 +88,28 @@ class Lexicon:
         return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
     def measure(self, text: str | None) -> tuple[float, float, int]:
-        """Weight against the log of the length, weight a hundred words, matches."""
+        """Logs of the weight against the log of the length and of the weight a hundred words; matches.
+
+        Of the terms that start at a place the longest counts; those within an exception
+        phrase do not.
+        """
         folded = " " + fold(text or "")
-        hits, out = [], []
+        longest: dict[int, tuple[int, float]] = {}
+        spans: list[tuple[int, int]] = []
         if self.terms or self.exceptions:
             for end, (length, weight) in self.automaton.iter(folded):
-                (out if weight is None else hits).append((end - length + 1, end, weight))
-        if out:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in out)]
-        longest: dict[int, float] = {}  # of the terms that start at a place the longest counts
-        for start, _, weight in hits:
-            longest[start] = weight
+                if weight is None:
+                    spans.append((end - length + 1, end))
+                else:
+                    longest[end - length + 1] = end, weight
+        if spans and longest:
+            spans.sort()
+            starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+            longest = {a: hit for a, hit in longest.items() if (i := bisect_right(starts, a)) == 0 or ends[i - 1] < hit[0]}
         if not longest:
             return 0.0, 0.0, 0
-        total, words = sum(longest.values()), len(folded.split())
-        return min(total, 100.0) / float(np.log(10 + words)), min(100 * total / max(1, words), 50.0), len(longest)
+        total, words = sum(w for _, w in longest.values()), len(folded.split())
+        return math.log1p(total / math.log(10 + words)), math.log1p(100 * total / words), len(longest)
 
     def score(self, measures: np.ndarray) -> np.ndarray:
         x = np.column_stack([measures[:, :2], np.ones(len(measures))])
@@ -104,12 +117,12 @@ class Lexicon:
 
 
 def _starts(text: str) -> set[str]:
-    """The starts of all words of a text that may become terms."""
+    """All words of a text that may become terms, and their starts."""
     words = {w for w in fold(text).split() if len(w) >= SHORTEST}
-    return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    return words | {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST + 1))}
 
 
-def _cover(found: list[set[str]], clean: dict[str, int], n_clean: int, most: int) -> dict[str, float]:
+def _cover(found: list[set[str]], clean: dict[str, int], n_clean: int) -> dict[str, float]:
     """Terms that explain the toxic documents, each chosen for those that no term before it explains.
 
     ``found`` has the candidates in each toxic document. A term needs four documents
@@ -130,7 +143,7 @@ def _cover(found: list[set[str]], clean: dict[str, int], n_clean: int, most: int
     heapq.heapify(heap)
     out: dict[str, float] = {}
     done: set[int] = set()
-    while heap and heap[0][0] < 0 and len(out) < most:
+    while heap and heap[0][0] < 0:
         was, length, t = heapq.heappop(heap)
         by[t] -= done
         if (now := -gain(t)) > was + 1e-9:
@@ -154,19 +167,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_terms: int = MOST_TERMS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Lexicon:
     """Learn terms and weights from ``labels`` (doc_id, toxic) of ``docs``.
 
-    The first ``most_labelled`` labels in order of a hash of their id are used.
-    Word starts of 4 to 9 folded letters are counted in documents of either label;
-    those that tell become candidates, of which a greedy cover of the toxic documents
-    takes terms, weighted by their log-odds. Without labels of both kinds only the seed terms hold.
+    The first ``most_labelled`` labels in order of a hash of their id are used, each
+    with one text: of a repeated id the one with the least hash. Labels that are
+    null, neither 0 nor 1, or at odds with another of the same id do not count.
+    Whole words and word starts of 4 to 9 folded letters are counted in documents of
+    either label; those that tell become candidates, of which a greedy cover of the
+    toxic documents takes terms, weighted by their log-odds. Without labels of both
+    kinds only the seed terms hold.
     """
     seeds = {fold(k): v for k, v in SEED_TERMS.items()}
     # bounded by most_labelled, and so fit for a broadcast
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("low")).where("toxic = low")
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).select("doc_id", "toxic")
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("toxic", "text")
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("low")).where("toxic = low")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "doc_id")
+    sample = stored(found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
@@ -181,12 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
 
     counts = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     telling = counts.where((F.col("term") == "") | ((F.col("toxic") >= 4) & (F.col("clean") <= 0.43 * F.col("toxic"))))
-    rows = [tuple(r) for r in telling.orderBy(F.col("term") != "", F.col("toxic").desc(), "term").limit(20 * most_terms + 1).collect()]
+    rows = sorted((r.term, r.toxic, r.clean) for r in telling.toLocalIterator())  # each in four of the labelled documents at least, so bounded by these
     if not rows or rows[0][0] or not rows[0][1] or not rows[0][2]:
         return Lexicon(seeds)
     clean = {t: c for t, _, c in rows[1:]}
-    found = [_starts(r.text) & clean.keys() for r in sample.where("toxic = 1").select("text").toLocalIterator()]
-    lexicon = Lexicon(seeds | _cover(found, clean, rows[0][2], most_terms))
+    toxic = [_starts(r.text) & clean.keys() for r in sample.where("toxic = 1").orderBy("doc_id").select("text").toLocalIterator()]
+    lexicon = Lexicon(seeds | _cover(toxic, clean, rows[0][2]))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +232,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([shared.value.measure(t.as_py()) for t in batch.column("text")], dtype=float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(got)), pa.array(got[:, 2].astype(np.int32))], ["doc_id", "score", "n_matches"])
+            for some in slices_of(batch, "text"):
+                got = np.array([shared.value.measure(t.as_py()) for t in some.column("text")], dtype=float).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(shared.value.score(got)), pa.array(got[:, 2].astype(np.int32))], ["doc_id", "score", "n_matches"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, n_matches int")
