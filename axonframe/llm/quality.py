@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import slices_of, tidy
 
 FEATURES = (
     "log_words", "symbols", "upper", "digits", "shouts", "bars", "stops", "distinct", "top_word", "word_length",
@@ -80,26 +80,29 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int, rounds: int = 300, hidden: int = 12) -> Net:
-    """Adam on the non-negative risk of ``prior``; without it, on positives against unlabelled.
+def risk_parts(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The logistic risk of outputs on positives (``fp``) and unlabelled (``fu``): prior * P+, and U- - prior * P-, the part that must not be negative."""
+    return prior * float(np.logaddexp(0, -fp).mean()), float(np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean())
 
-    With positives' risk P+ and P-, unlabelled risk U-: prior * P+ + max(0, U- - prior * P-).
-    Where the second part is negative, the step goes up it instead, as published.
-    """
+
+def descent(fp: np.ndarray, fu: np.ndarray, prior: float) -> np.ndarray:
+    """Derivatives by the outputs, positives first, of what a step lowers: the risk or, where its second part is negative, minus that part, as published."""
+    away = np.concatenate([-prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)])
+    if risk_parts(fp, fu, prior)[1] < 0:
+        return -away
+    return away + np.concatenate([-prior * _sigmoid(-fp) / len(fp), np.zeros(len(fu))])
+
+
+def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int, rounds: int = 300, hidden: int = 12) -> Net:
+    """Adam on the non-negative risk of ``prior``; without it, on positives against unlabelled."""
     net = Net(pos.shape[1], hidden, seed)
     first, second = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p]
     r = np.random.default_rng(seed)
     for step in range(1, rounds + 1):
         p, u = pos[r.integers(0, len(pos), 2048)], unl[r.integers(0, len(unl), 2048)]
         fp, fu = net(p), net(u)
-        x, on_p, on_u = np.concatenate([p, u]), 1 / len(p), 1 / len(u)
-        if prior is None:
-            weight = np.concatenate([-_sigmoid(-fp) * on_p, _sigmoid(fu) * on_u])
-        else:
-            rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            away = np.concatenate([-prior * _sigmoid(fp) * on_p, _sigmoid(fu) * on_u])
-            toward = np.concatenate([-prior * _sigmoid(-fp) * on_p, 0 * fu])
-            weight = toward + away if rest >= 0 else -away
+        x = np.concatenate([p, u])
+        weight = np.concatenate([-_sigmoid(-fp) / len(p), _sigmoid(fu) / len(u)]) if prior is None else descent(fp, fu, prior)
         for i, g in enumerate(net.gradient(x, weight)):
             g = g + 1e-4 * net.p[i]
             first[i] = 0.9 * first[i] + 0.1 * g
@@ -152,39 +155,44 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     """Fit on the trusted positives of ``labels`` (doc_id, quality = 1) and on unlabelled ``docs``.
 
     The first ``most_positive`` positives and ``most_unlabelled`` documents in order
-    of a hash of their id are taken, so the rows that come to the driver are bounded.
+    of a hash of their id are taken, each with one text: of a repeated id the one with
+    the least hash. So the rows that come to the driver are bounded.
     With fewer than 20 of either every score is 1: nothing can be told apart.
     """
     order = F.xxhash64("doc_id")
     pos = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_positive).select("doc_id", F.lit(1).alias("trusted"))
     unl = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_unlabelled).distinct().select("doc_id", F.lit(0).alias("trusted"))
     # bounded by the two parameters, and so fit for a broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(pos.unionByName(unl)), "doc_id")
+    wanted = pos.unionByName(unl).groupBy("doc_id").agg(F.collect_list("trusted").alias("trusted"))
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pa.array(list(_table(batch.column("text"))), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("trusted"), x], ["doc_id", "trusted", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("trusted"), batch.column("text_hash"), x], ["doc_id", "trusted", "text_hash", "x"])
 
-    rows = sample.mapInArrow(run, "doc_id long, trusted int, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
+    measured = sample.mapInArrow(run, "doc_id long, trusted array<int>, text_hash long, x array<double>")
+    one = measured.groupBy("doc_id").agg(F.min_by(F.struct("trusted", "x"), "text_hash").alias("one"))
+    rows = one.select("doc_id", F.explode("one.trusted").alias("trusted"), "one.x").toArrow().sort_by([("doc_id", "ascending"), ("trusted", "descending")])
     x = np.array(rows.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     trusted = rows.column("trusted").to_numpy()
     mixed = np.random.default_rng(seed).permutation(len(x))
     return Model(x[mixed[trusted[mixed] == 1]], x[mixed[trusted[mixed] == 0]], seed)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``quality_score`` (replacing any of that name), from the whole text alone.
+def score(docs: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``column`` (replacing any of that name), from the whole text alone.
 
     A null text scores as an empty one. Ids, repeats and other columns play no part.
     An empty table gives an empty table.
     """
-    schema = docs.drop("quality_score").withColumn("quality_score", F.lit(0.0)).schema
+    schema = docs.drop(column).withColumn(column, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("quality_score", pa.array(shared.value(_table(batch.column("text"))), pa.float64()))
+            for some in slices_of(batch, "text"):
+                yield some.append_column(column, pa.array(shared.value(_table(some.column("text"))), pa.float64()))
         tidy()
 
-    return docs.drop("quality_score").mapInArrow(run, schema)
+    return docs.drop(column).mapInArrow(run, schema)
