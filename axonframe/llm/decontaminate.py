@@ -1,10 +1,18 @@
-"""Benchmark items inside documents: size-partitioned MinHash containment search, verified exactly."""
+"""Benchmark items inside documents: size-partitioned MinHash containment search, verified exactly.
+
+An item is far smaller than a document, so that MinHash values of both hardly ever
+agree. Containment is told by those of the item alone: its sketch is the few of its
+shingles that come first in the order of a hash, a random choice, and a document that
+holds most of the item holds one of them. Items are partitioned by size, and each size
+has the length of sketch that makes a miss unlikely enough, or impossible.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices_of, stored, tidy
 from .substring import _mix, rolling
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Chance at most that a pair over the threshold shares no band.
+#: Chance at most that a document over the threshold holds nothing of an item's sketch.
 MISS = 1e-9
-#: Shingles of a block of items that a task holds at once.
+#: Words of a block of items that a task holds at once.
 BLOCK_SHINGLES = 200_000
-#: A document with more benchmark shingles than this is compared with every item that
-#: shares one: its sketch would need too many bands.
-LARGEST = 1 << 8
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -40,25 +47,23 @@ def grams(words: list[bytes], lengths: tuple[int, ...]) -> list[np.ndarray]:
     return [x ^ np.uint64(k) for x, k in zip(rolling(h, lengths), lengths)]
 
 
-def bands(item: int, document: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    """One-row bands needed so that a set of at least ``document`` shingles at most,
-    holding ``threshold`` of an item of ``item``, shares one but for a chance of ``miss``."""
-    shared = math.ceil(threshold * item - 1e-9)
-    jaccard = shared / (item + document - shared)
-    return 1 if jaccard >= 1 else math.ceil(math.log(miss) / math.log1p(-jaccard))
-
+@cache
+def sketch_size(size: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """Shingles that a sketch of an item of ``size`` needs so that a document with ``threshold`` of the item holds one of them but for a chance of ``miss``.
 
-def min_hashes(sets: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
-    """``count`` min-hashes (columns) of each of the sets that lie one after another."""
-    out = np.empty((len(offsets) - 1, count), dtype=np.uint64)
-    for i in range(count):
-        out[:, i] = np.minimum.reduceat(_mix(sets ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), offsets[:-1])
-    return out
+    A document lacks ``size`` - ceil(threshold * size) shingles at most: of one more than these it holds one for sure.
+    """
+    lacking = size - math.ceil(threshold * size - 1e-9)
+    chance, k = 1.0, 0
+    while k <= lacking and chance > miss:
+        chance *= (lacking - k) / (size - k)
+        k += 1
+    return k
 
 
 @dataclass
 class Index:
-    """A block of benchmark items, by shingle and by size-partitioned bands."""
+    """A block of benchmark items: their shingles, and their sketches by size."""
 
     ids: list
     sets: list[np.ndarray]
@@ -67,61 +72,41 @@ class Index:
     short: frozenset
 
     def __post_init__(self):
-        self.sizes = np.array([len(s) for s in self.sets])
-        every = np.concatenate(self.sets)
-        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
-        order = np.argsort(every, kind="stable")
-        self.flat, self.owner = every[order], owner[order]
-        self.known = np.unique(every)
+        self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(self.sets)
+        self.sets = []
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.lexsort([_mix(self.flat ^ _SEED), owner])
+        length = np.zeros(len(self.sizes), dtype=np.int64)
+        for size in np.unique(self.sizes):
+            length[self.sizes == size] = sketch_size(int(size), self.threshold)
+        order = order[np.arange(len(order)) - self.starts[owner] < length[owner]]
+        order = order[np.argsort(self.flat[order], kind="stable")]
+        self.keys, self.items = self.flat[order], owner[order]
         self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[self.known >> np.uint64(44)] = True
-        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-    def among(self, found: np.ndarray) -> np.ndarray:
-        """The distinct shingles that any item has; others can't change a containment."""
-        found = np.unique(found[self.filter[found >> np.uint64(44)]])
-        at = np.searchsorted(self.known, found)
-        return found[self.known[np.minimum(at, len(self.known) - 1)] == found]
-
-    def table(self, size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """For documents of at most ``size`` shingles: (bands, sorted keys, items) for each partition of items by size."""
-        if size not in self.tables:
-            parts = []
-            classes = np.ceil(np.log2(np.maximum(self.sizes, 1))).astype(int)
-            for c in np.unique(classes):
-                at = np.flatnonzero(classes == c)
-                count = bands(int(self.sizes[at].min()), size, self.threshold)
-                lengths = np.concatenate([[0], np.cumsum(self.sizes[at])])
-                keys = min_hashes(np.concatenate([self.sets[i] for i in at]), lengths, count) + np.arange(count, dtype=np.uint64)
-                flat, items = keys.ravel(), np.repeat(at, count)
-                order = np.argsort(flat, kind="stable")
-                parts.append((count, flat[order], items[order]))
-            self.tables[size] = parts
-        return self.tables[size]
-
-    def candidates(self, held: np.ndarray) -> np.ndarray:
-        if len(held) > LARGEST:
-            return np.unique(self.owner[_matches(self.flat, held)[1]])
-        size = 1 << (len(held) - 1).bit_length()
-        found = []
-        for count, keys, items in self.table(size):
-            mine = min_hashes(held, np.array([0, len(held)]), count)[0] + np.arange(count, dtype=np.uint64)
-            found.append(items[_matches(keys, mine)[1]])
-        return np.unique(np.concatenate(found))
+        self.filter[self.keys >> np.uint64(44)] = True
 
     def search(self, words: list[bytes]) -> Iterator[tuple]:
         """(item id, containment) of the items of which ``words`` hold enough shingles."""
-        n = len(words)
-        lengths = tuple(k for k in {SHINGLE, *self.short} if k <= n)
+        lengths = tuple(k for k in {SHINGLE, *self.short} if k <= len(words))
         if not lengths:
             return
-        held = np.unique(np.concatenate([self.among(x) for x in grams(words, lengths)]))
-        if not len(held):
+        held = grams(words, lengths)
+        maybe = np.unique(np.concatenate([x[self.filter[x >> np.uint64(44)]] for x in held]))
+        found = np.unique(self.items[_matches(self.keys, maybe)[1]])
+        if not len(found):
             return
-        for i in self.candidates(held):
-            share = np.isin(self.sets[i], held, assume_unique=True).mean()
-            if share >= self.threshold:
-                yield self.ids[i], float(share)
+        every = np.unique(np.concatenate(held))
+        for at in range(0, len(found), 4096):
+            some = found[at : at + 4096]
+            n = self.sizes[some]
+            ends = np.cumsum(n)
+            flat = self.flat[np.repeat(self.starts[some] - (ends - n), n) + np.arange(ends[-1])]
+            place = np.minimum(np.searchsorted(every, flat), len(every) - 1)
+            share = np.add.reduceat(every[place] == flat, ends - n, dtype=np.int64) / n
+            for i in np.flatnonzero(share >= self.threshold - 1e-12):
+                yield self.ids[some[i]], float(share[i])
 
 
 def _matches(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,43 +130,58 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """Pairs (doc_id, text_hash, item_id, containment) of documents that hold at least ``threshold`` of an item's distinct shingles.
 
     ``benchmark`` (item_id, text) is read in blocks of bounded size, each sent to all
-    executors in turn. Texts are lower-cased and cut at white space; a shingle is five
-    words; an item of fewer words counts as one shingle of its length, found anywhere
-    in a document. Null or empty items and documents match nothing. Null ids stay
-    null; items or documents that repeat give a row each; other columns are ignored;
-    empty tables give an empty table.
+    executors for a pass over the documents; with several, the result of each is
+    stored before the next is read. Texts are lower-cased and cut at white space; a
+    shingle is five words; an item of fewer words counts as one shingle of its length,
+    found anywhere in a document. Null or empty items and documents match nothing. Null
+    ids stay null; items or documents that repeat give a row each; other columns are
+    ignored; empty tables give an empty table.
     """
     spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_hash", F.xxhash64("text"))
     schema = "doc_id long, text_hash long, item_id long, containment double"
-    out = spark.createDataFrame([], schema)
 
-    def found_by(index: Index):
+    def found_by(index: Index) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                rows, items, shares = [], [], []
-                for i, text in enumerate(batch.column("text").cast(pa.large_binary())):
-                    for item, share in index.search(words_of(text.as_py())):
-                        rows.append(i), items.append(item), shares.append(share)
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(items, pa.int64()), pa.array(shares, pa.float64())],
-                    ["doc_id", "text_hash", "item_id", "containment"],
-                )
+                for part in slices_of(batch, "text"):
+                    rows, items, shares = [], [], []
+                    for i, text in enumerate(part.column("text").cast(pa.large_binary())):
+                        for item, share in index.search(words_of(text.as_py())):
+                            rows.append(i), items.append(item), shares.append(share)
+                    take = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(items, pa.int64()), pa.array(shares, pa.float64())],
+                        ["doc_id", "text_hash", "item_id", "containment"],
+                    )
+            tidy()
 
         return named.mapInArrow(run, schema)
 
+    out: list[DataFrame] = []
+    for index in _blocks(benchmark, threshold):
+        if len(out) == 1:
+            out[0] = stored(out[0], "items")
+        out.append(found_by(index))
+        if len(out) > 1:
+            out[-1] = stored(out[-1], "items")
+    every = out[0] if out else spark.createDataFrame([], schema)
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _blocks(benchmark: DataFrame, threshold: float) -> Iterator[Index]:
     block, held = [], 0
     for item_id, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
         block.append((item_id, text.encode()))
         held += text.count(" ") + 1
         if held >= BLOCK_SHINGLES:
             if index := _index(block, threshold):
-                out = out.unionByName(found_by(index))
+                yield index
             block, held = [], 0
     if index := _index(block, threshold):
-        out = out.unionByName(found_by(index))
-    return out
+        yield index
