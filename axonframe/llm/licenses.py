@@ -8,13 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
+from .license_texts import FULL_TEXTS
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Chance at most that a window holding enough of a template shares no band with it.
 MISS = 1e-6
-#: Notices that name a licence.
+#: Longs at most of a filter of template words or shingles: 2 MB. With over a million shingles it lets more through; what it lets through is checked.
+MOST_LONGS = 1 << 18
+#: Notices that name a licence, and full texts.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -27,6 +30,7 @@ TEMPLATES = (
     ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("ISC-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("BSD-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    *FULL_TEXTS,
 )
 
 
@@ -79,14 +83,34 @@ def sizes_for(lengths: list[int]) -> list[Size]:
     return [size_for(c[0], c[-1]) for c in out]
 
 
-def bands_of(window: Column, size: Size) -> Column:
-    """The band keys of a window of shingles."""
+def bands_of(window: Column, size: Column) -> Column:
+    """The band keys of a window of shingles, ``size`` being a struct like :class:`Size`."""
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(window, lambda h: F.xxhash64(h, F.lit(seed))))
+    def key(b: Column) -> Column:
+        low = F.transform(F.sequence(F.lit(0), size["rows"] - 1), lambda r: F.array_min(F.transform(window, lambda h: F.xxhash64(h, b * size["rows"] + r))))
+        return F.xxhash64(size["least"], b, low)
 
-    low = [least(i) for i in range(size.bands * size.rows)]
-    return F.array(*[F.xxhash64(F.lit(size.least), F.lit(b), *low[b * size.rows : (b + 1) * size.rows]) for b in range(size.bands)])
+    return F.transform(F.sequence(F.lit(0), size["bands"] - 1), key)
+
+
+def _bit(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 40).bitwiseAND(63).cast("int")
+
+
+def bits_of(keys: DataFrame) -> Column:
+    """A filter of the longs of ``keys`` (key): a power of two of longs, sixteen bits a key or more up to MOST_LONGS, as one constant array."""
+    longs = 1 << min(int(math.log2(MOST_LONGS)), max(6, math.ceil(math.log2(max(1, keys.count()) / 4))))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("key")))
+    rows = keys.groupBy(F.col("key").bitwiseAND(longs - 1).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    every = dict(zip(rows.column("at").to_pylist(), rows.column("bits").to_pylist()))
+    # one literal that the optimizer turns into an array once, however many keys there are
+    return F.split(F.lit(",".join(str(every.get(i, 0)) for i in range(longs))), ",").cast("array<bigint>")
+
+
+def may_hold(key: Column, bits: Column) -> Column:
+    """Whether ``key`` is in the filter; of others up to one in 16 is taken for one that is."""
+    word = F.get(bits, key.bitwiseAND(F.size(bits) - 1).cast("int"))
+    return F.call_function("shiftrightunsigned", word, _bit(key)).bitwiseAND(1) == 1
 
 
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -96,40 +120,46 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) ->
     within one window. Null and empty texts, and texts and templates under five
     words, match nothing. Documents equal in id and text give one row a licence;
     null ids stay null; other columns are ignored; empty tables give an empty table.
-    The templates are a table of rules: their distinct shingles are collected to
-    the driver, documents never.
+    Templates stay a table: only the lengths that they have and a filter of a few
+    bytes a shingle are in the plan, which is as long for any number of them.
     """
     spark: SparkSession = docs.sparkSession
-    known = (
-        templates.select("license", words_of(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= SHINGLE)
-        .select("license", "w", F.size("w").alias("n"), F.array_distinct(shingles_of(F.col("w"))).alias("of"))
-    )
-    rows = known.collect()
-    result = "doc_id long, license string, containment double"
-    if not rows:
-        return spark.createDataFrame([], result)
-    every = sorted({h for r in rows for h in r.of})
+    known = templates.select("license", words_of(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= SHINGLE)
+    known = known.select("license", "w", F.size("w").alias("n"), F.array_distinct(shingles_of(F.col("w"))).alias("of"))
+    known = stored(known, "templates")
+    sizes = sizes_for([r.n for r in known.select("n").distinct().collect()])
+    if not sizes:
+        return spark.createDataFrame([], "doc_id long, license string, containment double")
+    classes = F.array(*[F.struct(*[F.lit(getattr(s, k)).alias(k) for k in ("least", "most", "stride", "window", "bands", "rows")]) for s in sizes])
     # each shingle of a template has its longest word, so a document without any of these holds no shingle
-    needed = sorted({max(r.w[i : i + SHINGLE], key=lambda w: (len(w), w)) for r in rows for i in range(r.n - SHINGLE + 1)})
+    spans = F.transform(F.sequence(F.lit(0), F.col("n") - SHINGLE), lambda i: F.array_max(F.transform(F.slice("w", i + 1, SHINGLE), lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"])
+    needed = bits_of(known.select(F.explode(spans).alias("word")).select(F.xxhash64("word").alias("key")).distinct())
+    every = bits_of(known.select(F.explode("of").alias("key")).distinct())
     # stored, so that words and shingles are made once and not again for each use
     text = F.coalesce("text", F.lit(""))
-    kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.arrays_overlap(words_of(text), F.array(*map(F.lit, needed))))
+    kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.exists(words_of(text), lambda w: may_hold(F.xxhash64(w), needed)))
     kept = stored(kept.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(text).alias("w")), "words")
-    held = stored(kept.select("doc_id", "text_hash", shingles_of(F.col("w")).alias("h")), "shingles").where(F.exists("h", lambda h: h.isin(every)))
-
-    def matches(size: Size) -> DataFrame:
-        each = F.sequence(F.lit(0), F.size("h") - 1, F.lit(size.stride))
-        starts = F.filter(each, lambda s: F.exists(F.slice(F.col("h"), s + 1, F.lit(size.window)), lambda h: h.isin(every)))
-        windows = held.select("doc_id", "text_hash", "h", F.explode(starts).alias("at")).select("doc_id", "text_hash", F.slice("h", F.col("at") + 1, F.lit(size.window)).alias("window"))
-        mine = windows.select("doc_id", "text_hash", "window", F.explode(bands_of(F.col("window"), size)).alias("band"))
-        theirs = known.where(F.col("n").between(size.least, size.most)).select("license", "of", F.explode(bands_of(F.col("of"), size)).alias("band"))
-        share = F.size(F.array_intersect("window", "of")) / F.size("of")
-        return mine.join(theirs, "band").select("doc_id", "text_hash", "license", share.alias("containment")).where(F.col("containment") >= threshold)
-
-    parts = [matches(size) for size in sizes_for([r.n for r in rows])]
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    held = kept.select("doc_id", "text_hash", shingles_of(F.col("w")).alias("h"))
+    held = held.withColumn("mark", F.transform("h", lambda h: may_hold(h, every))).where(F.exists("mark", lambda m: m))
+    held = stored(held, "shingles")
+
+    def windows(size: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size("h") - 1, size["stride"])
+        some = F.filter(starts, lambda s: F.exists(F.slice("mark", s + 1, size["window"]), lambda m: m))
+        return F.transform(some, lambda s: F.struct(s.alias("at"), size["window"].alias("size"), bands_of(F.slice("h", s + 1, size["window"]), size).alias("bands")))
+
+    # of a window only its place and its bands go into the join; its shingles are fetched for those that meet a template
+    cut = held.select("doc_id", "text_hash", F.explode(F.flatten(F.transform(classes, windows))).alias("x"))
+    mine = cut.select("doc_id", "text_hash", "x.at", "x.size", F.explode("x.bands").alias("band"))
+    own = F.filter(classes, lambda s: F.col("n").between(s["least"], s["most"]))[0]
+    theirs = stored(known.withColumn("own", own).select("license", F.explode(bands_of(F.col("of"), F.col("own"))).alias("band")), "bands")
+    pairs = mine.join(sized(theirs, 64), "band").select("doc_id", "text_hash", "at", "size", "license").distinct()
+    pairs = stored(pairs, "candidates")
+    fetched = held.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "h")
+    window = F.slice("h", F.col("at") + 1, F.col("size"))
+    checked = pairs.join(fetched, F.expr("doc_id <=> d and text_hash = t")).select("doc_id", "text_hash", "license", window.alias("window"))
+    checked = checked.join(known.select("license", "of"), "license").select("doc_id", "text_hash", "license", F.expr("size(array_intersect(window, of)) / size(of)").alias("containment"))
+    found = checked.where(F.col("containment") >= threshold)
     return found.groupBy("doc_id", "text_hash", "license").agg(F.max("containment").alias("containment")).select("doc_id", "license", "containment")
 
 
