@@ -1,4 +1,10 @@
-"""Exact cosine threshold links by dual traversal of cover trees."""
+"""Exact cosine threshold links by dual traversal of cover trees.
+
+The top level of a large group's tree is spread over tasks: centers drawn from the
+group have a cell each, of the vectors nearest to them, with a covering radius. A
+vector goes to another cell only if the radius and the bisecting plane let one of its
+vectors be near enough; within a cell trees of all levels are traversed.
+"""
 
 from __future__ import annotations
 
@@ -13,14 +19,16 @@ from .common import Forest, stored
 from .components import connected_components
 
 THRESHOLD = 0.93
-#: Vectors that a cover tree holds; larger groups are cut into blocks, and each pair of blocks is a task.
+#: Vectors that a cover tree holds. Groups with more get cells; of a crowded cell each pair of blocks is a task.
 BLOCK = 4096
+#: Cells of a group at most.
+MOST_CELLS = 1024
 #: A node of at most so many points has no children: its points are compared as they are.
 LEAF = 48
 #: Pairs of points that two nodes hold at most to be compared as they are: one product of matrices is quicker than going on.
 DIRECT = 1 << 12
 #: Distances are widened by this against rounding when node pairs are pruned.
-SLACK = 1e-9
+SLACK = 1e-7
 
 
 @dataclass
@@ -118,12 +126,18 @@ def linked(a: CoverTree, b: CoverTree, threshold: float):
             todo += [(node, qs[j]) for j in near[~small]]
 
 
+def unit(vectors) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _task(threshold: float):
     """Links within a block, or between two blocks: per vector their number, weighted by copies, and an edge to the least vector of its task-wide component."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in frame["embedding"]])
-        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        x = unit(frame["embedding"])
         ids, copies, side = frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["side"].to_numpy()
         two = frame["left"].iloc[0] != frame["right"].iloc[0]
         one = np.flatnonzero(side == 0)
@@ -145,7 +159,79 @@ def _task(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def _nearest(key, frame: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
+    """The cell of each vector, that of the nearest center, and its distance."""
+    centers = centers.sort_values("cell")
+    d = unit(frame["embedding"]) @ unit(centers["center"]).T if len(frame) else np.zeros((0, 1))
+    at = d.argmax(axis=1) if len(frame) else np.zeros(0, dtype=int)
+    far = np.sqrt(np.maximum(0.0, 2 - 2 * d[np.arange(len(at)), at]))
+    return frame[["label", "dims", "part", "node", "copies", "embedding"]].assign(cell=centers["cell"].to_numpy()[at], far=far)
+
+
+def _guests(threshold: float):
+    reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
+
+    def run(key, frame: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        """The later cells that hold vectors which each vector may link with: none if it is
+        too far from their covering radius, or too much nearer to its own center than to theirs."""
+        if not len(frame):
+            return frame[["label", "dims", "node", "copies", "embedding", "cell"]].assign(guests=[])
+        cells = cells.sort_values("cell")
+        names, radius = cells["cell"].to_numpy(), cells["radius"].to_numpy()
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * (unit(frame["embedding"]) @ unit(cells["center"]).T)))
+        near = (d <= reach + radius) & (d - frame["far"].to_numpy()[:, None] <= 2 * reach) & (names > frame["cell"].to_numpy()[:, None])
+        return frame[["label", "dims", "node", "copies", "embedding", "cell"]].assign(guests=[names[n] for n in near])
+
+    return run
+
+
+def spread(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_cells: int = MOST_CELLS) -> DataFrame:
+    """Vectors (label, node, copies, embedding, code) once for each task that they have a part in.
+
+    A task, named by label, dims, cell, left and right, compares the vectors of one
+    block of a cell, or those of side 0 with those of side 1: blocks of a crowded
+    cell with each other, or with blocks of guests from other cells.
+    """
+    classes = classes.withColumn("dims", F.size("embedding"))
+    by = ["label", "dims"]
+    counts = classes.groupBy(*by).agg(F.count("*").alias("n"), F.min("code").alias("first"))
+    counts = stored(counts.withColumn("cells", F.least(F.lit(most_cells), F.ceil(4 * F.col("n") / block)).cast("int")), "groups")
+    large = counts.where(F.col("n") > block)
+    names = [*by, "node", "copies", "embedding", "cell"]
+    own = classes.join(counts.where(F.col("n") <= block).select(*by), by).withColumn("cell", F.lit(-1).cast("long")).select(*names, F.array().cast("array<long>").alias("guests"))
+    if large.head(1):
+        of = classes.join(large, by)
+        # about as many as wanted, chosen by hash, and one at least
+        centers = of.where((F.pmod("code", F.lit(1 << 32)) < F.col("cells") / F.col("n") * float(1 << 32)) | (F.col("code") == F.col("first")))
+        centers = stored(centers.select(*by, F.col("node").alias("cell"), F.col("embedding").alias("center")), "centers")
+        parts = F.ceil(F.col("n") / block).cast("int")
+        every_part = large.select(*by, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        dealt = of.withColumn("part", F.pmod(F.xxhash64("code"), parts).cast("int")).select(*by, "part", "node", "copies", "embedding")
+        kinds = f"label {dict(classes.dtypes)['label']}, dims int"
+        key = [*by, "part"]
+        placed = dealt.groupBy(*key).cogroup(centers.join(every_part, by).groupBy(*key)).applyInPandas(_nearest, f"{kinds}, part int, node long, copies long, embedding array<double>, cell long, far double")
+        placed = stored(placed, "cells")
+        cells = placed.groupBy(*by, "cell").agg(F.max("far").alias("radius")).join(centers, [*by, "cell"])
+        cells = stored(cells, "radii")
+        more = placed.groupBy(*key).cogroup(cells.join(every_part, by).groupBy(*key)).applyInPandas(_guests(threshold), f"{kinds}, node long, copies long, embedding array<double>, cell long, guests array<long>")
+        own = own.unionByName(more)
+    own = stored(own, "placed")
+    guests = own.select(*by, "node", "copies", "embedding", F.explode("guests").alias("cell"))
+    whole = [*by, "cell"]
+    blocks = own.groupBy(*whole).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(guests.groupBy(*whole).agg(F.ceil(F.count("*") / block).cast("int").alias("guest_blocks")), whole, "left").na.fill(0, ["guest_blocks"])
+    blocks = stored(blocks, "blocks")
+    place = lambda left, right, side: F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"), side.cast("int").alias("side"))
+    at = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: place(F.least(k, F.col("at")), F.greatest(k, F.col("at")), F.col("at") > k))
+    with_guests = F.transform(F.sequence(F.lit(1), F.col("guest_blocks")), lambda k: place(F.col("at"), -k, F.lit(0)))
+    theirs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: place(k, -1 - F.col("at"), F.lit(1)))
+    home = own.join(blocks, whole).withColumn("at", at.cast("int")).withColumn("p", F.when(F.col("guest_blocks") > 0, F.concat(pairs, with_guests)).otherwise(pairs))
+    away = guests.join(blocks, whole).withColumn("at", F.pmod(F.xxhash64("node"), F.col("guest_blocks")).cast("int")).withColumn("p", theirs)
+    rows = home.select(*whole, "node", "copies", "embedding", F.explode("p").alias("p")).unionByName(away.select(*whole, "node", "copies", "embedding", F.explode("p").alias("p")))
+    return rows.select(*whole, "p.left", "p.right", "p.side", "node", "copies", "embedding")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_cells: int = MOST_CELLS) -> DataFrame:
     """Cosine links between ``vectors`` (vec_id, embedding, label) of equal label and dimension.
 
     Returns a row for each row of ``vectors``: vec_id, n_links, component_id, kept.
@@ -162,33 +248,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     fit = F.coalesce(F.col("label").isNotNull() & (F.size(x) > 0) & F.forall(x, number) & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), "label")
     rows = rows.withColumn("fit", fit)
-    valid = rows.where("fit").withColumn("code", F.xxhash64("embedding", "label"))
-    classes = (
-        valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
-        .withColumn("code", F.xxhash64("embedding", "label")).withColumn("node", F.monotonically_increasing_id())
-    )
-    classes = stored(classes, "vectors")
-    blocks = classes.groupBy("label", F.size("embedding").alias("dims")).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("blocks"))
-    at = F.pmod(F.col("code"), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least(k, F.col("at")).alias("left"), F.greatest(k, F.col("at")).alias("right"), F.when(F.col("at") > k, 1).otherwise(0).alias("side")),
-    )
-    dealt = (
-        classes.withColumn("dims", F.size("embedding")).join(blocks, ["label", "dims"]).withColumn("at", at)
-        .select("label", "dims", "node", "copies", "embedding", F.explode(pairs).alias("p"))
-        .select("label", "dims", "p.left", "p.right", "p.side", "node", "copies", "embedding")
-    )
-    found = stored(dealt.groupBy("label", "dims", "left", "right").applyInPandas(_task(threshold), "node long, links long, root long"), "links")
+    # 128 bits stand for a vector and its label
+    keys = {"code": F.xxhash64("embedding", "label"), "code2": F.xxhash64("label", F.lit("second"), "embedding")}
+    valid = rows.where("fit").withColumns(keys)
+    classes = valid.groupBy("code", "code2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    dealt = spread(classes, threshold, block, most_cells)
+    found = stored(dealt.groupBy("label", "dims", "cell", "left", "right").applyInPandas(_task(threshold), "node long, links long, root long"), "links")
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = (
-        classes.select("node", "low", "copies", "embedding", "label").join(counted, "node", "left").join(groups, "node", "left")
+        classes.select("node", "low", "copies", "code", "code2").join(counted, "node", "left").join(groups, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
     named = stored(named, "named")
     least = stored(named.groupBy("component").agg(F.min("low").alias("component_id")), "least")
-    named = named.join(least, "component").select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked_rows = valid.join(named, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n_links", "component_id")
+    named = named.join(least, "component").select("code", "code2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked_rows = valid.select("vec_id", "code", "code2").join(named, ["code", "code2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
