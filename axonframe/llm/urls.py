@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sized, stored
+
 #: Patterns on host and path that block a page where no site rule fits, each with literal tokens that every match has.
 PATTERNS = (
     (r"^[^/]*(?:^|[.-])casino(?:[.-]|/|$)", "casino"),
@@ -77,6 +79,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         F.max(F.when(F.col("kind") == "site", F.struct("size", "rule", "verdict"))).alias("site"),
         F.max(F.when(F.col("kind") == "pattern", F.struct("verdict", "rule"))).alias("other"),
     )
+    # stored: beside an aggregate by the same key Spark can't split the join where many rows share an address, such as none
+    found = sized(stored(found, "judged"), 400)
     return rows.join(found, "address", "left").select(
         "page_id", "host", "path",
         F.col("site.rule").alias("rule"),
