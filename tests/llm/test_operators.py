@@ -196,8 +196,9 @@ def cut_by_hand(texts, window):
     return words, out
 
 
-@pytest.mark.parametrize("window", [35, 9, 3, 1])
-def test_substrings_against_brute_force(spark, window):
+@pytest.mark.parametrize("window,hot_runs", [(35, 8192), (35, 2), (35, 0), (9, 8192), (9, 4), (3, 8192), (1, 3)])
+def test_substrings_against_brute_force(spark, window, hot_runs):
+    """Whether anchors are hot or not, the same words go."""
     r = np.random.default_rng(window)
     passage = [f"p{i}" for i in range(60)]
     texts = []
@@ -208,7 +209,7 @@ def test_substrings_against_brute_force(spark, window):
     texts += ["tick tock " * 60, None, "", "short one"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words, kept = cut_by_hand(texts, window)
-    for x in substring.remove_repeats(docs, window, joined=True).collect():
+    for x in substring.remove_repeats(docs, window, joined=True, hot_runs=hot_runs).collect():
         assert split(x.text) == kept[x.doc_id] and (x.n_words, x.n_removed) == (len(words[x.doc_id]), len(words[x.doc_id]) - len(kept[x.doc_id]))
 
 
@@ -221,16 +222,17 @@ def test_counting_across_batches():
     def batches(size):
         for at in range(0, len(rows), size):
             part = rows[at : at + size]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array([0] * len(part)), pa.array([r[2] for r in part], pa.int32()), pa.array([len(r[3]) for r in part], pa.int32()), pa.array([np.array(r[3], np.uint64).tobytes() for r in part], pa.binary())], ["key", "doc_id", "text_hash", "lo", "n", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array([0] * len(part)), pa.array([r[2] for r in part], pa.int32()), pa.array([len(r[3]) for r in part], pa.int32()), pa.array([b"".join(x.to_bytes(substring.WIDTH, "little") for x in r[3]) for r in part], pa.binary())], ["key", "doc_id", "text_hash", "lo", "n", "windows"])
 
-    def covered(size):
+    def covered(size, held=1 << 16):
         out = defaultdict(set)
-        for b in substring._count_windows(3)(batches(size)):
+        for b in substring._count_windows(3, held)(batches(size)):
             for d, s, e in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "end"))):
                 out[d] |= set(range(s, e))
         return out
 
-    assert covered(1) == covered(4) == covered(100) and 99 not in covered(1)
+    assert covered(1) == covered(4) == covered(100) == covered(1, 2) == covered(4, 3) and 99 not in covered(1)
+    assert covered(1)[0] == set(range(0, 4)) and covered(1)[1] == set(range(10, 14))
 
 
 def test_substring_query(spark):
@@ -272,12 +274,6 @@ def test_decontamination_of_documents_with_many_items(spark):
     assert got == {(1, i) for i in range(300)} | {(1, 900), (2, 900)}
 
 
-def test_bands_reach_the_stated_chance():
-    for item, size in ((5, 8), (20, 64), (40, 256)):
-        m, shared = decontaminate.bands(item, size), -(-4 * item // 5)
-        assert (1 - shared / (item + size - shared)) ** m <= decontaminate.MISS
-
-
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "plain1 plain2 plain3 plain4 plain5 plain6", "x")], "item_id long, text string, doc_id string")
     assert sorted(r.doc_id for r in decontaminate.find_items(odd, items).collect()) == [5, 5, 6]
@@ -366,15 +362,15 @@ def brute_links(vectors, threshold=0.93):
     return n, forest.all_roots()
 
 
-@pytest.mark.parametrize("block", [4096, 20])
-def test_embeddings_against_all_pairs(spark, block):
+@pytest.mark.parametrize("block,most_cells", [(4096, 1024), (20, 1024), (20, 2), (20, 1)])
+def test_embeddings_against_all_pairs(spark, block, most_cells):
     r = np.random.default_rng(2)
     centers = r.normal(size=(6, 12))
     rows = [(i, (centers[i % 6] + (0.05 + 0.3 * (i % 3)) * r.normal(size=12)).astype(np.float32).tolist(), i % 2) for i in range(150)]
     rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(10)]
     rows += [(300, None, 0), (301, [0.0] * 12, 0), (302, [float("nan")] * 12, 0), (303, [None] + [1.0] * 11, 0), (304, rows[0][1], None), (305, [], 0), (306, [1.0, 2.0], 0), (307, [2.0, 4.0], 0), (308, [float("inf")] + [1.0] * 11, 0)]
     n, roots = brute_links(rows)
-    got = {x.vec_id: x for x in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=block).collect()}
+    got = {x.vec_id: x for x in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=block, most_cells=most_cells).collect()}
     for k, (v, _, _) in enumerate(rows):
         assert (got[v].n_links, got[v].component_id, got[v].kept) == (n[k], rows[roots[k]][0], roots[k] == k), v
 
@@ -499,7 +495,7 @@ def test_license_bands_reach_the_stated_chance():
 # 1 and 9: classifiers
 
 
-@pytest.mark.parametrize("name,label,cut,least", [("op1_toxicity", "toxic", 0.5, 0.88), ("op9_quality_classifier", "quality", 0.7, 0.9)])
+@pytest.mark.parametrize("name,label,cut,least", [("op1_toxicity", "toxic", 0.5, 0.9), ("op9_quality_classifier", "quality", 0.7, 0.9)])
 def test_held_out(spark, name, label, cut, least):
     sf = "/root/testdata/sf0.1"
     rows = queries.QUERIES[name](spark, sf)
@@ -508,7 +504,7 @@ def test_held_out(spark, name, label, cut, least):
     assert ((p.score >= cut).astype(int) == p.predicted).all() and p.score.between(0, 1).all()
     for value in (0, 1):
         part = p[p[label] == value]
-        assert (part.predicted == value).mean() >= (least if value else 0.95) - (0.04 if label == "toxic" and value else 0)
+        assert (part.predicted == value).mean() >= (least if value else 0.95)
 
 
 def test_toxic_words_after_any_punctuation():
