@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonframe.llm import copies, decontaminate, packing, quality, substring
-from axonframe.llm.common import read, stored
+from axonframe.llm.common import fresh, read, sized, stored
 
 #: Documents that score lower are rejected.
 LEAST_QUALITY = 0.7
@@ -20,35 +20,57 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the positive-unlabelled classifier does not reject.
 
     Labels of documents whose crc32 of the id, mod 4, is 2 stay unseen, as in the query.
+    A null text is judged as an empty one; rows that repeat are judged alike; without
+    enough labels nothing is rejected. Columns of any name come through as they are.
     """
     labels = read(spark, sf_dir, "labels").where(~quality.held_out(4, 2))
     model = quality.fit(docs, labels)
-    return quality.score(docs, model).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    column = fresh("quality_score", docs.columns)
+    return quality.score(docs, model, column).where(F.col(column) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles at 0.8."""
+    """One document of each group of near copies, by five-word shingles at 0.8.
+
+    Null and empty texts are copies of one another; the least doc_id of a group stays, a
+    null id counting as least; rows equal in id and text count as one document.
+    Columns of any name come through as they are.
+    """
     return copies.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words that repeated windows cover; n_chars follows. No document goes."""
-    cut = substring.remove_repeats(docs, extra=[c for c in docs.columns if c not in ("doc_id", "text")])
-    out = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Documents without the words that repeated windows cover; n_chars, if there, follows. No document goes.
+
+    Null texts stay null and texts of which nothing goes stay as they are. Columns of any name come through.
+    """
+    kept = substring.cut_repeats(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
+    kind = dict(docs.dtypes)
+
+    def column(c: str):
+        if c in ("doc_id", "text"):
+            return F.col(c).cast(kind[c])
+        if c == "n_chars":
+            return F.when(F.col("n_removed") > 0, F.length("text").cast(kind[c])).otherwise(F.col("extra")[c]).alias(c)
+        return F.col("extra")[c].alias(c)
+
+    return kept.select(*map(column, docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; rows that share id and text go or stay together.
+    Columns of any name come through as they are.
+    """
     found = decontaminate.find_items(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct()
-    found = stored(found.withColumn("known", F.lit(True)), "contaminated")
-    named = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
-    clean = named.alias("d").join(copies._sized(found, 24).alias("f"), F.expr("d.text_hash = f.text_hash and cast(d.doc_id as long) <=> f.doc_id"), "left_anti")
-    return clean.select(*docs.columns)
+    found = stored(found, "contaminated")
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    return named.join(sized(found, 24), F.expr("hash = text_hash and id <=> doc_id"), "left_anti").select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, packed into sequences."""
+    """The pieces of all documents left, packed into sequences; a null text is one token, rows that repeat are packed each."""
     return packing.pack(docs)
 
 
