@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,8 +26,8 @@ GENERATIONS = 8
 EPOCHS = 2
 #: A bin at least this full is settled; the others of all shards are packed once more together.
 SETTLED = 0.98
-#: Parts of words whose ids a worker keeps at hand.
-CACHED_PARTS = 700_000
+#: Bytes of parts of words, with their ids, that a worker keeps at hand.
+CACHED_BYTES = 32 << 20
 #: Text that is tokenized at once.
 CHUNK_BYTES = 8 << 20
 
@@ -43,42 +42,103 @@ def default_tokenizer() -> str:
 #: and those of the letters do not depend on their case. Other words are encoded whole.
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_state: dict[str, tuple] = {}
-CACHES.append(_state)
+#: Words that are encoded in one string, with blanks between them.
+_JOINED = 512
 
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer and the ids of the parts of words met so far, one for each worker."""
-    if path not in _state:
+class Parts:
+    """A tokenizer, and the ids of the parts of words met so far, in Arrow and numpy arrays of bounded size."""
+
+    def __init__(self, path: str, most_bytes: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _state[path] = Tokenizer.from_file(path), {"": b""}
-    return _state[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
+        # of a vocabulary with word ends: the tokens that end a word
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.most_bytes = CACHED_BYTES if most_bytes is None else most_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.flat, self.lengths = pa.array([], pa.large_string()), np.zeros(0, self.kind), np.zeros(0, np.int32)
+
+    def _one_by_one(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for at in range(0, len(parts), 20_000) for e in self.tokenizer.encode_batch_fast(parts[at : at + 20_000], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+        return np.fromiter((i for some in ids for i in some), dtype=self.kind, count=int(lengths.sum())), lengths
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, told apart by the tokens that end a word."""
+        if not len(words) or not self.ends.any():
+            return self._one_by_one(words.to_pylist())
+        lines = [" ".join(words.slice(at, _JOINED).to_pylist()) for at in range(0, len(words), _JOINED)]
+        flat = []
+        for at in range(0, len(lines), 64):
+            flat += [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(lines[at : at + 64], add_special_tokens=False)]
+        flat = np.concatenate(flat)
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        if len(ends) != len(words) or ends[-1] != len(flat):
+            return self._one_by_one(words.to_pylist())
+        return flat, np.diff(ends, prepend=0).astype(np.int32)
+
+    def encode(self, parts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``parts`` one after another, and how many each has; ``letters`` tells which are of lower-case letters only."""
+        at = pc.fill_null(pc.index_in(parts, self.known), -1).to_numpy(zero_copy_only=False)
+        fresh = np.flatnonzero(at < 0)
+        if (self.known.nbytes + self.flat.nbytes + self.lengths.nbytes) + 32 * len(fresh) > self.most_bytes and len(self.known):
+            self.clear()
+            fresh = np.arange(len(parts))
+        words, others = fresh[letters[fresh]], fresh[~letters[fresh]]
+        found = self._words(parts.take(pa.array(words))), self._one_by_one(parts.take(pa.array(others)).to_pylist())
+        order = np.concatenate([words, others])
+        before = len(self.known)
+        known = pa.concat_arrays([self.known, parts.take(pa.array(order))])
+        flat = np.concatenate([self.flat, *(f[0] for f in found)])
+        lengths = np.concatenate([self.lengths, *(f[1] for f in found)])
+        which = at.astype(np.int64)
+        which[order] = before + np.arange(len(order))
+        if known.nbytes + flat.nbytes + lengths.nbytes <= self.most_bytes:
+            self.known, self.flat, self.lengths = known, flat, lengths
+        else:  # a chunk with so many parts is not kept
+            self.clear()
+        out, ends = _gather(flat, lengths, which)
+        return out, np.diff(ends)
+
+
+_state: dict[str, Parts] = {}
+CACHES.append(_state)
 
 
-def _encoded(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all parts one after another, and how many each has."""
-    tokenizer, known = _tokenizer(path)
-    fresh = [p for p in parts if p not in known]
-    if len(known) + len(fresh) > CACHED_PARTS:
-        known.clear()
-        known[""] = b""
-        fresh = [p for p in parts if p]
-    for at in range(0, len(fresh), 20_000):
-        some = fresh[at : at + 20_000]
-        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            known[p] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
-    made = list(map(known.__getitem__, parts))
-    return np.frombuffer(b"".join(made), dtype="<u4"), np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+def _parts(path: str) -> Parts:
+    """The tokenizer and the parts met so far, one for each worker."""
+    if path not in _state:
+        _state[path] = Parts(path)
+    return _state[path]
 
 
 def _gather(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches ``which`` of ``flat``, one after another, and where each ends, from 0."""
-    starts = np.cumsum(lengths) - lengths
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
     n = lengths[which]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    return flat[np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])], ends
+    ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    out = np.empty(ends[-1], dtype=flat.dtype)
+    for at in range(0, len(n), 1 << 18):  # so that the places of all ids are never held at once
+        some = n[at : at + (1 << 18)]
+        lo, hi = ends[at], ends[at + len(some)]
+        out[lo:hi] = flat[np.repeat(starts[which[at : at + len(some)]] - ends[at : at + len(some)], some) + np.arange(lo, hi)]
+    return out, ends
+
+
+def _tails(words: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """The last bytes of each word, ``sizes`` of them."""
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64, count=len(words) + 1 + words.offset)[words.offset + 1 :]
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    places = np.repeat(ends - sizes - offsets[:-1], sizes) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(data[places])])
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +154,15 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     letters = pc.ascii_rtrim(words, _PUNCTUATION)
     plain = pc.match_substring_regex(letters, _LETTERS)
     first = pc.if_else(plain, pc.utf8_lower(letters), words).dictionary_encode()
-    ends_at = np.where(plain.to_numpy(zero_copy_only=False), pc.utf8_length(letters).to_numpy(), pc.utf8_length(words).to_numpy())
-    more = np.flatnonzero(ends_at < pc.utf8_length(words).to_numpy())
-    rest: dict[str, int] = {"": 0}
-    second = np.zeros(len(words), dtype=np.int64)
-    second[more] = [rest.setdefault(w[k:], len(rest)) for w, k in zip(words.take(pa.array(more)).to_pylist(), ends_at[more].tolist())]
-    parts = first.dictionary.to_pylist()
-    flat, lengths = _encoded([*parts, *rest], path)
+    tails = (pc.binary_length(words).to_numpy() - pc.binary_length(letters).to_numpy()).astype(np.int64)
+    tails[~plain.to_numpy(zero_copy_only=False)] = 0
+    second = _tails(words, tails).dictionary_encode()
+    whole = pc.match_substring_regex(first.dictionary, _LETTERS).to_numpy(zero_copy_only=False)
+    parts = pa.concat_arrays([first.dictionary, second.dictionary])
+    is_word = np.concatenate([whole, np.zeros(len(second.dictionary), dtype=bool)])
+    flat, lengths = _parts(path).encode(parts, is_word)
     # the ids of each distinct word from those of its two parts, then those of all words
-    both = np.column_stack([first.indices.to_numpy(), second + len(parts)]).ravel()
+    both = np.column_stack([first.indices.to_numpy(), second.indices.to_numpy() + np.int64(len(first.dictionary))]).ravel()
     flat, ends = _gather(flat, lengths, both)
     flat, ends = _gather(flat, np.diff(ends[::2]), coded.indices.to_numpy())
     return flat, ends[offsets]
@@ -120,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 rows, piece, length, crc = [], [], [], []
                 flat, bounds = token_ids(part.column("text").cast(pa.large_string()), path)
                 for i in range(len(part)):
-                    ids = flat[bounds[i] : bounds[i + 1]].tobytes() + end
+                    ids = flat[bounds[i] : bounds[i + 1]].astype("<u4").tobytes() + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         some = ids[at : at + 4 * capacity]
                         rows.append(i), piece.append(k), length.append(len(some) // 4), crc.append(zlib.crc32(some))
