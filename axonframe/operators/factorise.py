@@ -1,31 +1,105 @@
-"""Low-rank fits of a value of each connection: alternating least squares over rows of sources and targets."""
+"""Low-rank fits of a value of each connection: rows of sources and of targets whose products come near it.
+
+The objective is the sum over edges of weight * (fit - value)^2 / 2 and of ridge / 2 * the squares of the
+rows that move, in units of the plane's root mean square; an edge weighs 1 / max(|value|, 1)^2. Rows are
+tables (node, lanes). Every sweep or step is written to the shared folder, so that plans stay short and
+nothing but a few numbers comes to the driver.
+"""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+from .events import prefix_sums
+
 RIDGE = 1e-7
+#: Sweeps at most; and a fit stalls if so many of them gain less than this share of the error.
+MOST_SWEEPS, STALL_SWEEPS, STALL_GAIN = 100, 10, 0.05
+#: Steps at most of the quasi-Newton fit, those it looks back on, and steps without gain after which it stalls.
+MOST_STEPS, HISTORY, STALL_STEPS = 2000, 5, 100
+#: Presets: the largest error that a plane may have, as a share of max(|value|, root mean square).
+TOLERANCES = {"exact": 1e-5, "fine": 1e-4, "normal": 1e-3, "coarse": 1e-2}
+
+
+def delay_is_exact(tolerance: float, delay_ticks: float) -> bool:
+    """Whether a delay read with ``tolerance`` still rounds to the same tick."""
+    return tolerance * delay_ticks < 0.5
+
+
+@dataclass
+class Fit:
+    """Rows of sources and of targets, the worst error that they leave, and the sweeps or steps taken."""
+
+    u: DataFrame
+    v: DataFrame
+    error: float
+    rounds: int
+
+
+def scaled(edges: DataFrame) -> tuple[DataFrame, float]:
+    """Edges (src, dst, weight) with ``value`` in units of the plane's root mean square and ``w``; and that unit, 0 for a plane of zeros."""
+    unit = edges.agg(F.sqrt(F.avg(F.col("weight") * F.col("weight"))).alias("rms")).first().rms or 0.0
+    value = F.col("weight") / F.lit(unit or 1.0)
+    out = edges.select("src", "dst", value.alias("value"))
+    return stored(out.withColumn("w", 1 / F.pow(F.greatest(F.abs("value"), F.lit(1.0)), F.lit(2.0))), "plane"), unit
+
 
+def _product(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-def start_rows(edges: DataFrame, side: str, lanes: int) -> DataFrame:
-    """First rows (node, lanes) of one side: its mean first, then small values that the node's number fixes."""
-    noise = [F.lit(0.1) * (F.pmod(F.xxhash64("node", F.lit(k), F.lit(side)), F.lit(2001)) / 1000 - 1.0) for k in range(1, lanes)]
-    means = edges.groupBy(F.col(side).alias("node")).agg(F.avg("weight").alias("m"))
-    return means.select("node", F.array(F.col("m") if side == "src" else F.lit(1.0), *noise).alias("lanes"))
 
+def _with_rows(plane: DataFrame, u: DataFrame, v: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    return plane.join(u.select(F.col("node").alias("src"), F.col("lanes").alias(a)), "src").join(v.select(F.col("node").alias("dst"), F.col("lanes").alias(b)), "dst")
 
-def solve_side(edges: DataFrame, other: DataFrame, side: str, against: str, lanes: int, ridge: float = RIDGE) -> DataFrame:
+
+def worst_error(plane: DataFrame, u: DataFrame, v: DataFrame) -> float:
+    """Largest |fit - value| / max(|value|, 1) over all edges of a scaled plane."""
+    error = F.abs(_product("a", "b") - F.col("value")) * F.sqrt("w")
+    found = _with_rows(plane, u, v).agg(F.max(error).alias("e")).first().e
+    return 0.0 if found is None else float(found)
+
+
+def start_rows(plane: DataFrame, lanes: int) -> tuple[DataFrame, DataFrame]:
+    """First rows: lane 0 holds the mean of a source, lane 1 the mean of a target less the mean of all, which
+    is exact where a value is a sum of one for each; a tenth of a normal spread, fixed by the node's number, on the others."""
+    whole = plane.agg(F.avg("value").alias("m")).first().m or 0.0
+
+    def noise(side: str) -> list[Column]:
+        radius = lambda k: F.sqrt(-2 * F.log((F.pmod(F.xxhash64("node", F.lit(k), F.lit(side)), F.lit(1 << 24)) + 0.5) / float(1 << 24)))
+        angle = lambda k: F.cos(2 * math.pi * F.pmod(F.xxhash64("node", F.lit(k), F.lit(side + "2")), F.lit(1 << 24)) / float(1 << 24))
+        return [0.1 * lanes**-0.25 * radius(k) * angle(k) for k in range(2, lanes)]
+
+    rows = plane.groupBy(F.col("src").alias("node")).agg(F.avg("value").alias("m")).select("node", F.array(F.col("m"), *([F.lit(1.0)] if lanes > 1 else []), *noise("u")).alias("lanes"))
+    cols = plane.groupBy(F.col("dst").alias("node")).agg(F.avg("value").alias("m"))
+    cols = cols.select("node", F.array(F.lit(1.0), *([F.col("m") - F.lit(whole)] if lanes > 1 else []), *noise("v")).alias("lanes"))
+    return stored(rows, "u"), stored(cols, "v")
+
+
+def balanced(u: DataFrame, v: DataFrame, lanes: int) -> tuple[DataFrame, DataFrame]:
+    """The same products with each lane as long on one side as on the other."""
+    squares = lambda rows, name: rows.agg(F.array(*[F.sum(F.get("lanes", F.lit(k)) * F.get("lanes", F.lit(k))) for k in range(lanes)]).alias(name))
+    found = squares(u, "a").crossJoin(squares(v, "b")).first()
+    factors = [(b / a) ** 0.25 if a and b else 1.0 for a, b in zip(found.a, found.b)]
+    times = lambda rows, f: rows.select("node", F.zip_with("lanes", F.array(*map(F.lit, f)), lambda x, y: x * y).alias("lanes"))
+    return times(u, factors), times(v, [1 / f for f in factors])
+
+
+def solve_side(plane: DataFrame, other: DataFrame, side: str, against: str, lanes: int, ridge: float = RIDGE) -> DataFrame:
     """Rows of ``side`` that fit all its edges best, given the rows of the other side.
 
     The sums of each node's normal equations are added up before the shuffle, so a
     node of very many edges is no burden; a task then solves one small system a node.
     """
-    both = edges.join(other.select(F.col("node").alias(against), F.col("lanes").alias("x")), against)
-    pairs = [F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(j))) for i in range(lanes) for j in range(i, lanes)]
-    right = [F.sum(F.get("x", F.lit(i)) * F.col("weight")) for i in range(lanes)]
+    both = plane.join(other.select(F.col("node").alias(against), F.col("lanes").alias("x")), against)
+    pairs = [F.sum(F.col("w") * F.get("x", F.lit(i)) * F.get("x", F.lit(j))) for i in range(lanes) for j in range(i, lanes)]
+    right = [F.sum(F.col("w") * F.get("x", F.lit(i)) * F.col("value")) for i in range(lanes)]
     sums = both.groupBy(F.col(side).alias("node")).agg(F.array(*pairs, *right).alias("s"))
     upper = np.triu_indices(lanes)
 
@@ -43,39 +117,205 @@ def solve_side(edges: DataFrame, other: DataFrame, side: str, against: str, lane
     return sums.mapInPandas(solve, "node long, lanes array<double>")
 
 
-def fit(edges: DataFrame, lanes: int, sweeps: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Rows of sources and of targets after so many sweeps over both sides."""
-    u, v = None, start_rows(edges, "dst", lanes)
-    for _ in range(sweeps):
-        u = solve_side(edges, v, "src", "dst", lanes)
-        v = solve_side(edges, u, "dst", "src", lanes)
-    return u, v
+def _moved(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """``rows`` with those of ``new`` in place of theirs."""
+    return rows.join(new.select("node", F.col("lanes").alias("_n")), "node", "left").select("node", F.coalesce("_n", "lanes").alias("lanes"))
+
+
+def alternate(plane: DataFrame, lanes: int, tolerance: float = 0.0, sweeps: int = MOST_SWEEPS, start: tuple[DataFrame, DataFrame] | None = None, moved: tuple[DataFrame, DataFrame] | None = None, ridge: float = RIDGE) -> Fit:
+    """Alternating least squares on a scaled plane: balance, sources, balance, targets, until the worst error is within
+    ``tolerance``, stalls, or all sweeps are done; the best sweep is kept. ``moved`` (src, dst) names the only nodes whose rows move."""
+    u, v = start or start_rows(plane, lanes)
+    best = Fit(u, v, worst_error(plane, u, v), 0)
+    after = [best.error]
+    of_src = plane if moved is None else plane.join(moved[0].select(F.col("node").alias("src")), "src", "left_semi")
+    of_dst = plane if moved is None else plane.join(moved[1].select(F.col("node").alias("dst")), "dst", "left_semi")
+    for sweep in range(1, sweeps + 1):
+        if best.error <= tolerance:
+            break
+        u, v = balanced(u, v, lanes)
+        new = solve_side(of_src, v, "src", "dst", lanes, ridge)
+        u = stored(new if moved is None else _moved(u, new), "u")
+        u, v = balanced(u, v, lanes)
+        new = solve_side(of_dst, u, "dst", "src", lanes, ridge)
+        u, v = stored(u, "u"), stored(new if moved is None else _moved(v, new), "v")
+        error = worst_error(plane, u, v)
+        if error < best.error:
+            best = Fit(u, v, error, sweep)
+        after.append(best.error)
+        if sweep >= STALL_SWEEPS and best.error > (1 - STALL_GAIN) * after[sweep - STALL_SWEEPS]:
+            break
+    return Fit(best.u, best.v, best.error, len(after) - 1)
+
+
+def _gradient(plane: DataFrame, u: DataFrame, v: DataFrame, ridge: float) -> tuple[DataFrame, DataFrame]:
+    """Derivatives of the objective by all rows: (node, lanes) of either side."""
+    pull = _with_rows(plane, u, v).withColumn("r", F.col("w") * (_product("a", "b") - F.col("value")))
+
+    def of(rows: DataFrame, side: str, against: str) -> DataFrame:
+        each = pull.select(F.col(side).alias("node"), F.posexplode(F.transform(against, lambda x: x * F.col("r"))).alias("k", "g")).groupBy("node", "k").agg(F.sum("g").alias("g"))
+        sums = each.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "g"))), lambda s: s["g"]).alias("g"))  # as many as lanes
+        return rows.join(sums, "node").select("node", F.zip_with("g", "lanes", lambda g, x: g + ridge * x).alias("lanes"))
+
+    return of(u, "src", "b"), of(v, "dst", "a")
+
+
+def direction(gram: np.ndarray, pairs: int) -> np.ndarray:
+    """Weights of the vectors s_1.., y_1.., g (oldest first) that add up to the quasi-Newton direction, from their dot products alone."""
+    n = 2 * pairs + 1
+    d = np.zeros(n)
+    d[-1] = -1.0
+    alpha = np.zeros(pairs)
+    for i in reversed(range(pairs)):
+        alpha[i] = d @ gram[:, i] / gram[i, pairs + i]
+        d[pairs + i] -= alpha[i]
+    if pairs:
+        d *= gram[pairs - 1, 2 * pairs - 1] / gram[2 * pairs - 1, 2 * pairs - 1]
+    for i in range(pairs):
+        beta = d @ gram[:, pairs + i] / gram[i, pairs + i]
+        d[i] += alpha[i] - beta
+    return d
+
+
+def best_step(c: np.ndarray) -> float:
+    """Where the polynomial c[0] + c[1] t + ... + c[4] t^4, which falls at 0, has its first low for t > 0."""
+    roots = np.roots([4 * c[4], 3 * c[3], 2 * c[2], c[1]])
+    lows = sorted(r.real for r in roots if abs(r.imag) < 1e-9 * max(1.0, abs(r)) and r.real > 0)
+    return lows[0] if lows else 0.0
+
+
+def quasi_newton(plane: DataFrame, lanes: int, tolerance: float = 0.0, steps: int = MOST_STEPS, start: tuple[DataFrame, DataFrame] | None = None, ridge: float = RIDGE) -> Fit:
+    """Limited-memory BFGS on a scaled plane.
+
+    Rows, their derivatives and the differences of the last steps are one table; the
+    driver sees their dot products. Along a direction the objective is a polynomial of
+    degree four, whose coefficients one pass over the edges adds up, so the first low
+    is found exactly: there the slope is zero, which is within any Wolfe condition.
+    """
+    u, v = start or start_rows(plane, lanes)
+    side = lambda rows, name: rows.select(F.lit(name).alias("side"), "node", "lanes")
+    both = lambda pair: side(pair[0], "u").unionByName(side(pair[1], "v"))
+    join = lambda x, g: x.withColumnRenamed("lanes", "x").join(g.withColumnRenamed("lanes", "g"), ["side", "node"])
+    state = stored(join(both((u, v)), both(_gradient(plane, u, v, ridge))).withColumn("s", F.array().cast("array<array<double>>")).withColumn("y", F.array().cast("array<array<double>>")), "state")
+    best, since, pairs = Fit(u, v, worst_error(plane, u, v), 0), 0, 0
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    for step in range(1, steps + 1):
+        if best.error <= tolerance or since >= STALL_STEPS:
+            break
+        vectors = [F.get("s", F.lit(i)) for i in range(pairs)] + [F.get("y", F.lit(i)) for i in range(pairs)] + [F.col("g")]
+        upper = [(i, j) for i in range(len(vectors)) for j in range(i, len(vectors))]
+        sums = state.agg(F.array(*[F.sum(dot(vectors[i], vectors[j])) for i, j in upper]).alias("d"), F.array(*[F.sum(dot(F.col("x"), x)) for x in vectors]).alias("x")).first()
+        gram = np.zeros((len(vectors), len(vectors)))
+        for (i, j), value in zip(upper, sums.d):
+            gram[i, j] = gram[j, i] = value
+        if gram[-1, -1] <= 1e-30:
+            break
+        weights = direction(gram, pairs)
+        if weights @ gram[:, -1] >= 0:  # not downhill: forget what was and go down the gradient
+            weights = np.zeros(len(vectors))
+            weights[-1] = -1.0
+        along = F.transform("g", lambda _, k: sum((F.lit(float(w)) * F.get(x, k) for w, x in zip(weights, vectors)), F.lit(0.0)))
+        state = state.withColumn("d", along)
+        rows = lambda name, column: state.where(F.col("side") == name).select("node", F.col(column).alias("lanes"))  # noqa: E731,B023
+        lines = _with_rows(_with_rows(plane, rows("u", "x"), rows("v", "x")), rows("u", "d"), rows("v", "d"), "da", "db")
+        a, b, c = _product("a", "b") - F.col("value"), _product("a", "db") + _product("da", "b"), _product("da", "db")
+        terms = {"p0": a * a / 2, "p1": a * b, "p2": b * b / 2 + a * c, "p3": b * c, "p4": c * c / 2}
+        p = lines.agg(*[F.sum(F.col("w") * t).alias(k) for k, t in terms.items()]).first()
+        t = best_step(np.array([p.p0, p.p1 + ridge * (weights @ np.array(sums.x)), p.p2 + ridge * (weights @ gram @ weights) / 2, p.p3, p.p4]))
+        if t <= 0:
+            break
+        moved = state.select("side", "node", F.zip_with("x", "d", lambda x, d: x + t * d).alias("x"), "g", F.transform("d", lambda d: d * t).alias("now"), "s", "y")
+        moved = stored(moved, "moved")
+        u, v = (moved.where(F.col("side") == n).select("node", F.col("x").alias("lanes")) for n in ("u", "v"))
+        g = both(_gradient(plane, u, v, ridge)).withColumnRenamed("lanes", "new")
+        keep = lambda old, new: F.slice(F.concat(old, F.array(new)), F.greatest(F.lit(1), F.size(old) + 2 - HISTORY), HISTORY)
+        state = stored(moved.join(g, ["side", "node"]).select("side", "node", "x", F.col("new").alias("g"), keep(F.col("s"), F.col("now")).alias("s"), keep(F.col("y"), F.zip_with("new", "g", lambda a, b: a - b)).alias("y")), "state")
+        pairs = min(pairs + 1, HISTORY)
+        error = worst_error(plane, u, v)
+        since = since + 1 if error > (1 - STALL_GAIN) * best.error else 0
+        if error < best.error:
+            best = Fit(u, v, error, step)
+    return Fit(best.u, best.v, best.error, best.rounds)
+
+
+def fit(edges: DataFrame, lanes: int, sweeps: int = MOST_SWEEPS, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Rows of sources and of targets, in the plane's own units, of edges (src, dst, weight)."""
+    plane, unit = scaled(edges)
+    found = alternate(plane, lanes, tolerance, sweeps)
+    return found.u.select("node", F.transform("lanes", lambda x: x * F.lit(unit)).alias("lanes")), found.v
 
 
 def errors(edges: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
-    """Root mean square of the plane and of what the fit leaves: one row."""
-    rows = edges.join(u.select(F.col("node").alias("src"), F.col("lanes").alias("a")), "src").join(v.select(F.col("node").alias("dst"), F.col("lanes").alias("b")), "dst")
-    value = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return rows.agg(F.sqrt(F.avg(F.col("weight") * F.col("weight"))).alias("rms"), F.sqrt(F.avg((value - F.col("weight")) ** 2)).alias("error"))
+    """Root mean square of the plane and of what the fit leaves, and its worst error: one row."""
+    rows = _with_rows(edges, u, v).withColumn("fit", _product("a", "b"))
+    whole = edges.agg(F.sqrt(F.avg(F.col("weight") * F.col("weight"))).alias("rms"))
+    left = F.abs(F.col("fit") - F.col("weight"))
+    return rows.crossJoin(F.broadcast(whole)).agg(F.max("rms").alias("rms"), F.sqrt(F.avg(left * left)).alias("error"), F.max(left / F.greatest(F.abs("weight"), F.col("rms"), F.lit(1e-300))).alias("worst"))
 
 
 def lane_errors(edges: DataFrame, lanes: list[int], sweeps: int = 5) -> DataFrame:
     """One row for each number of lanes: the error of its fit against the plane's root mean square."""
     out = None
     for n in lanes:
-        row = errors(edges, *fit(edges, n, sweeps)).select(F.lit(n).alias("lanes"), F.round("rms", 9).alias("rms"), F.round("error", 6).alias("error"))
+        row = errors(edges, *fit(edges, n, sweeps)).select(F.lit(n).alias("lanes"), F.round("rms", 9).alias("rms"), F.round("error", 6).alias("error"), F.round("worst", 6).alias("worst"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def fewest_lanes(edges: DataFrame, tolerance: float, most: int = 64, sweeps: int = 5) -> int:
-    """Least power of two of lanes, up to ``most``, whose error is within ``tolerance`` of the root mean square; or the one where two doublings in a row gained under 5 %."""
-    n, last, poor = 1, None, 0
+def _wider(found: Fit, plane: DataFrame, lanes: int, more: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``found`` with new lanes that leave all products as they are: nothing on the sources' side."""
+    _, fresh = start_rows(plane, lanes + more + 2)
+    u = found.u.select("node", F.concat("lanes", F.array_repeat(F.lit(0.0), more)).alias("lanes"))
+    v = found.v.join(fresh.select("node", F.col("lanes").alias("f")), "node").select("node", F.concat("lanes", F.slice("f", lanes + 3, more)).alias("lanes"))
+    return stored(u, "u"), stored(v, "v")
+
+
+def fewest_lanes(edges: DataFrame, tolerance: float, most: int = 64, sweeps: int = MOST_SWEEPS, method: str = "alternate") -> tuple[int, float, bool]:
+    """Fewest lanes whose worst error is within ``tolerance``: 1, 2, 4, ... up to ``most``, then by halves between the last that
+    missed and the first that held. Returns the lanes, their error, and whether the tolerance is met.
+
+    Each probe starts from the rows of the last that missed. The search ends where two doublings in a
+    row gained under 5 % each; a plane of zeros needs no lanes.
+    """
+    solve = {"alternate": alternate, "quasi-newton": quasi_newton}[method]
+    plane, unit = scaled(edges)
+    if not unit:
+        return 0, 0.0, True
+
+    def probe(n: int, low: tuple[int, Fit] | None) -> Fit:
+        return solve(plane, n, tolerance, sweeps, None if low is None else _wider(low[1], plane, low[0], n - low[0]))
+
+    n, low, poor = 1, None, 0
     while True:
-        row = errors(edges, *fit(edges, n, sweeps)).first()
-        if row.error is None or row.error <= tolerance * row.rms or n >= most:
-            return n
-        poor = poor + 1 if last is not None and row.error > 0.95 * last else 0
-        if poor == 2:
-            return n
-        last, n = row.error, n * 2
+        found = probe(n, low)
+        if found.error <= tolerance:
+            break
+        poor = poor + 1 if low is not None and found.error > (1 - STALL_GAIN) * low[1].error else 0
+        low = n, found
+        if n >= most or poor == 2:
+            return n, found.error, False
+        n = min(2 * n, most)
+    high = n, found
+    while low is not None and high[0] - low[0] > 1:
+        n = (low[0] + high[0]) // 2
+        found = probe(n, low)
+        low, high = (low, (n, found)) if found.error <= tolerance else ((n, found), high)
+    return high[0], high[1].error, True
+
+
+def budgets(searched: DataFrame, fraction: float, cap: int) -> DataFrame:
+    """Lanes (plane, wanted, lanes) of planes (plane, searched): the searched number times 1 + ``fraction``; a plane
+    that starts at zero (0 searched) asks for as much as the largest. While all together pass ``cap`` a lane comes
+    off the largest budget, of equal ones off that of the lowest plane, but never the last."""
+    largest = searched.agg(F.max("searched").alias("m")).first().m or 0
+    asked = F.when(F.col("searched") == 0, F.lit(largest)).otherwise(F.col("searched"))
+    wanted = searched.select("plane", F.greatest(F.lit(1), F.ceil(asked * F.lit(1 + fraction))).cast("long").alias("wanted"))
+    counts = sorted((r.wanted, r["count"]) for r in wanted.groupBy("wanted").count().collect())  # a row for each number of lanes
+    whole = lambda h: sum(min(w, h) * c for w, c in counts)
+    level = max((h for h in range(1, (counts[-1][0] if counts else 0) + 1) if whole(h) <= cap), default=1)
+    spare = max(0, cap - whole(level))
+    over = wanted.withColumn("over", (F.col("wanted") > level).cast("long"))
+    total = sum(c for w, c in counts if w > level)
+    ranked = prefix_sums(over, "plane", F.floor(F.col("plane") / 1024), "over")
+    lanes = F.when((F.col("wanted") > level) & (F.col("over_sum") > total - spare), level + 1).otherwise(F.least("wanted", F.lit(level)))
+    return ranked.select("plane", "wanted", lanes.cast("long").alias("lanes"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from .events import prefix_sums
 
 #: Sources of a block when offsets are summed.
@@ -64,22 +67,75 @@ def row_offsets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def ordinals(edges: DataFrame) -> DataFrame:
-    """``edges`` with their ordinal: the offset of the source and the rank of the target in it, so no task sorts all."""
+    """``edges`` with their ordinal: the offset of the source and the rank of the target in it, so no task sorts all.
+
+    The edges are stored first, as they are read twice.
+    """
+    edges = stored(edges, "edges")
     starts = row_offsets(edges, edges.select(F.col("src").alias("node")).distinct())
     rank = F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1
     return edges.withColumn("_rank", rank).join(starts.select(F.col("node").alias("src"), "offset"), "src").withColumn("ordinal", F.col("offset") + F.col("_rank")).drop("_rank", "offset")
 
 
 def neighbors(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """Targets of each source in order; of more than ``most`` the first ones."""
-    out = F.array_sort(F.collect_list("dst"))
-    return edges.groupBy(F.col("src").alias("node")).agg((out if most is None else F.slice(out, 1, most)).alias("targets"))
+    """Targets of each source in order; of more than ``most`` only the first ones are gathered."""
+    if most is not None:
+        edges = edges.withColumn("_rank", F.row_number().over(W.partitionBy("src").orderBy("dst"))).where(F.col("_rank") <= most)
+    return edges.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("targets"))
 
 
 def predecessors(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_list("src")).alias("sources"))
 
 
+def nth(edges: DataFrame, n: int, by: str = "src", of: str = "dst") -> DataFrame:
+    """The ``n``-th (from 0) neighbour of each node that has so many, or predecessor with ``by`` and ``of`` changed over."""
+    rank = F.row_number().over(W.partitionBy(by).orderBy(of))
+    return edges.withColumn("_rank", rank).where(F.col("_rank") == n + 1).select(F.col(by).alias("node"), F.col(of).alias("other"))
+
+
+def in_network(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pairs`` (src, dst) with whether src is a parent of dst, and whether either node has any edge."""
+    known = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    parent = edges.select("src", "dst").distinct().withColumn("is_parent", F.lit(True))
+    out = pairs.join(parent, ["src", "dst"], "left").withColumn("is_parent", F.coalesce("is_parent", F.lit(False)))
+    for side in ("src", "dst"):
+        out = out.join(known.select(F.col("node").alias(side), F.lit(True).alias(f"{side}_known")), side, "left").withColumn(f"{side}_known", F.coalesce(f"{side}_known", F.lit(False)))
+    return out.select("src", "dst", "is_parent", "src_known", "dst_known")
+
+
+def from_adjacency(rows: DataFrame, nodes: int | None = None) -> DataFrame:
+    """Edges (src, dst, position) of adjacency lists (node, targets): row i lists the targets of i.
+
+    A target that is there twice, or is no node, is an error when the edges are read. ``nodes`` is their
+    number; without it the rows are counted.
+    """
+    n = rows.count() if nodes is None else nodes
+    checked = F.when(F.size(F.array_distinct("targets")) < F.size("targets"), F.raise_error(F.concat(F.lit("a target is listed twice for node "), F.col("node").cast("string"))))
+    checked = checked.when(F.exists("targets", lambda t: t.isNull() | (t < 0) | (t >= n)), F.raise_error(F.concat(F.lit("a target of this node is no node: "), F.col("node").cast("string"))))
+    # the test's result is used as a key, so that it can't be optimized away
+    tested = rows.where(F.size("targets") > 0).withColumn("targets", F.when(F.coalesce(checked.cast("boolean"), F.lit(True)), F.col("targets")))
+    return tested.select(F.col("node").cast("long").alias("src"), F.posexplode("targets").alias("position", "dst")).select("src", F.col("dst").cast("long").alias("dst"), "position")
+
+
+def from_callback(edges: DataFrame, values, names: tuple[str, ...] = ("weight", "delay")) -> DataFrame:
+    """``edges`` (src, dst, ...) with the columns ``names`` that ``values(src, dst)`` gives for arrays of numbers of nodes.
+
+    The function is called once for a batch of edges, wherever they are, and again if a task is: it must depend on nothing else.
+    """
+    kinds = edges.select("src", "dst", *[F.lit(0.0).alias(n) for n in names]).schema
+
+    def run(batches):
+        for frame in batches:
+            found = values(frame["src"].to_numpy(), frame["dst"].to_numpy())
+            found = found if isinstance(found, tuple) else (found,)
+            if len(found) != len(names):
+                raise ValueError(f"a callback gave {len(found)} values, not {len(names)}")
+            yield frame.assign(**{n: np.broadcast_to(np.asarray(v, dtype=float), len(frame)) for n, v in zip(names, found)})
+
+    return edges.select("src", "dst").mapInPandas(run, kinds)
+
+
 def keep_first(edges: DataFrame, by: str = "doc_order") -> DataFrame:
     """One edge of each pair, the first in the document."""
     w = W.partitionBy("src", "dst").orderBy(by)
@@ -109,31 +165,80 @@ def shares(edges: DataFrame, proportions: dict[str, float], total: Column) -> Da
     return edges.withColumn("synapse", F.lit(names[-1]) if out is None else out.otherwise(F.lit(names[-1])))
 
 
+def _div(a: Column, b: Column | int) -> Column:
+    """Whole quotient of longs, exact beyond 2**53."""
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
 def k2_code(row: Column, col: Column, k: int, levels: int) -> Column:
     """Digits, base k*k, of the quadrants from the whole matrix down to the cell."""
+    if (k * k) ** levels > 1 << 63:
+        raise ValueError(f"{levels} levels of {k} x {k} parts don't fit a long")
     code = F.lit(0).cast("long")
     for level in reversed(range(levels)):
         side = k**level
-        code = code * (k * k) + (F.floor(row / side) % k) * k + F.floor(col / side) % k
+        code = code * (k * k) + (_div(row.cast("long"), side) % k) * k + _div(col.cast("long"), side) % k
     return code
 
 
 def k2_masks(edges: DataFrame, k: int, levels: int) -> DataFrame:
-    """For each level and each quadrant with edges the bits of its k*k parts that have any."""
-    coded = edges.select(k2_code(F.col("src"), F.col("dst"), k, levels).alias("code")).distinct()
-    each = coded.select(F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"), "code")
-    base = F.lit(float(k * k))
-    prefix = F.floor(F.col("code") / F.pow(base, F.lit(levels) - F.col("level") + 1)).cast("long")
-    digit = F.floor(F.col("code") / F.pow(base, F.lit(levels) - F.col("level"))).cast("long") % (k * k)
-    one = F.expr("shiftleft(1L, cast(digit as int))")
-    return each.select("level", prefix.alias("prefix"), digit.alias("digit")).select("level", "prefix", one.alias("bit")).groupBy("level", "prefix").agg(F.bit_or("bit").alias("mask"))
+    """For each level and each quadrant with edges the bits of its k*k parts that have any.
+
+    Edges are dealt out by their quadrant of a middle level, so a task has all of a
+    quadrant (of a bounded number of cells) and works out all levels below it, each
+    from the quadrants of the level under it. The few quadrants above meet once more.
+    """
+    cut, parts = levels // 2, k * k
+    coded = edges.select(k2_code(F.col("src"), F.col("dst"), k, levels).alias("code"))
+    dealt = coded.withColumn("_top", _div(F.col("code"), parts ** (levels - cut))).repartition("_top").sortWithinPartitions("code").select("code")
+
+    def run(batches):
+        rest = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            codes = np.concatenate([rest, batch.column("code").to_numpy()])
+            tops = codes // parts ** (levels - cut)
+            whole = int(np.searchsorted(tops, tops[-1])) if len(codes) else 0
+            yield from masks(codes[:whole])
+            rest = codes[whole:]
+        yield from masks(rest)
+
+    def masks(codes):
+        codes = np.unique(codes)
+        for level in range(levels, 0, -1):
+            if not len(codes):
+                return
+            prefix, first = np.unique(codes // parts, return_index=True)
+            mask = np.bitwise_or.reduceat(np.int64(1) << codes % parts, first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prefix), level, dtype=np.int32)), pa.array(prefix), pa.array(mask)], ["level", "prefix", "mask"])
+            codes = prefix
+
+    found = stored(dealt.mapInArrow(run, "level int, prefix long, mask long"), "masks")
+    upper = found.where(F.col("level") <= cut).groupBy("level", "prefix").agg(F.bit_or("mask").alias("mask"))
+    return found.where(F.col("level") > cut).unionByName(upper)
+
+
+def get_bit(words: Column, i: Column | int) -> Column:
+    """Bit ``i`` of an array of longs, 64 bits each, the lowest first."""
+    i = F.lit(i) if isinstance(i, int) else i
+    return F.call_function("shiftrightunsigned", F.get(words, _div(i.cast("long"), 64).cast("int")), (i % 64).cast("int")).bitwiseAND(1)
+
+
+def rank1(words: Column, i: Column | int) -> Column:
+    """Ones among the first ``i`` bits of an array of longs."""
+    i = (F.lit(i) if isinstance(i, int) else i).cast("long")
+    whole = _div(i, 64).cast("int")
+    below = F.aggregate(F.slice(words, 1, whole), F.lit(0).cast("long"), lambda s, w: s + F.bit_count(w).cast("long"))
+    mask = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), (i % 64).cast("int")))
+    return below + F.when(i % 64 > 0, F.bit_count(F.get(words, whole).bitwiseAND(mask)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """Nodes that ``start`` (node) reaches in so many steps at most, with the least number of steps."""
-    seen = start.select("node", F.lit(0).alias("hops"))
+    """Nodes that ``start`` (node) reaches in so many steps at most, with the least number of steps; each step's result is stored."""
+    edges = stored(edges.select("src", "dst"), "edges")
+    seen = stored(start.select(F.col("node").cast("long"), F.lit(0).alias("hops")).distinct(), "hop")
     front = seen
     for h in range(1, hops + 1):
         front = edges.join(front, edges.src == front.node).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").select("node", F.lit(h).alias("hops"))
+        front = stored(front, "hop")
         seen = seen.unionByName(front)
     return seen

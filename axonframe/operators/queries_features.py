@@ -72,12 +72,11 @@ def block_mean(spark, sf_dir):
     return b.select("vec_id", "block", F.round("mean", 6).alias("mean"))
 
 
-@query(f"""WITH {VEC}, a AS (SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS i, e[i] AS x FROM v, range(1, 9) t(i))
+@query(f"""WITH {VEC}, a AS (SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS i, e[i] AS x FROM v, range(1, {DIM + 1}) t(i))
 SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x) + CASE WHEN a.i = b.i THEN 0.5 ELSE 0.0 END, 5) AS value FROM a JOIN a b USING (vec_id) GROUP BY a.i, b.i
 UNION ALL SELECT i, -1, round(sum(x * label), 5) FROM a GROUP BY i""")
 def ridge_gram(spark, sf_dir):
-    head = rows(spark, sf_dir).withColumn("x", F.slice("x", 1, 8))
-    return X.gram(head, "x", F.col("label"), 0.5).select("i", "j", F.round("value", 5).alias("value"))
+    return X.gram(rows(spark, sf_dir), "x", F.col("label"), 0.5).select("i", "j", F.round("value", 5).alias("value"))
 
 
 @query()
@@ -99,14 +98,14 @@ def online_rls_fit(spark, sf_dir):
     return X.fit_online(rows(spark, sf_dir).withColumn("replicate", F.col("vec_id") % 4), "vec_id", "x", "label", "rls", 10, "replicate")
 
 
-@query(f"""WITH {VEC}, s AS (SELECT label AS sequence, vec_id AS step, list_transform(range(1, 5), lambda i: abs(e[i])) AS a FROM v),
+@query(f"""WITH {VEC}, s AS (SELECT label AS sequence, vec_id AS step, list_transform(e, lambda x: abs(x)) AS a FROM v),
 r AS (SELECT sequence, list({{'e': a, 'decision': CAST(-1 AS BIGINT), 'steps': 0}} ORDER BY step) AS l FROM s GROUP BY sequence),
-f AS (SELECT sequence, list_reduce(list_prepend({{'e': [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE], 'decision': CAST(-1 AS BIGINT), 'steps': 0}}, l), lambda x, y: CASE WHEN x.decision >= 0 THEN x ELSE
- {{'e': list_transform(range(1, 5), lambda i: x.e[i] * 0.95::DOUBLE + y.e[i]), 'decision': CASE WHEN list_max(list_transform(range(1, 5), lambda i: x.e[i] * 0.95::DOUBLE + y.e[i])) >= 3.0
-  THEN list_position(list_transform(range(1, 5), lambda i: x.e[i] * 0.95::DOUBLE + y.e[i]), list_max(list_transform(range(1, 5), lambda i: x.e[i] * 0.95::DOUBLE + y.e[i]))) - 1 ELSE -1 END, 'steps': x.steps + 1}} END) AS o FROM r)
+f AS (SELECT sequence, list_reduce(list_prepend({{'e': list_transform(range({DIM}), lambda i: 0.0::DOUBLE), 'decision': CAST(-1 AS BIGINT), 'steps': 0}}, l), lambda x, y: CASE WHEN x.decision >= 0 THEN x ELSE
+ {{'e': list_transform(range(1, {DIM + 1}), lambda i: x.e[i] * 0.95::DOUBLE + y.e[i]), 'decision': CASE WHEN list_max(list_transform(range(1, {DIM + 1}), lambda i: x.e[i] * 0.95::DOUBLE + y.e[i])) >= 3.0
+  THEN list_position(list_transform(range(1, {DIM + 1}), lambda i: x.e[i] * 0.95::DOUBLE + y.e[i]), list_max(list_transform(range(1, {DIM + 1}), lambda i: x.e[i] * 0.95::DOUBLE + y.e[i]))) - 1 ELSE -1 END, 'steps': x.steps + 1}} END) AS o FROM r)
 SELECT sequence, CAST(o.decision AS BIGINT) AS decision, o.steps AS steps FROM f""")
 def evidence_rollout(spark, sf_dir):
-    s = rows(spark, sf_dir).select(F.col("label").alias("sequence"), F.col("vec_id").alias("step"), F.transform(F.slice("x", 1, 4), lambda v: F.abs(v.cast("double"))).alias("scores"))
+    s = rows(spark, sf_dir).select(F.col("label").alias("sequence"), F.col("vec_id").alias("step"), F.transform("x", lambda v: F.abs(v.cast("double"))).alias("scores"))
     return X.evidence(s, "sequence", "step", "scores", 3.0, 0.95)
 
 

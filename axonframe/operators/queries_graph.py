@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from . import graph as G
 from .registry import EDGE, ORD, edges, query, table
 
@@ -28,6 +29,14 @@ def square_torus(spark, sf_dir):
     return G.square_torus(spark, 40)
 
 
+@query("SELECT src, 8 AS targets, true AS fit, 0 AS loops FROM range(900) t(src) UNION ALL SELECT 10000 + src, 24, true, 0 FROM range(25) t(src)")
+def random_outdegree_holds(spark, sf_dir):
+    """What defines the topology, of a sparse and of a complete one: so many different targets for each source, all nodes, none itself."""
+    sparse, full = G.random_fixed_outdegree(spark, 900, 8, 1), G.random_fixed_outdegree(spark, 25, 30, 3)
+    count = lambda e, n: e.groupBy("src").agg(F.count_distinct("dst").cast("int").alias("targets"), F.bool_and(F.col("dst").between(0, n - 1)).alias("fit"), F.count_if(F.col("src") == F.col("dst")).cast("int").alias("loops"))
+    return count(sparse, 900).unionByName(count(full, 25).withColumn("src", F.col("src") + 10000))
+
+
 @query(f"""WITH {_draws_sql(900, 8, 1)}, f AS (SELECT src, dst, min(k) AS k FROM w WHERE src <> dst GROUP BY src, dst),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k) AS n FROM f) SELECT src, dst FROM r WHERE n <= 8""")
 def random_fixed_outdegree(spark, sf_dir):
@@ -104,11 +113,11 @@ def synapse_runs(spark, sf_dir):
     return G.runs(G.ordinals(edges(spark, sf_dir)), "proto")
 
 
-@query(f"WITH {RUNS}, q AS (SELECT ordinal FROM ord WHERE ordinal % 7 = 3) SELECT q.ordinal, proto FROM q ASOF JOIN runs ON q.ordinal >= runs.first_ordinal")
+@query(f"WITH {RUNS} SELECT q.ordinal, runs.proto FROM ord q ASOF JOIN runs ON q.ordinal >= runs.first_ordinal")
 def prototype_lookup_asof(spark, sf_dir):
-    """The run each ordinal lies in: the last one that starts at or before it, found within its source's block of ordinals."""
-    numbered = G.ordinals(edges(spark, sf_dir))
-    asked = numbered.where("ordinal % 7 = 3").select("ordinal", (F.floor(F.col("ordinal") / 64)).alias("block"))
+    """The run each ordinal lies in: the last one that starts at or before it, found within a block of ordinals."""
+    numbered = stored(G.ordinals(edges(spark, sf_dir)), "numbered")
+    asked = numbered.select("ordinal", F.floor(F.col("ordinal") / 64).alias("block"))
     runs = G.runs(numbered, "proto").select("first_ordinal", "n", "proto")
     # a run is put into every block of ordinals it reaches, so that the join is on the block
     spread = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("first_ordinal") / 64), F.floor((F.col("first_ordinal") + F.col("n") - 1) / 64))))
@@ -118,7 +127,7 @@ def prototype_lookup_asof(spark, sf_dir):
 @query(f"""WITH {ORD}, c AS (SELECT count(*) AS e FROM ord)
 SELECT src, dst, CASE WHEN ordinal < round(0.5 * e) THEN 'fast' WHEN ordinal < round(0.8 * e) THEN 'slow' ELSE 'rest' END AS synapse FROM ord, c""")
 def synapse_shares(spark, sf_dir):
-    numbered = G.ordinals(edges(spark, sf_dir))
+    numbered = stored(G.ordinals(edges(spark, sf_dir)), "numbered")
     counted = numbered.crossJoin(F.broadcast(numbered.agg(F.count("*").alias("e"))))
     return G.shares(counted, {"fast": 5, "slow": 3, "rest": 2}, F.col("e")).select("src", "dst", "synapse")
 
@@ -180,3 +189,40 @@ SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT node, 0 AS hops FRO
 def neighborhood_hops(spark, sf_dir):
     start = spark.createDataFrame([(0,), (450,)], "node long")
     return G.within_hops(G.square_torus(spark, 30), start, 3)
+
+
+@query(f"WITH {EDGE}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS i, row_number() OVER (PARTITION BY dst ORDER BY src) AS j FROM edge) SELECT 'neighbour' AS kind, src AS node, dst AS other FROM r WHERE i = 3 UNION ALL SELECT 'predecessor', dst, src FROM r WHERE j = 3")
+def nth_neighbors(spark, sf_dir):
+    """The third neighbour and the third predecessor of each node that has so many."""
+    e = edges(spark, sf_dir)
+    return G.nth(e, 2).select(F.lit("neighbour").alias("kind"), "node", "other").unionByName(G.nth(e, 2, "dst", "src").select(F.lit("predecessor").alias("kind"), "node", "other"))
+
+
+@query("SELECT o_custkey AS src, o_orderkey AS dst, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS position FROM orders")
+def adjacency_lists(spark, sf_dir):
+    """Edges of adjacency lists: the orders of each customer."""
+    o = table(spark, sf_dir, "orders")
+    lists = o.groupBy(F.col("o_custkey").alias("node")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("targets"))
+    return G.from_adjacency(lists, 1 << 40)
+
+
+@query(f"WITH {EDGE} SELECT src, dst, 0.5 + src % 7 * 0.25 AS weight, CAST(1 + abs(src - dst) % 9 AS DOUBLE) AS delay FROM edge")
+def callback_values(spark, sf_dir):
+    """Values of all connections from a function of arrays of sources and targets."""
+    return G.from_callback(edges(spark, sf_dir), lambda s, d: (0.5 + s % 7 * 0.25, 1 + abs(s - d) % 9))
+
+
+@query(f"WITH {EDGE}, p AS (SELECT c_custkey AS src, s_suppkey AS dst FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT p.src, p.dst, e.src IS NOT NULL AS is_parent, p.src IN (SELECT src FROM edge UNION SELECT dst FROM edge) AS src_known, p.dst IN (SELECT src FROM edge UNION SELECT dst FROM edge) AS dst_known FROM p LEFT JOIN edge e ON e.src = p.src AND e.dst = p.dst")
+def membership(spark, sf_dir):
+    return G.in_network(pairs(spark, sf_dir), stored(edges(spark, sf_dir), "edges"))
+
+
+@query(f"""WITH {EDGE}, b AS (SELECT src, dst // 64 AS word, dst % 64 AS bit FROM edge), w AS (SELECT src, word, count(*) AS n FROM b GROUP BY 1, 2)
+SELECT src, (SELECT count(*) FROM b WHERE b.src = c.src AND word * 64 + bit < 100) AS rank_100, (SELECT count(*) FROM b WHERE b.src = c.src AND word * 64 + bit = 7) AS bit_7 FROM (SELECT DISTINCT src FROM edge) c""")
+def bitmap_rank(spark, sf_dir):
+    """Targets of each source as a bitmap: ones before bit 100, and bit 7."""
+    e = edges(spark, sf_dir)
+    word, bit = F.floor(F.col("dst") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("dst") % 64).cast("int"))
+    words = e.groupBy("src", word.alias("word")).agg(F.bit_or(bit).alias("bits")).groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("last"))
+    whole = words.select("src", F.transform(F.sequence(F.lit(0), F.greatest("last", F.lit(2))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("w"))
+    return whole.select("src", G.rank1(F.col("w"), 100).alias("rank_100"), G.get_bit(F.col("w"), 7).alias("bit_7"))

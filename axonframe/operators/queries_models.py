@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.units import UNITS, quantity_to_si, split_quantity
+from ..plans.storage import stored
 from . import planes as P
 from .registry import SPK, query, spikes, table
 
@@ -48,7 +49,15 @@ def lems_functions(spark, sf_dir):
 EXPRESSIONS = ("(gL * (EL - v) + iSyn) / C", "t .gt. lastSpikeTime + 2.7e-5", "-x^2 + .5", "H(v - 1) .and. random(3) .leq. 1")
 
 
-@query()
+_TOKENS = (
+    "( gL * ( EL - v ) + iSyn ) / C",
+    "t > lastSpikeTime + 2.7e-5",
+    "- x ^ 2 + .5",
+    "H ( v - 1 ) && random ( 3 ) <= 1",
+)
+
+
+@query(" UNION ALL ".join(f"SELECT '{e}' AS expression, CAST(i - 1 AS INTEGER) AS position, CASE WHEN i > len(w) THEN 'end' WHEN regexp_full_match(w[i], '[.]?[0-9].*') THEN 'number' WHEN regexp_full_match(w[i], '[A-Za-z].*') THEN 'name' ELSE 'op' END AS kind, coalesce(w[i], '') AS token FROM (SELECT string_split('{t}', ' ') AS w), range(1, {len(t.split()) + 2}) r(i)" for e, t in zip(EXPRESSIONS, _TOKENS)))
 def tokenize_expressions(spark, sf_dir):
     rows = [(e, i, k, t) for e in EXPRESSIONS for i, (k, t) in enumerate(X.tokenize(e))]
     return spark.createDataFrame(rows, "expression string, position int, kind string, token string")
@@ -150,14 +159,14 @@ def network_text(cells: int) -> str:
     <Simulation id="s" length="100 ms" step="0.1 ms" target="net" seed="7"><EventOutputFile id="o" fileName="ring.dat" format="TIME_ID"><EventSelection id="0" select="pop[0]" eventPort="spike"/></EventOutputFile></Simulation></neuroml>"""
 
 
-@query()
+@query("SELECT i AS src, (i * 7 + 1) % 60 AS dst, 'syn' AS synapse, 0.5 + i % 3 / 4 AS weight, (1 + i % 4) / 1000.0::DOUBLE AS delay, CAST(row_number() OVER (ORDER BY i) - 1 AS BIGINT) AS doc_order FROM range(60) t(i) WHERE (i * 7 + 1) % 60 <> i")
 def xml_connections(spark, sf_dir):
     from ..sources.model import loads
 
-    return loads(network_text(60)).tables(spark)["edges"]
+    return loads(network_text(60)).tables(spark)["edges"].withColumn("delay", F.round("delay", 9))
 
 
-@query()
+@query("SELECT i AS neuron, CASE WHEN i < 60 THEN 'pop' ELSE 'poisson' END AS population, CAST(CASE WHEN i < 60 THEN i ELSE i - 60 END AS INTEGER) AS index_in_population, CASE WHEN i < 60 THEN 'cell' ELSE 'noise' END AS cell FROM range(64) t(i)")
 def xml_neurons(spark, sf_dir):
     from ..sources.model import loads
 
@@ -208,31 +217,67 @@ def als_sweep(spark, sf_dir):
     from .factorise import lane_errors
     from .registry import edges
 
-    return lane_errors(edges(spark, sf_dir), [1, 2, 4], sweeps=3)
+    return lane_errors(stored(edges(spark, sf_dir), "edges"), [1, 2, 4], sweeps=3)
 
 
+def _delays(spark, sf_dir):
+    """A plane that two lanes hold: a part of the source and a part of the target."""
+    from .registry import edges
 
+    return stored(edges(spark, sf_dir).select("src", "dst", (1 + F.col("src") % 7 + F.col("dst") % 5).cast("double").alias("weight")), "edges")
 
-@query()
+
+@query("SELECT 2 AS lanes, true AS met")
 def lane_search(spark, sf_dir):
-    """Fewest lanes, doubling up to 4, whose fit of connection delays is within 45 % of their root mean square."""
-    from .factorise import fewest_lanes
-    from .registry import edges
+    """Fewest lanes that hold a plane of delays, each a sum of one for its source and one for its target: two, by definition."""
+    from .factorise import TOLERANCES, fewest_lanes
+
+    lanes, _, met = fewest_lanes(_delays(spark, sf_dir), TOLERANCES["normal"])
+    return spark.createDataFrame([(lanes, met)], "lanes int, met boolean")
+
 
-    plane = edges(spark, sf_dir).select("src", "dst", F.col("delay").cast("double").alias("weight"))
-    return spark.createDataFrame([(fewest_lanes(plane, 0.45, most=4, sweeps=2),)], "lanes int")
+@query("SELECT true AS held")
+def quasi_newton_fit(spark, sf_dir):
+    """The same plane fitted by quasi-Newton steps: the worst error is within the coarse tolerance."""
+    from .factorise import TOLERANCES, quasi_newton, scaled
+
+    found = quasi_newton(scaled(_delays(spark, sf_dir))[0], 2, TOLERANCES["coarse"], steps=60)
+    return spark.createDataFrame([(found.error <= TOLERANCES["coarse"],)], "held boolean")
 
 
 @query()
 def refit_plane(spark, sf_dir):
-    """A plane with its deltas folded in, fitted again: the error before any fit of the changes, and after."""
-    from .factorise import errors, fit
-    from .graph import ordinals
+    """A plane with its deltas folded in, fitted again from the old rows: the worst error before any fit of the changes, and after."""
+    from .edge_store import EdgeStore
+    from .factorise import alternate, scaled, worst_error
     from .queries_planes import updates
     from .registry import edges
 
-    numbered = ordinals(edges(spark, sf_dir)).select("src", "dst", "ordinal", "weight")
-    deltas = P.compact(updates(spark, sf_dir).where("plane = 0")).select("ordinal", (F.col("delta") / 1000).alias("delta"))
-    changed = numbered.join(deltas, "ordinal", "left").select("src", "dst", (F.col("weight") + F.coalesce("delta", F.lit(0.0))).alias("weight"))
-    old = errors(changed, *fit(numbered, 2, 2)).select(F.lit("before").alias("fit"), F.round("error", 6).alias("error"))
-    return old.unionByName(errors(changed, *fit(changed, 2, 2)).select(F.lit("after").alias("fit"), F.round("error", 6).alias("error")))
+    store = EdgeStore.of(edges(spark, sf_dir), {"weight": F.col("weight")})
+    plane, unit = scaled(store.neighbor_values("weight").withColumnRenamed("value", "weight"))
+    old = alternate(plane, 2, sweeps=2)
+    changes = P.compact(updates(spark, sf_dir).where("plane = 0")).join(store.edges, "ordinal")
+    store.accumulate(changes.select(F.lit("weight").alias("plane"), "src", "dst", (F.col("delta") / 1000).alias("delta")))
+    changed, _ = scaled(store.neighbor_values("weight").withColumnRenamed("value", "weight"))
+    before = worst_error(changed, old.u, old.v)
+    new = store.refit("weight", 2, old, sweeps=2)
+    return spark.createDataFrame([("before", round(before, 6)), ("after", round(new.error, 6))], "fit string, error double")
+
+
+@query("""WITH edge AS (SELECT o_custkey AS src, l_suppkey AS dst, round(avg(l_discount), 8) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
+SELECT src, dst, round(weight + CASE WHEN src % 3 = 0 THEN (src + dst) % 5 ELSE 0 END, 9) AS value FROM edge""")
+def edge_store_reads(spark, sf_dir):
+    """Values of all edges after updates, two for an edge, read from a store that was saved and loaded."""
+    import os
+    import uuid
+
+    from ..plans.storage import shared_dir
+    from .edge_store import EdgeStore
+    from .registry import edges
+
+    store = EdgeStore.of(edges(spark, sf_dir), {"weight": F.col("weight")})
+    change = store.edges.where("src % 3 = 0").select(F.lit("weight").alias("plane"), "src", "dst", ((F.col("src") + F.col("dst")) % 5 + 1.0).alias("delta"))
+    store.accumulate(change.unionByName(change.withColumn("delta", F.lit(-1.0))))
+    path = os.path.join(shared_dir(spark), f"saved-{uuid.uuid4().hex}")
+    store.save(path)
+    return EdgeStore.load(spark, path).neighbor_values("weight").select("src", "dst", F.round("value", 9).alias("value"))

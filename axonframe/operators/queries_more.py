@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from . import events as E
 from . import features as X
 from .registry import EDGE, SPK, edges, neurons, query, spikes, table
@@ -120,14 +121,18 @@ def lane_owners(spark, sf_dir):
     return used
 
 
-@query("""WITH s AS (SELECT p_partkey AS plane, p_size AS searched FROM part WHERE p_partkey <= 40), b AS (SELECT plane, CAST(ceil(searched * 1.25) AS BIGINT) AS wanted FROM s),
-r AS (SELECT *, sum(wanted) OVER () AS whole FROM b) SELECT plane, wanted, CASE WHEN whole <= 800 THEN wanted ELSE greatest(1, CAST(floor(wanted * 800 / whole) AS BIGINT)) END AS lanes FROM r""")
+@query("""WITH s AS (SELECT p_partkey AS plane, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_size END AS searched FROM part), m AS (SELECT max(searched) AS most, 12 * count(*) AS cap FROM s),
+b AS (SELECT plane, CAST(ceil(CASE WHEN searched = 0 THEN most ELSE searched END * 1.25) AS BIGINT) AS wanted FROM s, m),
+h AS (SELECT h, (SELECT sum(least(wanted, h)) FROM b) AS whole FROM range(1, 65) t(h)), l AS (SELECT coalesce(max(h) FILTER (whole <= cap), 1) AS level, coalesce(max(cap - whole) FILTER (whole <= cap AND whole = (SELECT max(whole) FROM h, m WHERE whole <= cap)), 0) AS spare FROM h, m),
+r AS (SELECT plane, wanted, row_number() OVER (PARTITION BY wanted > level ORDER BY plane DESC) AS n, level, spare FROM b, l)
+SELECT plane, wanted, CASE WHEN wanted > level AND n <= spare THEN level + 1 ELSE least(wanted, level) END AS lanes FROM r""")
 def lane_budgets(spark, sf_dir):
-    """Lanes of each plane: a quarter more than were found, scaled down where all together pass the cap."""
-    b = table(spark, sf_dir, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("plane"), F.ceil(F.col("p_size") * 1.25).cast("long").alias("wanted"))
-    whole = b.agg(F.sum("wanted").alias("whole"))
-    lanes = F.when(F.col("whole") <= 800, F.col("wanted")).otherwise(F.greatest(F.lit(1), F.floor(F.col("wanted") * 800 / F.col("whole"))))
-    return b.crossJoin(F.broadcast(whole)).select("plane", "wanted", lanes.alias("lanes"))
+    """Lanes of each plane: a quarter more than were found, as many as the largest for a plane that starts at zero; cut, the largest first, to a cap of 12 a plane."""
+    from .factorise import budgets
+
+    part = table(spark, sf_dir, "part")
+    searched = part.select(F.col("p_partkey").alias("plane"), F.when(F.col("p_partkey") % 10 == 0, 0).otherwise(F.col("p_size")).alias("searched"))
+    return budgets(searched, 0.25, 12 * part.count())
 
 
 @query(f"WITH {SPK}, c AS (SELECT neuron, event_type, count(*) AS n FROM spk GROUP BY 1, 2) SELECT event_type, count(*) AS neurons, round(avg(n / 43200.0::DOUBLE), 9) AS mean_rate, round(stddev_samp(n / 43200.0::DOUBLE), 9) AS std_rate FROM c GROUP BY event_type")
@@ -149,11 +154,15 @@ def candidate_score(spark, sf_dir):
 @query("""WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS BIGINT) AS type, CAST(CASE WHEN n_nationkey > 0 THEN (n_nationkey - 1) // 3 END AS BIGINT) AS extends FROM nation),
 r(type, ancestor, depth) AS (SELECT type, extends, 1 FROM n WHERE extends IS NOT NULL UNION ALL SELECT r.type, n.extends, depth + 1 FROM r JOIN n ON n.type = r.ancestor WHERE n.extends IS NOT NULL) SELECT type, ancestor, depth FROM r""")
 def extends_chain(spark, sf_dir):
-    """All ancestors of each type, by a recursion as deep as the longest chain."""
+    """All ancestors of each type, a join for each link of the longest chain."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("type"), F.when(F.col("n_nationkey") > 0, F.floor((F.col("n_nationkey") - 1) / 3)).cast("long").alias("extends"))
-    n.createOrReplaceTempView("axonframe_types")
-    return spark.sql("""WITH RECURSIVE r(type, ancestor, depth) AS (SELECT type, extends, 1 FROM axonframe_types WHERE extends IS NOT NULL
-        UNION ALL SELECT r.type, n.extends, depth + 1 FROM r JOIN axonframe_types n ON n.type = r.ancestor WHERE n.extends IS NOT NULL) SELECT type, ancestor, depth FROM r""")
+    n = stored(n, "types")
+    step = n.where("extends is not null").select("type", F.col("extends").alias("ancestor"), F.lit(1).alias("depth"))
+    out, up = step, n.where("extends is not null").select(F.col("type").alias("ancestor"), F.col("extends").alias("above"))
+    while step.head(1):  # as often as the longest chain has links
+        step = stored(step.join(up, "ancestor").select("type", F.col("above").alias("ancestor"), (F.col("depth") + 1).alias("depth")), "chain")
+        out = out.unionByName(step)
+    return out
 
 
 @query("""WITH f AS (SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS pixel, greatest(0, CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, range(1, 65) t(i))

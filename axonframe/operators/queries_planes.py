@@ -24,9 +24,9 @@ def compact_deltas(spark, sf_dir):
     return P.compact(updates(spark, sf_dir))
 
 
-@query(f"WITH {UPDATES}, n AS (SELECT plane, count(*) AS n FROM deltas GROUP BY plane) SELECT round(max(n) / 5000.0::DOUBLE, 12) AS occupancy, max(n) / 5000.0 >= 0.2 AS refit_due FROM n")
+@query(f"WITH {EDGE}, {UPDATES}, e AS (SELECT count(*) AS e FROM edge), n AS (SELECT plane, count(*) AS n FROM deltas GROUP BY plane) SELECT round(max(n) / max(e)::DOUBLE, 12) AS occupancy, max(n) / max(e)::DOUBLE >= 0.2 AS refit_due FROM n, e")
 def occupancy_and_refit_due(spark, sf_dir):
-    return P.occupancy(P.compact(updates(spark, sf_dir)), 5000, 0.2)
+    return P.occupancy(P.compact(updates(spark, sf_dir)), edges(spark, sf_dir).count(), 0.2)
 
 
 @query(f"WITH {UPDATES} SELECT plane, count(*) AS n, CAST(sum(delta) AS BIGINT) AS total, CAST(sum(delta * delta) AS BIGINT) AS squares FROM deltas GROUP BY plane")
