@@ -93,17 +93,17 @@ def dimension_check(spark, sf_dir):
 DT, STEPS = 0.05, 10_000
 
 
-@query(f"""WITH RECURSIVE s(k, v, n) AS (SELECT 0, -65.0::DOUBLE, 0 UNION ALL
-SELECT k + 1, CASE WHEN v + {DT} * ((5.0 * (-65.0 - v) + 90.0) / 100.0) > -50 THEN -70.0::DOUBLE ELSE v + {DT} * ((5.0 * (-65.0 - v) + 90.0) / 100.0) END,
-CASE WHEN v + {DT} * ((5.0 * (-65.0 - v) + 90.0) / 100.0) > -50 THEN k ELSE NULL END FROM s WHERE k < {STEPS}), f AS (SELECT n AS tick FROM s WHERE n IS NOT NULL AND k > 0)
+@query(f"""WITH RECURSIVE s(k, v, n) AS (SELECT 0, -62.0::DOUBLE, 0 UNION ALL
+SELECT k + 1, CASE WHEN v + {DT} * ((4.0 * (-62.0 - v) + 80.0) / 120.0) > -48 THEN -68.0::DOUBLE ELSE v + {DT} * ((4.0 * (-62.0 - v) + 80.0) / 120.0) END,
+CASE WHEN v + {DT} * ((4.0 * (-62.0 - v) + 80.0) / 120.0) > -48 THEN k ELSE NULL END FROM s WHERE k < {STEPS}), f AS (SELECT n AS tick FROM s WHERE n IS NOT NULL AND k > 0)
 SELECT tick, coalesce(tick - lag(tick) OVER (ORDER BY tick), -1) AS isi FROM f""")
 def euler_iaf_isi(spark, sf_dir):
     """A driven cell stepped by a fold in one row; the ticks that it spikes on and their intervals."""
-    start = F.struct(F.lit(-65.0).alias("v"), F.array().cast("array<int>").alias("spikes"))
+    start = F.struct(F.lit(-62.0).alias("v"), F.array().cast("array<int>").alias("spikes"))
 
     def step(a, k):
-        v = a["v"] + F.lit(DT) * ((F.lit(5.0) * (F.lit(-65.0) - a["v"]) + 90.0) / 100.0)
-        return F.struct(F.when(v > -50, -70.0).otherwise(v).alias("v"), F.when(v > -50, F.concat(a["spikes"], F.array(k))).otherwise(a["spikes"]).alias("spikes"))
+        v = a["v"] + F.lit(DT) * ((F.lit(4.0) * (F.lit(-62.0) - a["v"]) + 80.0) / 120.0)
+        return F.struct(F.when(v > -48, -68.0).otherwise(v).alias("v"), F.when(v > -48, F.concat(a["spikes"], F.array(k))).otherwise(a["spikes"]).alias("spikes"))
 
     one = spark.range(1).select(F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), start, step)["spikes"].alias("s"))
     ticks = F.transform("s", lambda t, i: F.struct(t.alias("tick"), F.when(i > 0, t - F.get("s", i - 1)).otherwise(-1).alias("isi")))
@@ -151,8 +151,8 @@ def glif5_step(spark, sf_dir):
 def network_text(cells: int) -> str:
     links = "".join(f'<connectionWD id="{i}" preCellId="../pop[{i}]" postCellId="../pop[{(i * 7 + 1) % cells}]" weight="{0.5 + i % 3 / 4}" delay="{1 + i % 4} ms"/>' for i in range(cells) if (i * 7 + 1) % cells != i)
     drive = "".join(f'<explicitInput target="pop[{i}]" input="drive"/>' for i in range(0, cells, 3))
-    return f"""<neuroml><iafRefCell id="cell" leakConductance="5 nS" leakReversal="-65 mV" thresh="-50 mV" reset="-70 mV" C="100 pF" refract="5 ms"/>
-    <alphaCurrentSynapse id="syn" tau="2 ms" ibase="90 pA"/><pulseGenerator id="drive" delay="5 ms" duration="80 ms" amplitude="110 pA"/>
+    return f"""<neuroml><iafRefCell id="cell" leakConductance="4 nS" leakReversal="-62 mV" thresh="-48 mV" reset="-68 mV" C="120 pF" refract="4 ms"/>
+    <alphaCurrentSynapse id="syn" tau="3 ms" ibase="70 pA"/><pulseGenerator id="drive" delay="5 ms" duration="80 ms" amplitude="100 pA"/>
     <spikeGeneratorPoisson id="noise" averageRate="50 Hz"/>
     <network id="net"><population id="pop" component="cell" size="{cells}"/><population id="poisson" component="noise" size="4"/>
     <projection id="p" presynapticPopulation="pop" postsynapticPopulation="pop" synapse="syn">{links}</projection>{drive}</network>
