@@ -72,3 +72,21 @@ def seconds_to_ticks(seconds: float, dt: float) -> int:
 def tick_to_seconds(tick: int, dt: float) -> float:
     whole = round(1 / dt)
     return tick / whole if whole and abs(whole * dt - 1) < 1e-12 else tick * dt
+
+
+def ms_to_seconds(ms: float) -> float:
+    return _sensible(ms) / 1e3
+
+
+def seconds_to_ms(seconds: float) -> float:
+    return _sensible(seconds) * 1e3
+
+
+def tick_to_ms(tick: int, dt_ms: float) -> float:
+    return tick_to_seconds(tick, dt_ms / 1e3) * 1e3
+
+
+def _sensible(time: float) -> float:
+    if not time >= 0:
+        raise ValueError("a time can't be negative")
+    return time

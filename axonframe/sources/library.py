@@ -65,5 +65,10 @@ LIBRARY = """
       <OnStart><StateAssignment variable="tnext" value="-1 * ln(1 - random(1)) / averageRate"/></OnStart>
       <OnCondition test="t .gt. tnext"><StateAssignment variable="J" value="J + ibase"/><StateAssignment variable="tnext" value="tnext - ln(1 - random(1)) / averageRate"/></OnCondition></Dynamics></ComponentType>
   <ComponentType name="spikeArray"/>
+  <ComponentType name="compoundInput"><Children name="currents" type="basePointCurrent"/>
+    <Dynamics><DerivedVariable name="i" exposure="i" select="currents[*]/i" reduce="add"/></Dynamics></ComponentType>
+  <ComponentType name="timedSynapticInput"><ComponentReference name="synapse" type="baseSynapse"/><Children name="spikes" type="spike"/>
+    <Dynamics><DerivedVariable name="i" exposure="i" select="synapse/i"/></Dynamics>
+    <Structure><With instance="this" as="a"/><ChildInstance component="synapse"/><With instance="synapse" as="b"/><EventConnection from="a" to="b"/></Structure></ComponentType>
 </neuroml>
 """

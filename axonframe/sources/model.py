@@ -7,10 +7,11 @@ import re
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.expressions import Node, evaluate, parse
+from ..functions.expressions import Node, evaluate, names, parse
 from ..functions.units import Units
 from .library import LIBRARY
 
@@ -44,6 +45,11 @@ class ComponentType:
     regimes: list[Regime] = field(default_factory=list)
     exposures: dict[str, str] = field(default_factory=dict)
     has_dynamics: bool = False
+    #: Roles of parts, by whether there may be many; aliases of parts, references that are parts, and routes of events between aliases.
+    parts: dict[str, bool] = field(default_factory=dict)
+    aliases: dict[str, str] = field(default_factory=dict)
+    instances: list[str] = field(default_factory=list)
+    routes: list[tuple[str, str]] = field(default_factory=list)
 
 
 def _assignments(e: ET.Element) -> list[tuple[str, Node]]:
@@ -61,6 +67,16 @@ def _type(e: ET.Element) -> ComponentType:
         tag = _tag(c)
         if tag in ("Parameter", "Constant", "DerivedParameter", "Property", "Text", "Path", "ComponentReference", "Fixed", "Exposure", "Requirement"):
             t.declarations[c.get("name") or c.get("parameter")] = (tag, c.get("dimension"), c.get("value"))
+        if tag in ("Child", "Children"):
+            t.parts[c.get("name")] = tag == "Children"
+        if tag == "Structure":
+            for x in c:
+                if _tag(x) == "With":
+                    t.aliases[x.get("as")] = x.get("instance")
+                elif _tag(x) == "ChildInstance":
+                    t.instances.append(x.get("component"))
+                elif _tag(x) == "EventConnection":
+                    t.routes.append((x.get("from"), x.get("to")))
         if tag != "Dynamics":
             continue
         t.has_dynamics = True
@@ -71,7 +87,7 @@ def _type(e: ET.Element) -> ComponentType:
                 t.states.append(d.get("name"))
             elif kind == "DerivedVariable":
                 cases = [(None, parse(d.get("value")))] if d.get("value") else []
-                if d.get("select") and d.get("reduce") != "add":
+                if d.get("select") and d.get("reduce") not in (None, "add") or "[*]" in (d.get("select") or "") and d.get("reduce") != "add":
                     raise ModelError(f"{t.name}: select of {d.get('name')} needs reduce=\"add\"")
                 t.derived.append((d.get("name"), cases, d.get("select")))
             elif kind == "ConditionalDerivedVariable":
@@ -114,6 +130,8 @@ class Component:
     values: dict[str, float]
     attributes: dict[str, str]
     spike_times: list[float] = field(default_factory=list)
+    #: Parts with their roles, in order; each has the path of this component before its id.
+    children: list[tuple[str, Component]] = field(default_factory=list)
 
 
 class Model:
@@ -145,6 +163,10 @@ class Model:
         nearest = next((t for t in line if t.has_dynamics), line[0])
         out = ComponentType(name, line[0].extends, {}, [], nearest.derived, nearest.start, nearest.events, nearest.regimes, nearest.exposures, nearest.has_dynamics)
         for t in reversed(line):
+            out.parts |= t.parts
+            out.aliases |= t.aliases
+            out.instances += [i for i in t.instances if i not in out.instances]
+            out.routes += [r for r in t.routes if r not in out.routes]
             out.declarations |= t.declarations
             out.states += [s for s in t.states if s not in out.states]
         return out
@@ -168,17 +190,33 @@ class Model:
             raise ModelError(f"{path!r}: no such cell")
         return self.offset(m[1]) + index
 
-    def connect(self, src, dst, synapse: str, weight=1.0, delay: float = 0.0) -> None:
-        """Connections from arrays of neuron numbers, with a weight for all or for each; a pair must not be there twice."""
-        n = len(src)
-        weights = [float(weight)] * n if isinstance(weight, (int, float)) else list(map(float, weight))
+    def connect(self, src, dst, synapse: str, weight=1.0, delay=0.0) -> None:
+        """Connections from arrays of neuron numbers, with a weight and a delay for all or for each; a pair must not be there twice."""
+        src, dst = np.asarray(src, dtype=np.int64), np.asarray(dst, dtype=np.int64)
+        if src.shape != dst.shape or src.ndim != 1:
+            raise ModelError("sources and targets have to be as many")
         size = sum(s for _, _, s in self.populations)
-        pairs = {(e[0], e[1]) for e in self.edges}
-        for s, d, w in zip(map(int, src), map(int, dst), weights, strict=True):
-            if not (0 <= s < size and 0 <= d < size) or (s, d) in pairs:
-                raise ModelError(f"connection {s} -> {d} is out of range or there twice")
-            pairs.add((s, d))
-            self.edges.append((s, d, synapse, w, delay))
+        weights, delays = (np.broadcast_to(np.asarray(x, dtype=float), len(src)) for x in (weight, delay))
+        if len(src) and (min(src.min(), dst.min()) < 0 or max(src.max(), dst.max()) >= size):
+            raise ModelError(f"a connection reaches outside of the {size} neurons")
+        if not np.isfinite(weights).all() or not (delays >= 0).all():
+            raise ModelError("weights have to be finite and delays not negative")
+        known = np.array([(e[0], e[1]) for e in self.edges], dtype=np.int64).reshape(-1, 2)
+        pairs = np.concatenate([known[:, 0] * size + known[:, 1], src * size + dst])
+        if len(np.unique(pairs)) < len(pairs):
+            raise ModelError("a connection is there twice")
+        self.edges += zip(src.tolist(), dst.tolist(), [synapse] * len(src), weights.tolist(), delays.tolist())
+
+    def connect_lists(self, adjacency: list, synapse: str, weight: float = 1.0, delay: float = 0.0) -> None:
+        """Connections from adjacency lists: the i-th lists the targets of neuron i."""
+        n = [len(row) for row in adjacency]
+        self.connect(np.repeat(np.arange(len(n)), n), np.array([t for row in adjacency for t in row], dtype=np.int64), synapse, weight, delay)
+
+    def connect_by(self, adjacency: list, synapse: str, values) -> None:
+        """As :meth:`connect_lists`, with (weight, delay) of each connection from ``values(source, target)``, which must depend on nothing else."""
+        pairs = [(i, t) for i, row in enumerate(adjacency) for t in row]
+        found = np.array([values(s, t) for s, t in pairs], dtype=float).reshape(-1, 2)
+        self.connect([s for s, _ in pairs], [t for _, t in pairs], synapse, found[:, 0], found[:, 1])
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The catalogue as small DataFrames, and neurons and connections as rows."""
@@ -266,15 +304,76 @@ def _component(model: Model, tag: str, e: ET.Element) -> Component:
             values[name] = model.units.resolve(text, dimension if what == "Parameter" else None)
     waiting = {n: parse(v) for n, (what, _, v) in kind.declarations.items() if what == "DerivedParameter"}
     while waiting:
-        from ..functions.expressions import names
-
         ready = [n for n, tree in waiting.items() if names(tree) <= values.keys()]
         if not ready:
             raise ModelError(f"{e.get('id')}: can't work out {sorted(waiting)}")
         for n in ready:
             values[n] = evaluate(waiting.pop(n), values)
     times = [model.units.resolve(s.get("time"), "time") for s in e if _tag(s) == "spike"]
-    return Component(e.get("id"), kind, values, dict(e.attrib), times)
+    out = Component(e.get("id"), kind, values, dict(e.attrib), times)
+    for x in e:
+        inner = x.get("type") if _tag(x) == "Component" else _tag(x)
+        if inner in model.types and inner != "spike":
+            role = inner if inner in kind.parts else next((r for r, many in kind.parts.items() if many), None) or next(iter(kind.parts), inner)
+            part = _component(model, inner, x)
+            part.id = f"{out.id}/{part.id or role}"
+            out.children.append((role, part))
+    return out
+
+
+def check(model: Model) -> None:
+    """Refuse what would not be simulated as it is written: names that nothing gives, states that aren't there, regimes and synapses not declared, times without sense."""
+    if not (model.step > 0 and model.length >= 0):
+        raise ModelError(f"a step of {model.step} s and a length of {model.length} s make no run")
+    for e in model.edges:
+        if e[2] not in model.components:
+            raise ModelError(f"no synapse {e[2]!r}")
+        if not np.isfinite(e[3]) or not e[4] >= 0:
+            raise ModelError(f"connection {e[0]} -> {e[1]}: weight {e[3]}, delay {e[4]}")
+    for _, name, _ in model.inputs:
+        if name not in model.components:
+            raise ModelError(f"no input {name!r}")
+    used = {c for _, c, _ in model.populations} | {e[2] for e in model.edges} | {i[1] for i in model.inputs}
+    for c in (model.components[n] for n in used):
+        _check(c)
+
+
+def _check(c: Component) -> None:
+    kind = c.type
+    regimes = [r.name for r in kind.regimes]
+    if len(set(regimes)) < len(regimes) or len(regimes) > 1 and sum(r.initial for r in kind.regimes) != 1:
+        raise ModelError(f"{kind.name}: of its regimes one has to be initial, and each has its name once")
+    known = {*c.values, *kind.states, *(d[0] for d in kind.derived), "t", "weight", *(n for n, d in kind.declarations.items() if d[0] in ("Requirement", "Property"))}
+
+    def read(tree: Node | None) -> None:
+        if tree is not None and (missing := names(tree) - known):
+            raise ModelError(f"{kind.name} ({c.id}): nothing gives {sorted(missing)}")
+
+    def assigned(what: list) -> None:
+        for name, tree in what:
+            if name not in kind.states:
+                raise ModelError(f"{kind.name}: {name!r} is assigned but is no state")
+            read(tree)
+
+    assigned(kind.start)
+    assigned(kind.events)
+    for _, cases, _ in kind.derived:
+        for case in cases:
+            for tree in case:
+                read(tree)
+    for r in kind.regimes:
+        for name, tree in r.derivatives.items():
+            if name not in kind.states:
+                raise ModelError(f"{kind.name}: the derivative of {name!r}, which is no state")
+            read(tree)
+        assigned(r.entry)
+        for test, what, _, after in r.conditions:
+            read(test)
+            assigned(what)
+            if after is not None and after not in regimes:
+                raise ModelError(f"{kind.name}: a transition to {after!r}, which is no regime")
+    for _, part in c.children:
+        _check(part)
 
 
 def _network(model: Model, e: ET.Element) -> None:

@@ -254,3 +254,111 @@ def test_compiled_expressions_agree_with_the_interpreter():
     for e in ("x / y + exp(-x) * 2", "-x^2 + 2^3^2", "H(y) .and. x .gt. 0", "x == y .or. x .leq. -2", "sqrt(abs(x)) - ln(y + 5) / 3", "1 / x", "(x > y) * 4 - ceil(x / 3)"):
         with np.errstate(all="ignore"):
             assert np.array_equal(np.broadcast_to(compiled(parse(e))(values, None), 4), np.broadcast_to(evaluate(parse(e), values), 4), equal_nan=True), e
+
+
+INPUTS = """<neuroml><iafCell id="c" leakConductance="4 nS" leakReversal="-62 mV" thresh="-48 mV" reset="-68 mV" C="120 pF"/><alphaCurrentSynapse id="s" tau="3 ms" ibase="70 pA"/>
+<compoundInput id="two"><pulseGenerator id="a" delay="1 ms" duration="20 ms" amplitude="60 pA"/><pulseGenerator id="b" delay="5 ms" duration="30 ms" amplitude="40 pA"/></compoundInput><compoundInput id="none"/>
+<timedSynapticInput id="timed" synapse="s"><spike id="0" time="3 ms"/><spike id="1" time="3 ms"/><spike id="2" time="9 ms"/></timedSynapticInput>
+<pulseGenerator id="pa" delay="1 ms" duration="20 ms" amplitude="60 pA"/><pulseGenerator id="pb" delay="5 ms" duration="30 ms" amplitude="40 pA"/>
+<network id="n"><population id="p" component="c" size="4"/>{drive}</network><Simulation id="x" length="40 ms" step="0.1 ms" target="n"/></neuroml>"""
+
+
+def potentials(drive, ticks=400):
+    net, out = Network(loads(INPUTS.format(drive=drive))), []
+    for _ in range(ticks):
+        net.step()
+        out.append([net.state(i, "v") for i in range(4)])
+    return np.array(out)
+
+
+def test_parts_of_inputs_are_added():
+    whole = potentials('<explicitInput target="p[0]" input="two"/><explicitInput target="p[1]" input="none"/>')
+    parts = potentials('<explicitInput target="p[0]" input="pa"/><explicitInput target="p[0]" input="pb"/>')
+    assert np.allclose(whole[:, 0], parts[:, 0], rtol=0, atol=1e-15) and (whole[:, 1] == -0.062).all() and whole[:, 0].max() > -0.055
+
+
+def test_spikes_go_along_routes():
+    v = potentials('<inputList id="l" component="timed" population="p"><inputW id="0" target="../p[2]" weight="0.5"/></inputList>')
+    i = j = 0.0
+    cell, e = -0.062, 2.7182818284590451
+    for tick in range(400):
+        cell += 1e-4 * ((4e-9 * (-0.062 - cell) + i) / 120e-12)
+        step_i, step_j = (e * j - i) / 3e-3, -j / 3e-3
+        i, j = i + 1e-4 * step_i, j + 1e-4 * step_j
+        j += {30: 2, 90: 1}.get(tick, 0) * 0.5 * 70e-12
+        assert v[tick, 2] == pytest.approx(cell, abs=1e-12)
+    assert (v[:, 0] == -0.062).all()
+
+
+@pytest.mark.parametrize("old,new", [
+    ('value="(gain * v)"', 'value="(nothing * v)"'), ('variable="v" value="1 / S"', 'variable="w" value="1 / S"'), ('regime="on"', 'regime="away"'),
+    ('initial="true"', ""), ('weight="1" delay="1 ms"', 'weight="1" delay="-1 ms"'), ('weight="1" delay', 'weight="nan" delay'), ('step="0.1 ms"', 'step="0 ms"'), ('synapse="y"', 'synapse="z"'),
+])
+def test_refused_before_a_run(old, new):
+    text = """<neuroml><ComponentType name="cellx"><Parameter name="gain"/><Constant name="S" value="1s"/><Dynamics><StateVariable name="v"/><DerivedVariable name="g" value="(gain * v)"/><DerivedVariable name="all" select="synapses[*]/i" reduce="add"/>
+      <Regime name="on" initial="true"><TimeDerivative variable="v" value="1 / S"/><OnCondition test="v .gt. 2"><Transition regime="off"/></OnCondition></Regime>
+      <Regime name="off"><OnCondition test="v .gt. 3"><Transition regime="on"/></OnCondition></Regime></Dynamics></ComponentType><cellx id="c" gain="2"/><alphaCurrentSynapse id="y" tau="2 ms" ibase="1 pA"/>
+    <network id="n"><population id="p" component="c" size="2"/><projection id="j" presynapticPopulation="p" postsynapticPopulation="p" synapse="y"><connectionWD id="0" preCellId="../p[0]" postCellId="../p[1]" weight="1" delay="1 ms"/></projection></network>
+    <Simulation id="x" length="1 ms" step="0.1 ms" target="n"/></neuroml>"""
+    Network(loads(text)).step()
+    assert old in text
+    with pytest.raises(ModelError):
+        Network(loads(text.replace(old, new)))
+
+
+def test_connections_from_lists_and_functions():
+    a, b = loads(network_text(10)), loads(network_text(10))
+    a.edges, b.edges = [], []
+    lists = [[1, 2], [], [0], *[[] for _ in range(7)]]
+    a.connect_lists(lists, "syn", 0.5, 2e-3)
+    b.connect_by(lists, "syn", lambda s, t: (s + t / 10, 1e-3 * (1 + t)))
+    assert a.edges == [(0, 1, "syn", 0.5, 2e-3), (0, 2, "syn", 0.5, 2e-3), (2, 0, "syn", 0.5, 2e-3)]
+    assert b.edges == [(0, 1, "syn", 0.1, 2e-3), (0, 2, "syn", 0.2, 3e-3), (2, 0, "syn", 2.0, 1e-3)]
+    for bad in ([[0, 0]], [[14]], [[-1]], [[1]]):
+        with pytest.raises(ModelError):
+            a.connect_lists(bad, "syn")
+    with pytest.raises(ModelError):
+        a.connect([4], [5], "syn", float("nan"))
+
+
+def test_snapshots_are_of_one_tick(spark, tmp_path):
+    import threading
+
+    from axonframe.streaming.recorder import Recording
+
+    run = Recording(loads(network_text(20)))
+    thread = threading.Thread(target=run.run, args=(400,))
+    thread.start()
+    seen = []
+    while thread.is_alive():
+        s = run.snapshot()
+        seen.append(s)
+        assert all(t < s["tick"] for t, _ in s["spike_history"]) and len(s["traces"]) == s["tick"]
+    thread.join()
+    last = run.snapshot()
+    assert last["tick"] == 400 and (last["last_spiked"][[n for _, n in last["spike_history"]]] >= 0).all() and set(last["cell_state"]) == {"pop", "poisson"}
+    run.save(spark, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r" / "spikes")).count() == len(run.spikes)
+
+
+def test_random_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from axonframe.functions import randoms as R
+
+    a, b = R.RandomGenerator(5), R.RandomGenerator(5)
+    assert a.uniform() == b.uniform() and (a.normal(size=4) == b.normal(size=4)).all() and a.poisson(3) == b.poisson(3) and a.exponential(2.0) == b.exponential(2.0)
+    x = a.uniform(-1, 1, 20_000)
+    assert -1 < x.min() and x.max() < 1 and abs(x.mean()) < 0.03
+    rows = spark.range(20_000).select(R.uniform(3, F.col("id")).alias("u"), R.normal(3, F.col("id"), mean=2.0, deviation=0.5).alias("n"), R.exponential(3, F.col("id"), rate=4.0).alias("e"), R.poisson(3, F.col("id"), mean=6.0).alias("p")).toPandas()
+    assert 0 < rows.u.min() and rows.u.max() < 1 and abs(rows.u.mean() - 0.5) < 0.01 and abs(rows.n.mean() - 2) < 0.02 and abs(rows.n.std() - 0.5) < 0.01
+    assert abs(rows.e.mean() - 0.25) < 0.01 and abs(rows.p.mean() - 6) < 0.08 and abs(rows.p.var() - 6) < 0.3
+
+
+def test_time_units():
+    from axonframe.functions import units as U
+
+    assert U.ms_to_seconds(2.5) == 0.0025 and U.seconds_to_ms(0.5) == 500 and U.tick_to_ms(15, 0.1) == pytest.approx(1.5)
+    for f in (U.ms_to_seconds, U.seconds_to_ms):
+        with pytest.raises(ValueError):
+            f(-1)
