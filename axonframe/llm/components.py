@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     ``edges`` has long columns ``a`` and ``b``; direction, repeats, loops and nulls
@@ -23,9 +23,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         "edges",
     )
     before = _mark(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the least neighbours are stored: beside an aggregate by the same key, Spark can't split the join of a hub
         low = stored(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "low")
@@ -44,8 +42,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -16,7 +16,7 @@ from itertools import accumulate
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import slices_of, stored
@@ -122,6 +122,17 @@ def _starts(text: str) -> set[str]:
     return words | {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST + 1))}
 
 
+def _told(toxic: int, clean: int, share: float, tested: int) -> bool:
+    """Whether a word that has nothing to do with toxicity is unlikely to stand in so many toxic documents: under one in
+    a hundred among all ``tested`` terms, ``share`` of all documents being toxic (by Chernoff's bound)."""
+    n = toxic + clean
+    part = toxic / n
+    if part <= share:
+        return False
+    bound = part * math.log(part / share) + ((1 - part) * math.log((1 - part) / (1 - share)) if part < 1 else 0.0)
+    return n * bound >= math.log(100 * max(1, tested))
+
+
 def _cover(found: list[set[str]], clean: dict[str, int], n_clean: int) -> dict[str, float]:
     """Terms that explain the toxic documents, each chosen for those that no term before it explains.
 
@@ -174,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     with one text: of a repeated id the one with the least hash. Labels that are
     null, neither 0 nor 1, or at odds with another of the same id do not count.
     Whole words and word starts of 4 to 9 folded letters are counted in documents of
-    either label; those that tell become candidates, of which a greedy cover of the
-    toxic documents takes terms, weighted by their log-odds. Without labels of both
+    either label; those that tell, beyond what chance gives among so many, become candidates, of
+    which a greedy cover of the toxic documents takes terms, weighted by their log-odds. Without labels of both
     kinds only the seed terms hold.
     """
     seeds = {fold(k): v for k, v in SEED_TERMS.items()}
@@ -197,11 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([sums[1][p] for p in part], pa.int64()), pa.array([sums[0][p] for p in part], pa.int64())], ["term", "toxic", "clean"])
 
     counts = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    telling = counts.where((F.col("term") == "") | ((F.col("toxic") >= 4) & (F.col("clean") <= 0.43 * F.col("toxic"))))
-    rows = sorted((r.term, r.toxic, r.clean) for r in telling.toLocalIterator())  # each in four of the labelled documents at least, so bounded by these
+    seen = Observation()
+    telling = counts.observe(seen, F.count_if(F.col("toxic") + F.col("clean") >= 4).alias("tested")).where((F.col("term") == "") | ((F.col("toxic") >= 4) & (F.col("clean") <= 0.43 * F.col("toxic"))))
+    rows = sorted((r.term, r.toxic, r.clean) for r in telling.collect())  # each in four of the labelled documents at least, so bounded by these
     if not rows or rows[0][0] or not rows[0][1] or not rows[0][2]:
         return Lexicon(seeds)
-    clean = {t: c for t, _, c in rows[1:]}
+    share, tested = rows[0][1] / (rows[0][1] + rows[0][2]), seen.get["tested"]
+    clean = {t: c for t, n, c in rows[1:] if _told(n, c, share, tested)}
     toxic = [_starts(r.text) & clean.keys() for r in sample.where("toxic = 1").orderBy("doc_id").select("text").toLocalIterator()]
     lexicon = Lexicon(seeds | _cover(toxic, clean, rows[0][2]))
 
