@@ -15,8 +15,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Chance at most that a window holding enough of a template shares no band with it.
 MISS = 1e-6
-#: Longs at most of a filter of template words or shingles: 2 MB. With over a million shingles it lets more through; what it lets through is checked.
+#: Longs at most of a filter of template words or shingles (2 MB), and bits that it sets for each. With over 260,000 shingles it lets more through; what it lets through is checked.
 MOST_LONGS = 1 << 18
+PROBES = 4
 #: Notices that name a licence, and full texts.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -93,24 +94,32 @@ def bands_of(window: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), size["bands"] - 1), key)
 
 
-def _bit(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 40).bitwiseAND(63).cast("int")
+def _bits(key: Column, longs: int) -> list[Column]:
+    """The places of a key in a filter of so many longs, a power of two: steps of one half of the key from the other."""
+    step = F.shiftrightunsigned(key, 33).bitwiseOR(1)
+    return [(key.bitwiseAND(0x7FFFFFFF) + step * i).bitwiseAND(64 * longs - 1) for i in range(PROBES)]
 
 
-def bits_of(keys: DataFrame) -> Column:
-    """A filter of the longs of ``keys`` (key): a power of two of longs, sixteen bits a key or more up to MOST_LONGS, as one constant array."""
-    longs = 1 << min(int(math.log2(MOST_LONGS)), max(6, math.ceil(math.log2(max(1, keys.count()) / 4))))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("key")))
-    rows = keys.groupBy(F.col("key").bitwiseAND(longs - 1).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+def bits_of(keys: DataFrame) -> tuple[Column, int]:
+    """A Bloom filter of the longs of ``keys`` (key), 64 bits a key or more up to MOST_LONGS in all: one constant array, and how many longs it has."""
+    longs = 1 << min(int(math.log2(MOST_LONGS)), max(6, math.ceil(math.log2(max(1, keys.count())))))
+    places = keys.select(F.explode(F.array(*_bits(F.col("key"), longs))).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))
+    rows = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
     every = dict(zip(rows.column("at").to_pylist(), rows.column("bits").to_pylist()))
     # one literal that the optimizer turns into an array once, however many keys there are
-    return F.split(F.lit(",".join(str(every.get(i, 0)) for i in range(longs))), ",").cast("array<bigint>")
-
-
-def may_hold(key: Column, bits: Column) -> Column:
-    """Whether ``key`` is in the filter; of others up to one in 16 is taken for one that is."""
-    word = F.get(bits, key.bitwiseAND(F.size(bits) - 1).cast("int"))
-    return F.call_function("shiftrightunsigned", word, _bit(key)).bitwiseAND(1) == 1
+    return F.split(F.lit(",".join(str(every.get(i, 0)) for i in range(longs))), ",").cast("array<bigint>"), longs
+
+
+def may_hold(key: Column, bits: tuple[Column, int]) -> Column:
+    """Whether ``key`` is in the filter; with 64 bits a key one in 80,000 others is taken for one that is."""
+    array, longs = bits
+    out = None
+    for place in _bits(key, longs):
+        word = F.get(array, F.shiftright(place, 6).cast("int"))
+        on = F.call_function("shiftrightunsigned", word, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        out = on if out is None else out & on
+    return out
 
 
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

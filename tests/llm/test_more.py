@@ -215,7 +215,7 @@ def test_filter_has_no_false_negatives(spark):
     bits = licenses.bits_of(keys)
     assert keys.where(licenses.may_hold(keys["key"], bits)).count() == 5000
     others = spark.range(10_000, 30_000).selectExpr("xxhash64(id) AS key")
-    assert others.where(licenses.may_hold(others["key"], bits)).count() < 3000
+    assert others.where(licenses.may_hold(others["key"], bits)).count() < 10
 
 
 # 3: embeddings
