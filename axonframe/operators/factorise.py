@@ -148,13 +148,12 @@ def alternate(plane: DataFrame, lanes: int, tolerance: float = 0.0, sweeps: int
     return Fit(best.u, best.v, best.error, len(after) - 1)
 
 
-def _gradient(plane: DataFrame, u: DataFrame, v: DataFrame, ridge: float) -> tuple[DataFrame, DataFrame]:
+def _gradient(plane: DataFrame, u: DataFrame, v: DataFrame, lanes: int, ridge: float) -> tuple[DataFrame, DataFrame]:
     """Derivatives of the objective by all rows: (node, lanes) of either side."""
     pull = _with_rows(plane, u, v).withColumn("r", F.col("w") * (_product("a", "b") - F.col("value")))
 
     def of(rows: DataFrame, side: str, against: str) -> DataFrame:
-        each = pull.select(F.col(side).alias("node"), F.posexplode(F.transform(against, lambda x: x * F.col("r"))).alias("k", "g")).groupBy("node", "k").agg(F.sum("g").alias("g"))
-        sums = each.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "g"))), lambda s: s["g"]).alias("g"))  # as many as lanes
+        sums = pull.groupBy(F.col(side).alias("node")).agg(F.array(*[F.sum(F.get(against, F.lit(k)) * F.col("r")) for k in range(lanes)]).alias("g"))
         return rows.join(sums, "node").select("node", F.zip_with("g", "lanes", lambda g, x: g + ridge * x).alias("lanes"))
 
     return of(u, "src", "b"), of(v, "dst", "a")
@@ -196,7 +195,7 @@ def quasi_newton(plane: DataFrame, lanes: int, tolerance: float = 0.0, steps: in
     side = lambda rows, name: rows.select(F.lit(name).alias("side"), "node", "lanes")
     both = lambda pair: side(pair[0], "u").unionByName(side(pair[1], "v"))
     join = lambda x, g: x.withColumnRenamed("lanes", "x").join(g.withColumnRenamed("lanes", "g"), ["side", "node"])
-    state = stored(join(both((u, v)), both(_gradient(plane, u, v, ridge))).withColumn("s", F.array().cast("array<array<double>>")).withColumn("y", F.array().cast("array<array<double>>")), "state")
+    state = stored(join(both((u, v)), both(_gradient(plane, u, v, lanes, ridge))).withColumn("s", F.array().cast("array<array<double>>")).withColumn("y", F.array().cast("array<array<double>>")), "state")
     best, since, pairs = Fit(u, v, worst_error(plane, u, v), 0), 0, 0
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     for step in range(1, steps + 1):
@@ -227,7 +226,7 @@ def quasi_newton(plane: DataFrame, lanes: int, tolerance: float = 0.0, steps: in
         moved = state.select("side", "node", F.zip_with("x", "d", lambda x, d: x + t * d).alias("x"), "g", F.transform("d", lambda d: d * t).alias("now"), "s", "y")
         moved = stored(moved, "moved")
         u, v = (moved.where(F.col("side") == n).select("node", F.col("x").alias("lanes")) for n in ("u", "v"))
-        g = both(_gradient(plane, u, v, ridge)).withColumnRenamed("lanes", "new")
+        g = both(_gradient(plane, u, v, lanes, ridge)).withColumnRenamed("lanes", "new")
         keep = lambda old, new: F.slice(F.concat(old, F.array(new)), F.greatest(F.lit(1), F.size(old) + 2 - HISTORY), HISTORY)
         state = stored(moved.join(g, ["side", "node"]).select("side", "node", "x", F.col("new").alias("g"), keep(F.col("s"), F.col("now")).alias("s"), keep(F.col("y"), F.zip_with("new", "g", lambda a, b: a - b)).alias("y")), "state")
         pairs = min(pairs + 1, HISTORY)
