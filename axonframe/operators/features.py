@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +72,33 @@ def block_mean(x: Column, width: int, factor: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda b: F.aggregate(part(b), F.lit(0.0), lambda s, v: s + v) / F.lit(float(factor * factor)))
 
 
+def every_second(x: Column, width: int) -> Column:
+    """An array read as rows of ``width``, every second row and column of it."""
+    return F.filter(x, lambda _, i: (i % width % 2 == 0) & (F.floor(i / width) % 2 == 0))
+
+
+def nearest(x: Column, width: int, height: int, new_width: int, new_height: int) -> Column:
+    """An array read as rows of ``width``, to another size by the nearest place."""
+    place = lambda i: F.floor(F.floor(i / new_width) * height / new_height) * width + F.floor(i % new_width * width / new_width)
+    return F.transform(F.sequence(F.lit(0), F.lit(new_width * new_height - 1)), lambda i: F.get(x, place(i).cast("int")))
+
+
+def cross_entropy(scores: Column, label: Column) -> Column:
+    """Minus the log of the softmax of ``scores`` at ``label``, from their differences to the largest so that nothing overflows."""
+    most = F.array_max(scores).cast("double")
+    total = F.aggregate(scores, F.lit(0.0), lambda s, v: s + F.exp(v.cast("double") - most))
+    return F.log(total) + most - F.get(scores, label.cast("int")).cast("double")
+
+
+def centred_layout(index: Column, count: int, side: int) -> Column:
+    """Neurons for ``count`` inputs: the square of the least side that holds them, in the middle of a square of neurons of ``side``."""
+    own = math.ceil(math.sqrt(count))
+    if own > side:
+        raise ValueError(f"{count} inputs don't fit {side} x {side} neurons")
+    first = (side - own) // 2
+    return (F.floor(index / own) + first) * side + index % own + first
+
+
 def gram(rows: DataFrame, x: str, y: Column, alpha: float) -> DataFrame:
     """Normal equations of ridge regression, (i, j, value): the sums of x_i x_j with alpha on the diagonal, and with j = -1 those of x_i y."""
     v = rows.select(F.col(x).alias("x"), y.cast("double").alias("y")).select(F.posexplode("x").alias("i", "a"), "x", "y")

@@ -72,6 +72,28 @@ def block_mean(spark, sf_dir):
     return b.select("vec_id", "block", F.round("mean", 6).alias("mean"))
 
 
+@query(f"""WITH {VEC} SELECT vec_id, 'second' AS kind, CAST(n - 1 AS INTEGER) AS place, e[(n - 1) // 4 * 2 * 8 + (n - 1) % 4 * 2 + 1] AS v FROM v, range(1, 17) t(n)
+UNION ALL SELECT vec_id, 'nearest', CAST(n AS INTEGER), e[n // 5 * 8 // 5 * 8 + n % 5 * 8 // 5 + 1] FROM v, range(25) t(n)""")
+def smaller_images(spark, sf_dir):
+    """Each row of 64 features as an 8 x 8 image: every second pixel, and to 5 x 5 by the nearest one."""
+    r = rows(spark, sf_dir).withColumn("x", F.transform("x", lambda v: v.cast("double")))
+    second = r.select("vec_id", F.lit("second").alias("kind"), F.posexplode(X.every_second(F.col("x"), 8)).alias("place", "v"))
+    return second.unionByName(r.select("vec_id", F.lit("nearest").alias("kind"), F.posexplode(X.nearest(F.col("x"), 8, 8, 5, 5)).alias("place", "v")))
+
+
+@query(f"WITH {VEC}, l AS (SELECT label, ln(list_sum(list_transform(e[1:10], lambda x: exp(x)))) - e[label + 1] AS loss FROM v) SELECT label, round(avg(loss), 6) AS loss FROM l GROUP BY label")
+def cross_entropy_loss(spark, sf_dir):
+    """Mean loss of each class, the first ten features being the scores."""
+    loss = X.cross_entropy(F.slice("x", 1, 10), F.col("label"))
+    return rows(spark, sf_dir).groupBy("label").agg(F.round(F.avg(loss), 6).alias("loss"))
+
+
+@query("SELECT i AS input, (i // 7 + 4) * 15 + i % 7 + 4 AS neuron FROM range(45) t(i)")
+def input_layout(spark, sf_dir):
+    """Forty-five inputs in the middle of 15 x 15 neurons."""
+    return spark.range(45).select(F.col("id").alias("input"), X.centred_layout(F.col("id"), 45, 15).alias("neuron"))
+
+
 @query(f"""WITH {VEC}, a AS (SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS i, e[i] AS x FROM v, range(1, {DIM + 1}) t(i))
 SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x) + CASE WHEN a.i = b.i THEN 0.5 ELSE 0.0 END, 5) AS value FROM a JOIN a b USING (vec_id) GROUP BY a.i, b.i
 UNION ALL SELECT i, -1, round(sum(x * label), 5) FROM a GROUP BY i""")
