@@ -318,3 +318,47 @@ def budgets(searched: DataFrame, fraction: float, cap: int) -> DataFrame:
     ranked = prefix_sums(over, "plane", F.floor(F.col("plane") / 1024), "over")
     lanes = F.when((F.col("wanted") > level) & (F.col("over_sum") > total - spare), level + 1).otherwise(F.least("wanted", F.lit(level)))
     return ranked.select("plane", "wanted", lanes.cast("long").alias("lanes"))
+
+
+class Lanes:
+    """Which planes use which lanes of a basis: a lane is a plane's own if no other uses it, shared if several do, free if none does."""
+
+    def __init__(self) -> None:
+        self.users: list[set[str]] = []
+
+    def owned(self, plane: str) -> list[int]:
+        return [i for i, u in enumerate(self.users) if u == {plane}]
+
+    def shared(self) -> list[int]:
+        return [i for i, u in enumerate(self.users) if len(u) > 1]
+
+    def free(self) -> list[int]:
+        return [i for i, u in enumerate(self.users) if not u]
+
+    def take(self, plane: str, count: int) -> list[int]:
+        """So many lanes for a plane, free ones first, then new ones."""
+        got = self.free()[:count]
+        got += range(len(self.users), len(self.users) + count - len(got))
+        self.users += [set() for _ in range(len(self.users), max(got, default=-1) + 1)]
+        for i in got:
+            self.users[i].add(plane)
+        return got
+
+    def share(self, plane: str, lane: int) -> None:
+        """Let a plane use a lane that others have."""
+        if not self.users[lane]:
+            raise ValueError(f"nothing uses lane {lane}")
+        self.users[lane].add(plane)
+
+    def release(self, plane: str, keep: int = 0) -> list[int]:
+        """Free a plane's own lanes but the first ``keep``, and leave the shared ones unless ``keep`` is 0; returns what is free now."""
+        gone = self.owned(plane)[keep:]
+        for i in gone if keep else range(len(self.users)):
+            self.users[i].discard(plane)
+        return gone
+
+    def compact(self) -> dict[int, int]:
+        """Move lanes in use to the front, in order; returns where each went."""
+        used = [i for i, u in enumerate(self.users) if u]
+        self.users = [self.users[i] for i in used]
+        return {old: new for new, old in enumerate(used)}

@@ -31,6 +31,7 @@ class Regime:
     derivatives: dict[str, Node] = field(default_factory=dict)
     entry: list[tuple[str, Node]] = field(default_factory=list)
     conditions: list[tuple] = field(default_factory=list)  # test, assignments, emits, next regime
+    events: list[tuple] = field(default_factory=list)  # assignments and whether a spike goes out, for each arriving spike
 
 
 @dataclass
@@ -42,6 +43,8 @@ class ComponentType:
     derived: list[tuple[str, list[tuple[Node | None, Node]], str | None]] = field(default_factory=list)  # name, cases, select
     start: list[tuple[str, Node]] = field(default_factory=list)
     events: list[tuple[str, Node]] = field(default_factory=list)
+    #: Whether an arriving spike makes one go out, whatever the regime.
+    passes_on: bool = False
     regimes: list[Regime] = field(default_factory=list)
     exposures: dict[str, str] = field(default_factory=dict)
     has_dynamics: bool = False
@@ -100,6 +103,7 @@ def _type(e: ET.Element) -> ComponentType:
                 t.start += _assignments(d)
             elif kind == "OnEvent":
                 t.events += _assignments(d)
+                t.passes_on |= any(_tag(a) == "EventOut" for a in d)
             elif kind == "OnCondition":
                 whole.conditions.append(_condition(d))
             elif kind == "Regime":
@@ -111,6 +115,8 @@ def _type(e: ET.Element) -> ComponentType:
                         r.entry += _assignments(x)
                     elif _tag(x) == "OnCondition":
                         r.conditions.append(_condition(x))
+                    elif _tag(x) == "OnEvent":
+                        r.events.append((_assignments(x), any(_tag(a) == "EventOut" for a in x)))
                 t.regimes.append(r)
             if d.get("exposure"):
                 t.exposures[d.get("exposure")] = d.get("name")
@@ -161,7 +167,7 @@ class Model:
         """A type with what it inherits: the nearest dynamics, all declarations, states of ancestors first."""
         line = self.lineage(name)
         nearest = next((t for t in line if t.has_dynamics), line[0])
-        out = ComponentType(name, line[0].extends, {}, [], nearest.derived, nearest.start, nearest.events, nearest.regimes, nearest.exposures, nearest.has_dynamics)
+        out = ComponentType(name, line[0].extends, {}, [], nearest.derived, nearest.start, nearest.events, nearest.passes_on, nearest.regimes, nearest.exposures, nearest.has_dynamics)
         for t in reversed(line):
             out.parts |= t.parts
             out.aliases |= t.aliases
@@ -367,6 +373,8 @@ def _check(c: Component) -> None:
                 raise ModelError(f"{kind.name}: the derivative of {name!r}, which is no state")
             read(tree)
         assigned(r.entry)
+        for what, _ in r.events:
+            assigned(what)
         for test, what, _, after in r.conditions:
             read(test)
             assigned(what)

@@ -202,3 +202,18 @@ def test_search_bisects(spark, pairs, monkeypatch):
     edges = spark.createDataFrame(plane_of(pairs, 1), "src long, dst long, weight double")
     assert Fa.fewest_lanes(edges, 1e-3) == (3, 0.0, True) and Fa.fewest_lanes(edges, 1e-3, most=2)[2] is False
     assert Fa.fewest_lanes(edges.withColumn("weight", F.lit(0.0)), 1e-3) == (0, 0.0, True)
+
+
+def test_lanes_are_taken_released_and_moved():
+    lanes = Fa.Lanes()
+    assert lanes.take("a", 3) == [0, 1, 2] and lanes.take("b", 2) == [3, 4]
+    lanes.share("b", 1)
+    assert lanes.owned("a") == [0, 2] and lanes.shared() == [1] and lanes.free() == []
+    assert lanes.release("a", keep=1) == [2] and lanes.free() == [2] and lanes.shared() == [1]
+    assert lanes.take("c", 2) == [2, 5]
+    lanes.release("b")
+    assert lanes.owned("a") == [0, 1] and lanes.free() == [3, 4]
+    assert lanes.compact() == {0: 0, 1: 1, 2: 2, 5: 3} and lanes.owned("c") == [2, 3] and lanes.free() == []
+    with pytest.raises(ValueError):
+        lanes.release("c")
+        lanes.share("a", 3)
