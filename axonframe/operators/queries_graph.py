@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.strings import combined
 from ..plans.storage import stored
 from . import graph as G
 from .registry import EDGE, ORD, edges, query, table
@@ -226,3 +227,9 @@ def bitmap_rank(spark, sf_dir):
     words = e.groupBy("src", word.alias("word")).agg(F.bit_or(bit).alias("bits")).groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("last"))
     whole = words.select("src", F.transform(F.sequence(F.lit(0), F.greatest("last", F.lit(2))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("w"))
     return whole.select("src", G.rank1(F.col("w"), 100).alias("rank_100"), G.get_bit(F.col("w"), 7).alias("bit_7"))
+
+
+@query(f"WITH {EDGE} SELECT src AS node, array_to_string(list(dst ORDER BY dst), '; ') || '; ' AS targets FROM edge GROUP BY src")
+def neighbor_text(spark, sf_dir):
+    """The targets of each source as text, with a filler after each."""
+    return G.neighbors(edges(spark, sf_dir)).select("node", combined(F.col("targets"), "; ", trailing=True).alias("targets"))

@@ -48,3 +48,9 @@ def test_units(spark):
     rows = spark.createDataFrame([("-60mV",), ("1.2.3mV",), ("3 nS",), (None,)], "q string").select(quantity_to_si(F.col("q")).alias("si")).collect()
     assert [r.si for r in rows] == [pytest.approx(-0.06), None, pytest.approx(3e-9), None]
     assert [ms_to_ticks(x, 0.1) for x in (0, 0.04, 0.05, 1)] == [0, 0, 1, 10]
+
+
+def test_combined_text():
+    from axonframe.functions.strings import combine
+
+    assert (combine([1, "a", 2.5]), combine([1, 2], ", "), combine([1, 2], ", ", trailing=True), combine([], ", ", trailing=True)) == ("1a2.5", "1, 2", "1, 2, ", "")
