@@ -188,7 +188,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers), pa.array(numbers.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names
                 )
-            tidy(_state)
+        tidy(_state)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
