@@ -26,7 +26,7 @@ GRAM = 8
 #: Base of the polynomial modulo 2**64, odd, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -296,7 +296,7 @@ def _cut(joined: bool):
                 end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + CHUNK_BYTES, side="right")))
                 yield _cut_batch(batch.slice(start, end - start), expand, joined)
                 start = end
-            tidy()
+        tidy()
 
     return run
 
