@@ -43,6 +43,19 @@ def sized(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= MOST_BROADCAST else table
 
 
+#: Bits of the map that :func:`sieved` sends to all executors, in rows of 64.
+SIEVE = 1 << 24
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a hash, is none of ``wanted``: what a join that has to shuffle needn't move."""
+    slot = F.pmod(F.col(key), F.lit(SIEVE))
+    word, bit = F.shiftright(slot, 6).alias("_word"), F.pmod(slot, F.lit(64)).cast("int")
+    words = wanted.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    found = rows.withColumn("_word", word).join(F.broadcast(stored(words, "sieve")), "_word")
+    return found.where(F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(1) == 1).drop("_word", "_bits")
+
+
 def slices_of(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts hold about ``most_bytes``, at least a row each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

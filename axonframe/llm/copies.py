@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, sized, slices_of, stored, tidy
+from .common import Forest, sieved, sized, slices_of, stored, tidy
 from .components import connected_components
 from .simhash import BLOCK, _dealt, _edges, _hot, _majority, fuzzy_keys
 from .substring import rolling
@@ -35,8 +35,13 @@ BITS = 18
 #: Bands of a shingle set, and least values in each.
 BANDS, ROWS = 40, 4
 _ODD = np.random.default_rng(42).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
-#: Documents of a block when a group of candidates is compared in pairs of blocks.
-BLOCK_DOCS = 256
+#: Nodes of a bucket that a task deals by their second keys itself; those of a larger one are dealt anew by shuffling.
+HELD = 1 << 16
+#: Documents, and their shingles, of a block when a group of candidates is compared in pairs of blocks; and documents
+#: compared at once as one matrix product.
+BLOCK_DOCS, BLOCK_SHINGLES, TILE = 1 << 14, 1 << 20, 512
+#: Candidates that shared rare shingles give, as a share of all pairs, beyond which all pairs are compared.
+DENSE = 1 / 64
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -114,6 +119,26 @@ def _second_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(node[at[r]]), pa.array(lo[at[r]]), pa.array(hi[at[r]])], ["key", "node", "lo", "hi"])
 
 
+def _by_second_key(block: int):
+    """Places of a bucket of over ``block`` nodes that share a codeword number of a later segment too."""
+
+    def parts(key: int, words: list[np.ndarray]) -> Iterator[np.ndarray]:
+        for segment in _segments(*words)[int(key >> 12) + 1 :]:
+            rows, numbers = [], []
+            for at in range(0, len(segment), 1 << 14):
+                keys = fuzzy_keys(segment[at : at + (1 << 14)])
+                fresh = np.ones(keys.shape, dtype=bool)
+                fresh[:, 1:] = keys[:, 1:] != keys[:, :1]
+                r, c = np.nonzero(fresh)
+                rows.append(r + at), numbers.append(keys[r, c])
+            row, number = np.concatenate(rows), np.concatenate(numbers)
+            order = np.argsort(number, kind="stable")
+            row, number = row[order], number[order]
+            yield from (x for x in np.split(row, np.flatnonzero(number[1:] != number[:-1]) + 1) if len(x) > 1)
+
+    return lambda key, words: parts(key, words) if len(words[0]) > block else None
+
+
 def _two_shared(words: list[np.ndarray]):
     """A test of pairs of places: whether two segments of their fingerprints share a codeword number each."""
     keys = [fuzzy_keys(s) for s in _segments(*words)]
@@ -128,23 +153,24 @@ def _two_shared(words: list[np.ndarray]):
     return test
 
 
-def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+def candidates(nodes: DataFrame, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """Edges (a, b) that hold all candidates among ``nodes`` (node, lo, hi) together.
 
-    A bucket of one codeword number is compared in a task. One of over ``block``
-    nodes is dealt anew by a second number, and if that bucket too is large, in
-    pairs of blocks: the candidates are the same.
+    A bucket of one codeword number is compared in a task. Of one of over ``block``
+    nodes the task compares those that share a second number too. One of over ``held``
+    is dealt anew by the second number, a row for each, and if that bucket too is
+    large, in pairs of blocks: the candidates are the same.
     """
     names = ("node", "lo", "hi")
     schema = "key long, node long, lo long, hi long"
     keyed = nodes.select(*names).mapInArrow(_first_keys, schema)
-    hot = _hot(keyed, block)
+    hot = _hot(keyed, held)
     plain, large = keyed, None
     if hot.head(1):
         plain = keyed.join(hot, "key", "left_anti")
         large = keyed.join(hot, "key", "left_semi").mapInArrow(_second_keys, schema)
     none = hot.where("false")
-    out = _edges(_dealt(plain, names, none), BITS, names, _two_shared)
+    out = _edges(_dealt(plain, names, none), BITS, names, _two_shared, _by_second_key(block))
     return out if large is None else out.unionByName(_edges(_dealt(large, names, _hot(large, block)), BITS, names))
 
 
@@ -165,56 +191,120 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
+def _tiles(owner: np.ndarray, code: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Similar pairs of documents, all compared with all, in tiles. ``owner`` rises."""
+    starts = np.searchsorted(owner, np.arange(0, len(sizes) + TILE, TILE))
+    for s in range(len(starts) - 1):
+        for t in range(s + 1):
+            c = np.concatenate([code[starts[s] : starts[s + 1]], code[starts[t] : starts[t + 1]]])
+            o = np.concatenate([owner[starts[s] : starts[s + 1]] - s * TILE, owner[starts[t] : starts[t + 1]] - t * TILE + TILE])
+            c = np.unique(c, return_inverse=True)[1]
+            order = np.argsort(c, kind="stable")
+            c, o = c[order], o[order]
+            left, right = sizes[s * TILE : (s + 1) * TILE], sizes[t * TILE : (t + 1) * TILE]
+            shared, width = np.zeros((len(left), len(right))), 4096
+            for at in range(0, int(c[-1]) + 1 if len(c) else 0, width):
+                lo, hi = np.searchsorted(c, (at, at + width))
+                part = np.zeros((2 * TILE, width), dtype=np.float32)
+                part[o[lo:hi], c[lo:hi] - at] = 1
+                shared += part[: len(left)] @ part[TILE : TILE + len(right)].T
+            i, j = np.nonzero(shared >= similarity * (left[:, None] + right[None, :] - shared) - 1e-9)
+            yield i + s * TILE, j + t * TILE
+
+
+def _verified(i: np.ndarray, j: np.ndarray, owner: np.ndarray, code: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The similar ones of pairs of documents; ``owner`` rises, and ``code`` within it."""
+    span = np.int64(code.max()) + 1
+    held, first = owner * span + code, np.concatenate([[0], np.cumsum(sizes)])
+    pair = np.repeat(np.arange(len(i)), sizes[i])
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(sizes[i]) - sizes[i], sizes[i]) + first[i][pair]
+    want = j[pair] * span + code[at]
+    place = np.minimum(np.searchsorted(held, want), len(held) - 1)
+    shared = np.bincount(pair, held[place] == want, len(i))
+    near = shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9
+    return i[near], j[near]
+
+
+def _rare_first(owner: np.ndarray, code: np.ndarray, times: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Documents in order of a shingle, for those shingles of which similar documents share one at least.
+
+    With all shingles in one order, rarest first, two documents that share so many of them share
+    one of the first few of each: of all but as many, less one, as they have to share.
+    """
+    order = np.lexsort((code, times[code], owner))
+    c, o = code[order], owner[order]
+    place = np.arange(len(c)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = (place < (sizes - np.ceil(similarity * sizes - 1e-6) + 1)[o]) & (times[c] > 1)
+    c, o = c[first], o[first]
+    order = np.argsort(c, kind="stable")
+    return c[order], o[order]
+
+
 def _pairs(similarity: float):
-    """All pairs of a block, or of two: edges between documents of different clusters that are similar enough."""
+    """All pairs of a block, or of two: edges between documents of different clusters that are similar enough.
+
+    Pairs are looked for by their rarest shingles; where these say little, all are compared.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(s) for s in frame["shingles"]]
         node, cluster, side = (frame[c].to_numpy() for c in ("node", "cluster", "side"))
+        two = frame["left"].iloc[0] != frame["right"].iloc[0]
         sizes = np.array([len(s) for s in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = times[code] > 1
-        code, owner = np.unique(code[keep], return_inverse=True)[1], owner[keep]
-        order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        shared = np.zeros((len(sets), len(sets)), dtype=np.float64)
-        width = 4096
-        for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-            lo, hi = np.searchsorted(code, (at, at + width))
-            part = np.zeros((len(sets), width), dtype=np.float32)
-            part[owner[lo:hi], code[lo:hi] - at] = 1
-            shared += part @ part.T
-        near = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
-        near &= cluster[:, None] != cluster[None, :]
-        if frame["left"].iloc[0] != frame["right"].iloc[0]:
-            near &= side[:, None] != side[None, :]
-        i, j = np.nonzero(np.triu(near, 1))
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        code = code[np.lexsort((code, owner))]
         forest = Forest(len(node))
-        forest.join(i, j)
+
+        def apart(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = (i != j) & (cluster[i] != cluster[j])
+            if two:
+                ok &= side[i] != side[j]
+            return i[ok], j[ok]
+
+        c, o = _rare_first(owner, code, times, sizes, similarity)
+        ends = np.append(np.flatnonzero(c[1:] != c[:-1]) + 1, len(c)) if len(c) else np.zeros(0, dtype=np.int64)
+        lists = np.diff(ends, prepend=0)
+        if (lists * (lists - 1) // 2).sum() > DENSE * len(sets) * len(sets) / 2 + (1 << 12):
+            repeated = times[code] > 1
+            for i, j in _tiles(owner[repeated], code[repeated], sizes, similarity):
+                forest.join(*apart(i, j))
+        else:
+            places = np.repeat(ends, lists) - np.arange(len(c)) - 1  # documents after it in its list
+            at = np.repeat(np.arange(len(c)), places)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(places) - places, places) + at + 1
+            i, j = apart(o[at], o[other])
+            found = np.unique(np.minimum(i, j) * np.int64(len(sets)) + np.maximum(i, j))
+            i, j = found // len(sets), found % len(sets)
+            fits = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-6
+            i, j = i[fits], j[fits]
+            ends = np.cumsum(sizes[i]) // (1 << 20)
+            for some in np.split(np.arange(len(i)), np.flatnonzero(ends[1:] != ends[:-1]) + 1) if len(i) else ():
+                forest.join(*_verified(i[some], j[some], owner, code, sizes, similarity))
         root = forest.all_roots()
         own = np.flatnonzero(root != np.arange(len(root)))
-        del sets, flat, owner, code, times, keep, shared, near
+        del sets, owner, code, times, c, o
         tidy()
         return pd.DataFrame({"a": node[own], "b": node[root[own]]})
 
     return run
 
 
-def similar(sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK_DOCS) -> DataFrame:
+def similar(sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK_DOCS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Edges that hold all similar documents of each group of ``sets`` (cid, node, shingles) together.
 
     Every document is compared with the least of its group. Groups that this leaves
-    in parts are compared further in pairs of blocks, but for pairs of blocks that
-    the first step has joined already.
+    in parts are compared further in pairs of blocks of ``block`` documents or about
+    ``shingles`` shingles, but for pairs of blocks that the first step has joined already.
     """
     pivots = sets.groupBy("cid").agg(F.min("node").alias("pivot"))
     pivots = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of")), "pivot")
     common = F.size(F.array_intersect("shingles", "of"))
-    joined = stored(sets.join(pivots, "cid").select("cid", "node", "pivot", (common >= similarity * (F.size("shingles") + F.size("of") - common) - 1e-9).alias("joined")), "compared")
-    counts = joined.groupBy("cid").agg(F.count_if("joined").alias("done"), F.count_if(~F.col("joined")).alias("open")).where("open > 0")
+    joined = stored(sets.join(pivots, "cid").select("cid", "node", "pivot", F.size("shingles").alias("n"), (common >= similarity * (F.size("shingles") + F.size("of") - common) - 1e-9).alias("joined")), "compared")
+    blocks = lambda test: F.ceil(F.greatest(F.count_if(test) / block, F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)) / shingles)).cast("int")
+    counts = joined.groupBy("cid").agg(blocks(F.col("joined")).alias("ns"), blocks(~F.col("joined")).alias("nu")).where("nu > 0")
     counts = stored(counts, "open-groups")
-    ns, nu = F.ceil(F.col("done") / block).cast("int"), F.ceil(F.col("open") / block).cast("int")
+    ns, nu = F.col("ns"), F.col("nu")
     at = F.pmod(F.xxhash64("node"), F.when(F.col("joined"), ns).otherwise(nu)).cast("int")
     one = lambda k, left, right, side: F.struct(k.alias("kind"), left.alias("left"), right.alias("right"), side.cast("int").alias("side"))
     # parts that are not joined yet among themselves, and against the blocks of those that are
@@ -252,7 +342,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = stored(nodes.select("node", "lo", "hi", "first.rk1", "first.rk2"), "nodes")
     loose = connected_components(candidates(nodes).unionByName(banded(marked)))
     wanted = stored(nodes.join(loose, "node").select("node", "rk1", "rk2", F.col("component").alias("cid")), "wanted")
-    texts = named.join(sized(wanted, 48), ["rk1", "rk2"]).select("node", "cid", "text")
+    texts = sieved(named, wanted, "rk1").join(sized(wanted, 48), ["rk1", "rk2"]).select("node", "cid", "text")
     sets = stored(texts.mapInArrow(_sets, "node long, cid long, shingles array<long>"), "sets")
     sets = sets.dropDuplicates(["node"]) if _repeats(marked) else sets
     joined = connected_components(similar(sets, similarity))

@@ -147,8 +147,11 @@ def _forest(node: np.ndarray, words: list[np.ndarray], n: int, bits: int, also)
         yield node[own], node[root[own]]
 
 
-def _compare(bits: int, names: tuple[str, ...], also=None):
-    """Rows in order of key, left, right and side to edges within each group; ``names``: the node and the words of its fingerprint."""
+def _compare(bits: int, names: tuple[str, ...], also=None, within=None):
+    """Rows in order of key, left, right and side to edges within each group; ``names``: the node and the words of its fingerprint.
+
+    ``within(key, words)`` may give arrays of places, of which each is compared by itself, in place of the whole group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -157,16 +160,16 @@ def _compare(bits: int, names: tuple[str, ...], also=None):
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)] if held else cols
             group = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
             done = group[-1] if len(group) else 0
-            yield from _groups([c[:done] for c in cols], bits, also)
+            yield from _groups([c[:done] for c in cols], bits, also, within)
             held = [c[done:] for c in cols]
         if held:
-            yield from _groups(held, bits, also)
+            yield from _groups(held, bits, also, within)
         tidy()
 
     return run
 
 
-def _groups(cols: list[np.ndarray], bits: int, also) -> Iterator[pa.RecordBatch]:
+def _groups(cols: list[np.ndarray], bits: int, also, within=None) -> Iterator[pa.RecordBatch]:
     key, left, right, side, node = cols[:5]
     words = [c.view(np.uint64) for c in cols[5:]]
     if not len(key):
@@ -176,6 +179,17 @@ def _groups(cols: list[np.ndarray], bits: int, also) -> Iterator[pa.RecordBatch]
     for at, n in zip(bounds[:-1], np.diff(bounds)):
         if n > 1:
             here = slice(at, at + n)
+            parts = within(key[at], [w[here] for w in words]) if within else None
+            if parts is not None:
+                forest = Forest(n)
+                for places in parts:
+                    for a, b in _forest(places, [w[here][places] for w in words], 0, bits, None):
+                        forest.join(a, b)
+                root = forest.all_roots()
+                own = np.flatnonzero(root != np.arange(n))
+                out_a.append(node[here][own])
+                out_b.append(node[here][root[own]])
+                continue
             first = 0 if left[at] == right[at] else int((side[here] == 0).sum())
             if first == n:
                 continue
@@ -209,9 +223,9 @@ def _hot(keyed: DataFrame, block: int) -> DataFrame:
     return stored(keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks")), "hot-keys")
 
 
-def _edges(dealt: DataFrame, bits: int, names: tuple[str, ...], also=None) -> DataFrame:
+def _edges(dealt: DataFrame, bits: int, names: tuple[str, ...], also=None, within=None) -> DataFrame:
     ordered = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "side")
-    return ordered.mapInArrow(_compare(bits, names, also), "a long, b long")
+    return ordered.mapInArrow(_compare(bits, names, also, within), "a long, b long")
 
 
 def near_links(distinct: DataFrame, bits: int = 2, block: int = BLOCK) -> DataFrame:

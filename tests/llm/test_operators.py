@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from axonframe.llm import components, copies, covertree, decontaminate, html, licenses, packing, quality, queries, simhash, substring, toxicity, urls
-from axonframe.llm.common import Forest
+from axonframe.llm.common import Forest, sieved
 
 SF = "/root/testdata/sf0.001"
 
@@ -173,6 +175,69 @@ def test_candidates_do_not_depend_on_bucket_size(spark):
     assert roots(4096) == roots(8)
 
 
+def test_candidates_of_large_buckets_are_not_multiplied(spark, monkeypatch):
+    """Buckets that fit a task get their second keys there: no row for each is shuffled, and links stay the same."""
+    r = np.random.default_rng(7)
+    rows = [(i, int(r.integers(0, 4)) ^ (1 << int(r.integers(0, 60))), int(r.integers(0, 1 << 28))) for i in range(150)]
+    frame = spark.createDataFrame(rows, "node long, lo long, hi long")
+
+    def roots(*args):
+        f = Forest(150)
+        e = copies.candidates(frame, *args).collect()
+        f.join(np.array([x.a for x in e], dtype=int), np.array([x.b for x in e], dtype=int))
+        return f.all_roots().tolist()
+
+    shuffled = roots(8, 8)
+
+    def refuse(batches):
+        raise AssertionError("rows of second keys were made for a shuffle")
+
+    monkeypatch.setattr(copies, "_second_keys", refuse)
+    assert roots(8) == roots() == shuffled
+
+
+def test_groups_of_candidates_are_not_multiplied(spark, monkeypatch):
+    """1,500 texts that are loosely alike: each is dealt once, not once for each block of 256."""
+    rows = [(7, i, [1, 2, 3, 10 * i + 100, 10 * i + 101, 10 * i + 102]) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "cid long, node long, shingles array<long>")
+    monkeypatch.setattr(copies, "_pairs", lambda similarity: lambda group: pd.DataFrame({"a": [len(group)], "b": [0]}))
+    dealt = copies.similar(frame).where("b = 0 and a > 0").agg({"a": "sum"}).first()[0]
+    assert dealt <= 2 * len(rows)
+
+
+def test_texts_that_are_not_wanted_are_not_shuffled(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("key"))
+    wanted = rows.where("id % 10 = 3")
+    found = {r.id for r in sieved(rows, wanted, "key").collect()}
+    assert found >= set(range(3, 20_000, 10)) and len(found) < 2_200
+    assert sieved(rows, wanted.where("false"), "key").count() == 0
+
+
+def test_similar_pairs_by_rare_shingles_and_by_tiles(monkeypatch):
+    r = np.random.default_rng(8)
+    for trial in range(40):
+        n, base, sets = int(r.integers(1, 60)), r.integers(0, 300, r.integers(1, 40)), []
+        for _ in range(n):
+            words = base.copy()
+            words[r.integers(0, len(words), r.integers(0, max(1, len(words) // 6) + 1))] = r.integers(0, 500)
+            sets.append(r.permutation(np.unique(words) * 7 - 900))
+        two = trial % 2
+        frame = pd.DataFrame({"cid": 1, "kind": 0, "left": 0, "right": two, "node": np.arange(n) + 1000, "cluster": r.integers(0, n, n), "side": r.integers(0, 2, n), "shingles": sets})
+        want = Forest(n)
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                near = both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9
+                if near and frame["cluster"][i] != frame["cluster"][j] and (not two or frame["side"][i] != frame["side"][j]):
+                    want.join(np.array([i]), np.array([j]))
+        for dense, tile in ((1e9, 512), (-1e9, 512), (-1e9, 7)):
+            monkeypatch.setattr(copies, "DENSE", dense)
+            monkeypatch.setattr(copies, "TILE", tile)
+            found, got = copies._pairs(0.8)(frame), Forest(n)
+            got.join(found["a"].to_numpy(dtype=int) - 1000, found["b"].to_numpy(dtype=int) - 1000)
+            assert (got.all_roots() == want.all_roots()).all()
+
+
 def test_near_copies_odd(odd, none):
     kept = copies.keep_one(odd)
     assert kept.columns == odd.columns and copies.keep_one(none).count() == 0
