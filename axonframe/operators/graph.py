@@ -13,6 +13,10 @@ from .events import prefix_sums
 
 #: Sources of a block when offsets are summed.
 BLOCK = 1024
+#: Bytes of a table of nodes that goes to all executors, at most.
+MOST_BROADCAST = 16 << 20
+#: Maps that the edges of a source are held in while they are looked up.
+BUCKETS = 64
 
 
 def square_torus(spark: SparkSession, side: int) -> DataFrame:
@@ -104,6 +108,29 @@ def in_network(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("src", "dst", "is_parent", "src_known", "dst_known")
 
 
+def linked(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``nodes`` (node, ...) with whether each has any edge, as ``name``."""
+    known = edges.select(F.col("src").alias("node")).distinct().unionByName(edges.select(F.col("dst").alias("node")).distinct()).distinct()
+    return nodes.join(known.withColumn(name, F.lit(True)), "node", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def grid(sources: DataFrame, targets: DataFrame, edges: DataFrame, *values: str) -> DataFrame:
+    """All pairs of ``sources`` (src, part, ...) and ``targets`` (dst, part, ...) that share a part, with ``edge``: the struct of
+    ``values`` of the edge from one to the other, null if there is none. No pair may be there twice in ``edges`` (src, dst, ...).
+
+    There are many more pairs than edges, so edges go to the pairs and pairs are never shuffled: edges within a part are
+    gathered at their source, in ``BUCKETS`` maps by target, and looked up as the targets are joined to it.
+    """
+    count = targets.count() * 8 * len(targets.columns)
+    few = F.broadcast if count <= MOST_BROADCAST else lambda table: table
+    bucket = F.pmod("dst", F.lit(BUCKETS)).cast("int")
+    inside = edges.join(few(targets.select("dst", "part").distinct()), "dst").join(sources.select("src", "part").distinct(), ["src", "part"])
+    maps = inside.groupBy("src", "part", bucket.alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct("dst", F.struct(*values)))).alias("m"))
+    held = maps.groupBy("src", "part").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "m"))).alias("_held"))
+    pairs = sources.join(held, ["src", "part"], "left").join(few(targets), "part")
+    return pairs.withColumn("edge", F.try_element_at(F.try_element_at("_held", bucket), F.col("dst"))).drop("_held")
+
+
 def from_adjacency(rows: DataFrame, nodes: int | None = None) -> DataFrame:
     """Edges (src, dst, position) of adjacency lists (node, targets): row i lists the targets of i.
 

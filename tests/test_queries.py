@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from axonframe.operators import catalogue
+from axonframe.operators import catalogue, graph
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,6 +42,27 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["membership"])
+def test_pairs_are_not_shuffled(spark, name):
+    """All pairs of a nation's customers and suppliers are made after the last shuffle."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [part" in plan.split("Exchange")[0]
+
+
+@pytest.mark.parametrize("few", [0, 16 << 20])
+def test_grid_against_all_pairs(spark, monkeypatch, few):
+    """Repeated and unknown nodes, null parts and keys, negative targets, a source of very many edges."""
+    monkeypatch.setattr(graph, "MOST_BROADCAST", few)
+    sources = [(1, 0), (2, 0), (3, 1), (3, 1), (4, None), (5, 7), (None, 0)]
+    targets = [(d, d % 3) for d in range(-150, 450)] + [(900, None), (9, 0), (None, 1)]
+    edges = [(1, d, d / 8) for d in range(-150, 450)] + [(2, 9, None), (3, 10, 1.0), (3, 9, 2.0), (4, 9, 3.0), (77, 9, 4.0), (3, 5000, 5.0)]
+    found = graph.grid(spark.createDataFrame(sources, "src long, part int"), spark.createDataFrame(targets, "dst long, part int"), spark.createDataFrame(edges, "src long, dst long, w double"), "w")
+    known = {(s, d): w for s, d, w in edges}
+    want = [(s, d, (s, d) in known, known.get((s, d))) for s, p in sources for d, q in targets if p is not None and p == q]
+    got = [(r.src, r.dst, r.edge is not None, r.edge.w if r.edge else None) for r in found.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_entry_module():
     import __spark_entry__ as e
 
