@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.strings import three_decimals
 from . import events as E
 from .registry import SPK, edges, EDGE, neurons, query, spikes, table
 
@@ -101,13 +102,13 @@ SELECTIONS = "s AS (SELECT c_custkey AS neuron, c_mktsegment || '/' || c_custkey
 
 
 def selected(spark, sf_dir):
-    chosen = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("neuron"), F.concat_ws("/", "c_mktsegment", F.col("c_custkey").cast("string")).alias("selection"))
+    chosen = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("neuron"), F.concat("c_mktsegment", F.lit("/"), F.col("c_custkey").cast("string")).alias("selection"))
     return spikes(spark, sf_dir).join(chosen, "neuron")
 
 
 @query(f"WITH {SPK}, {SELECTIONS} SELECT event_id, printf('%.3f', t_us / 1e6) || chr(9) || selection AS line FROM spk JOIN s USING (neuron)")
 def spike_selection_time_id(spark, sf_dir):
-    return selected(spark, sf_dir).select("event_id", F.format_string("%.3f\t%s", F.col("t_us") / 1e6, "selection").alias("line"))
+    return selected(spark, sf_dir).select("event_id", F.concat(three_decimals(F.col("t_us") / 1e6), F.lit("\t"), "selection").alias("line"))
 
 
 @query(f"WITH {SPK}, {SELECTIONS} SELECT event_id, selection || chr(9) || printf('%.3f', t_us / 1e6) AS line FROM spk JOIN s USING (neuron)")

@@ -42,6 +42,25 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+TIMES = [62_500, 187_500, 500, 1_500, 128_062_500, -62_500, -187_500, -500, -1, 0, 1, 499, 999_500, 1_704_067_211_172_500, 1_704_067_211_173_500, 253_402_300_799_999_500, None]
+
+
+@pytest.mark.parametrize("name", ["spike_selection_time_id"])
+def test_selected_spikes_between_two_milliseconds(spark, tmp_path, name):
+    """Times half-way between two milliseconds, times before 1970, and nulls."""
+    duck = duckdb.connect()
+    duck.execute("SET timezone = 'UTC'")
+    rows = [(i, 3 + i % 2 * 3, t) for i, t in enumerate(TIMES + [1_704_067_200_000_500 + 1_000_003_000 * k for k in range(200)])]
+    duck.execute("CREATE TABLE e (event_id BIGINT, user_id BIGINT, t BIGINT)")
+    duck.executemany("INSERT INTO e VALUES (?, ?, ?)", rows)
+    duck.execute(f"COPY (SELECT event_id, user_id, make_timestamp(t) AS ts, 'view' AS event_type, 1.0 AS value FROM e) TO '{tmp_path}/events.parquet'")
+    duck.execute(f"COPY (SELECT * FROM (VALUES (3::BIGINT, 'A'), (6::BIGINT, NULL)) t(c_custkey, c_mktsegment)) TO '{tmp_path}/customer.parquet'")
+    for t in ("events", "customer"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, want = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas(), duck.execute(catalogue.ORACLE_SQL[name]).df()
+    assert len(got) == len(rows) and normal(got) == normal(want)
+
+
 @pytest.mark.parametrize("name", ["membership", "non_edge_reads_zero"])
 def test_pairs_are_not_shuffled(spark, name):
     """All pairs of a nation's customers and suppliers are made after the last shuffle."""
