@@ -113,7 +113,7 @@ def spike_selection_time_id(spark, sf_dir):
 
 @query(f"WITH {SPK}, {SELECTIONS} SELECT event_id, selection || chr(9) || printf('%.3f', t_us / 1e6) AS line FROM spk JOIN s USING (neuron)")
 def spike_selection_id_time(spark, sf_dir):
-    return selected(spark, sf_dir).select("event_id", F.format_string("%s\t%.3f", "selection", F.col("t_us") / 1e6).alias("line"))
+    return selected(spark, sf_dir).select("event_id", F.concat("selection", F.lit("\t"), three_decimals(F.col("t_us") / 1e6)).alias("line"))
 
 
 @query(f"""WITH {SPK}, b AS (SELECT t_us // 3600000000 AS bin, event_type FROM spk)

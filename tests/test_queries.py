@@ -45,7 +45,7 @@ def test_runs(spark, name):
 TIMES = [62_500, 187_500, 500, 1_500, 128_062_500, -62_500, -187_500, -500, -1, 0, 1, 499, 999_500, 1_704_067_211_172_500, 1_704_067_211_173_500, 253_402_300_799_999_500, None]
 
 
-@pytest.mark.parametrize("name", ["spike_selection_time_id"])
+@pytest.mark.parametrize("name", ["spike_selection_time_id", "spike_selection_id_time"])
 def test_selected_spikes_between_two_milliseconds(spark, tmp_path, name):
     """Times half-way between two milliseconds, times before 1970, and nulls."""
     duck = duckdb.connect()
