@@ -51,18 +51,27 @@ def scaled(edges: DataFrame) -> tuple[DataFrame, float]:
     return stored(out.withColumn("w", 1 / F.pow(F.greatest(F.abs("value"), F.lit(1.0)), F.lit(2.0))), "plane"), unit
 
 
-def _product(a: str, b: str) -> Column:
+#: Products of rows of so many lanes at most are written out, which Spark compiles.
+WRITTEN_OUT = 16
+#: Bytes of all rows, up to which they go to all executors when they are joined to edges.
+MOST_BROADCAST = 16 << 20
+
+
+def _product(a: str, b: str, lanes: int | None = None) -> Column:
+    if lanes and lanes <= WRITTEN_OUT:
+        return sum((F.get(a, F.lit(k)) * F.get(b, F.lit(k)) for k in range(lanes)), F.lit(0.0))
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _with_rows(plane: DataFrame, u: DataFrame, v: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    return plane.join(u.select(F.col("node").alias("src"), F.col("lanes").alias(a)), "src").join(v.select(F.col("node").alias("dst"), F.col("lanes").alias(b)), "dst")
+def _with_rows(plane: DataFrame, u: DataFrame, v: DataFrame, a: str = "a", b: str = "b", few: bool = False) -> DataFrame:
+    sent = F.broadcast if few else lambda rows: rows
+    return plane.join(sent(u.select(F.col("node").alias("src"), F.col("lanes").alias(a))), "src").join(sent(v.select(F.col("node").alias("dst"), F.col("lanes").alias(b))), "dst")
 
 
-def worst_error(plane: DataFrame, u: DataFrame, v: DataFrame) -> float:
+def worst_error(plane: DataFrame, u: DataFrame, v: DataFrame, lanes: int | None = None, few: bool = False) -> float:
     """Largest |fit - value| / max(|value|, 1) over all edges of a scaled plane."""
-    error = F.abs(_product("a", "b") - F.col("value")) * F.sqrt("w")
-    found = _with_rows(plane, u, v).agg(F.max(error).alias("e")).first().e
+    error = F.abs(_product("a", "b", lanes) - F.col("value")) * F.sqrt("w")
+    found = _with_rows(plane, u, v, few=few).agg(F.max(error).alias("e")).first().e
     return 0.0 if found is None else float(found)
 
 
@@ -91,11 +100,10 @@ def balanced(u: DataFrame, v: DataFrame, lanes: int) -> tuple[DataFrame, DataFra
     return times(u, factors), times(v, [1 / f for f in factors])
 
 
-def solve_side(plane: DataFrame, other: DataFrame, side: str, against: str, lanes: int, ridge: float = RIDGE) -> DataFrame:
-    """Rows of ``side`` that fit all its edges best, given the rows of the other side.
+def _normal(plane: DataFrame, other: DataFrame, side: str, against: str, lanes: int, use, kinds: str) -> DataFrame:
+    """What ``use(matrices, right sides)`` gives for the normal equations of each node of ``side``, given the rows of the other side.
 
-    The sums of each node's normal equations are added up before the shuffle, so a
-    node of very many edges is no burden; a task then solves one small system a node.
+    The sums of each node are added up before the shuffle, so a node of very many edges is no burden.
     """
     both = plane.join(other.select(F.col("node").alias(against), F.col("lanes").alias("x")), against)
     pairs = [F.sum(F.col("w") * F.get("x", F.lit(i)) * F.get("x", F.lit(j))) for i in range(lanes) for j in range(i, lanes)]
@@ -103,7 +111,7 @@ def solve_side(plane: DataFrame, other: DataFrame, side: str, against: str, lane
     sums = both.groupBy(F.col(side).alias("node")).agg(F.array(*pairs, *right).alias("s"))
     upper = np.triu_indices(lanes)
 
-    def solve(batches):
+    def run(batches):
         for frame in batches:
             if not len(frame):
                 continue
@@ -111,10 +119,29 @@ def solve_side(plane: DataFrame, other: DataFrame, side: str, against: str, lane
             m = np.zeros((len(s), lanes, lanes))
             m[:, upper[0], upper[1]] = s[:, : len(upper[0])]
             m[:, upper[1], upper[0]] = s[:, : len(upper[0])]
-            m += ridge * np.eye(lanes)
-            yield pd.DataFrame({"node": frame["node"], "lanes": list(np.linalg.solve(m, s[:, len(upper[0]) :, None])[:, :, 0])})
+            yield pd.DataFrame({"node": frame["node"]} | use(m, s[:, len(upper[0]) :, None]))
+
+    return sums.mapInPandas(run, f"node long, {kinds}")
+
+
+def solve_side(plane: DataFrame, other: DataFrame, side: str, against: str, lanes: int, ridge: float = RIDGE) -> DataFrame:
+    """Rows of ``side`` that fit all its edges best, given the rows of the other side; a task solves one small system a node."""
+    solve = lambda m, right: {"lanes": list(np.linalg.solve(m + ridge * np.eye(lanes), right)[:, :, 0])}
+    return _normal(plane, other, side, against, lanes, solve, "lanes array<double>")
 
-    return sums.mapInPandas(solve, "node long, lanes array<double>")
+
+def _units(plane: DataFrame, other: DataFrame, side: str, against: str, lanes: int, ridge: float) -> DataFrame:
+    """For each node of ``side`` the rows of a matrix, and its columns: the inverse of the lower factor of the node's own curvature.
+
+    A hundredth of its mean is added to the curvature, so that nodes of few edges take no far steps where these say nothing.
+    """
+
+    def factor(m, _):
+        trace = np.trace(m, axis1=1, axis2=2)[:, None, None]
+        inverse = np.linalg.inv(np.linalg.cholesky(m + (ridge + np.where(trace > 0, 1e-2 * trace / lanes, 1.0)) * np.eye(lanes)))
+        return {"rows": [x.tolist() for x in inverse], "columns": [x.T.tolist() for x in inverse]}
+
+    return _normal(plane, other, side, against, lanes, factor, "rows array<array<double>>, columns array<array<double>>")
 
 
 def _moved(rows: DataFrame, new: DataFrame) -> DataFrame:
@@ -148,9 +175,9 @@ def alternate(plane: DataFrame, lanes: int, tolerance: float = 0.0, sweeps: int
     return Fit(best.u, best.v, best.error, len(after) - 1)
 
 
-def _gradient(plane: DataFrame, u: DataFrame, v: DataFrame, lanes: int, ridge: float) -> tuple[DataFrame, DataFrame]:
+def _gradient(plane: DataFrame, u: DataFrame, v: DataFrame, lanes: int, ridge: float, few: bool = False) -> tuple[DataFrame, DataFrame]:
     """Derivatives of the objective by all rows: (node, lanes) of either side."""
-    pull = _with_rows(plane, u, v).withColumn("r", F.col("w") * (_product("a", "b") - F.col("value")))
+    pull = _with_rows(plane, u, v, few=few).withColumn("r", F.col("w") * (_product("a", "b", lanes) - F.col("value")))
 
     def of(rows: DataFrame, side: str, against: str) -> DataFrame:
         sums = pull.groupBy(F.col(side).alias("node")).agg(F.array(*[F.sum(F.get(against, F.lit(k)) * F.col("r")) for k in range(lanes)]).alias("g"))
@@ -190,20 +217,26 @@ def quasi_newton(plane: DataFrame, lanes: int, tolerance: float = 0.0, steps: in
     driver sees their dot products. Along a direction the objective is a polynomial of
     degree four, whose coefficients one pass over the edges adds up, so the first low
     is found exactly: there the slope is zero, which is within any Wolfe condition.
+    Each node's derivatives are taken in units of its own curvature at the start, else
+    nodes of many edges and of few would need very many steps.
     """
     u, v = start or start_rows(plane, lanes)
     side = lambda rows, name: rows.select(F.lit(name).alias("side"), "node", "lanes")
     both = lambda pair: side(pair[0], "u").unionByName(side(pair[1], "v"))
     join = lambda x, g: x.withColumnRenamed("lanes", "x").join(g.withColumnRenamed("lanes", "g"), ["side", "node"])
-    state = stored(join(both((u, v)), both(_gradient(plane, u, v, lanes, ridge))).withColumn("s", F.array().cast("array<array<double>>")).withColumn("y", F.array().cast("array<array<double>>")), "state")
-    best, since, pairs = Fit(u, v, worst_error(plane, u, v), 0), 0, 0
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    times = lambda matrix, x: F.transform(matrix, lambda row: dot(row, x))
+    few = (u.count() + v.count()) * (8 * lanes + 24) <= MOST_BROADCAST
+    units = _units(plane, v, "src", "dst", lanes, ridge).withColumn("side", F.lit("u")).unionByName(_units(plane, u, "dst", "src", lanes, ridge).withColumn("side", F.lit("v")))
+    state = join(both((u, v)), both(_gradient(plane, u, v, lanes, ridge, few))).join(units, ["side", "node"]).withColumn("g", times("rows", F.col("g")))
+    state = stored(state.withColumn("s", F.array().cast("array<array<double>>")).withColumn("y", F.array().cast("array<array<double>>")), "state")
+    best, since, pairs = Fit(u, v, worst_error(plane, u, v, lanes, few), 0), 0, 0
     for step in range(1, steps + 1):
         if best.error <= tolerance or since >= STALL_STEPS:
             break
         vectors = [F.get("s", F.lit(i)) for i in range(pairs)] + [F.get("y", F.lit(i)) for i in range(pairs)] + [F.col("g")]
         upper = [(i, j) for i in range(len(vectors)) for j in range(i, len(vectors))]
-        sums = state.agg(F.array(*[F.sum(dot(vectors[i], vectors[j])) for i, j in upper]).alias("d"), F.array(*[F.sum(dot(F.col("x"), x)) for x in vectors]).alias("x")).first()
+        sums = state.agg(F.array(*[F.sum(dot(vectors[i], vectors[j])) for i, j in upper]).alias("d")).first()
         gram = np.zeros((len(vectors), len(vectors)))
         for (i, j), value in zip(upper, sums.d):
             gram[i, j] = gram[j, i] = value
@@ -214,23 +247,24 @@ def quasi_newton(plane: DataFrame, lanes: int, tolerance: float = 0.0, steps: in
             weights = np.zeros(len(vectors))
             weights[-1] = -1.0
         along = F.transform("g", lambda _, k: sum((F.lit(float(w)) * F.get(x, k) for w, x in zip(weights, vectors)), F.lit(0.0)))
-        state = state.withColumn("d", along)
+        state = state.withColumn("e", along).withColumn("d", times("columns", F.col("e")))
         rows = lambda name, column: state.where(F.col("side") == name).select("node", F.col(column).alias("lanes"))  # noqa: E731,B023
-        lines = _with_rows(_with_rows(plane, rows("u", "x"), rows("v", "x")), rows("u", "d"), rows("v", "d"), "da", "db")
-        a, b, c = _product("a", "b") - F.col("value"), _product("a", "db") + _product("da", "b"), _product("da", "db")
+        lines = _with_rows(_with_rows(plane, rows("u", "x"), rows("v", "x"), few=few), rows("u", "d"), rows("v", "d"), "da", "db", few)
+        a, b, c = _product("a", "b", lanes) - F.col("value"), _product("a", "db", lanes) + _product("da", "b", lanes), _product("da", "db", lanes)
         terms = {"p0": a * a / 2, "p1": a * b, "p2": b * b / 2 + a * c, "p3": b * c, "p4": c * c / 2}
         p = lines.agg(*[F.sum(F.col("w") * t).alias(k) for k, t in terms.items()]).first()
-        t = best_step(np.array([p.p0, p.p1 + ridge * (weights @ np.array(sums.x)), p.p2 + ridge * (weights @ gram @ weights) / 2, p.p3, p.p4]))
+        own = state.agg(F.sum(dot("x", "d")).alias("xd"), F.sum(dot("d", "d")).alias("dd")).first()
+        t = best_step(np.array([p.p0, p.p1 + ridge * own.xd, p.p2 + ridge * own.dd / 2, p.p3, p.p4]))
         if t <= 0:
             break
-        moved = state.select("side", "node", F.zip_with("x", "d", lambda x, d: x + t * d).alias("x"), "g", F.transform("d", lambda d: d * t).alias("now"), "s", "y")
+        moved = state.select("side", "node", F.zip_with("x", "d", lambda x, d: x + t * d).alias("x"), "g", F.transform("e", lambda e: e * t).alias("now"), "s", "y", "rows", "columns")
         moved = stored(moved, "moved")
         u, v = (moved.where(F.col("side") == n).select("node", F.col("x").alias("lanes")) for n in ("u", "v"))
-        g = both(_gradient(plane, u, v, lanes, ridge)).withColumnRenamed("lanes", "new")
+        g = both(_gradient(plane, u, v, lanes, ridge, few)).withColumnRenamed("lanes", "new")
         keep = lambda old, new: F.slice(F.concat(old, F.array(new)), F.greatest(F.lit(1), F.size(old) + 2 - HISTORY), HISTORY)
-        state = stored(moved.join(g, ["side", "node"]).select("side", "node", "x", F.col("new").alias("g"), keep(F.col("s"), F.col("now")).alias("s"), keep(F.col("y"), F.zip_with("new", "g", lambda a, b: a - b)).alias("y")), "state")
+        state = stored(moved.join(g, ["side", "node"]).withColumn("new", times("rows", F.col("new"))).select("side", "node", "x", F.col("new").alias("g"), keep(F.col("s"), F.col("now")).alias("s"), keep(F.col("y"), F.zip_with("new", "g", lambda a, b: a - b)).alias("y"), "rows", "columns"), "state")
         pairs = min(pairs + 1, HISTORY)
-        error = worst_error(plane, u, v)
+        error = worst_error(plane, u, v, lanes, few)
         since = since + 1 if error > (1 - STALL_GAIN) * best.error else 0
         if error < best.error:
             best = Fit(u, v, error, step)

@@ -217,3 +217,12 @@ def test_lanes_are_taken_released_and_moved():
     with pytest.raises(ValueError):
         lanes.release("c")
         lanes.share("a", 3)
+
+
+def test_quasi_newton_takes_few_steps(spark):
+    """Sources of 1 to 60 edges: the fit of two lanes is there after five steps, not after dozens."""
+    edges = spark.range(400).selectExpr("id AS src", "explode(sequence(0L, id % 60)) AS k").selectExpr("src", "(src * 31 + k * 7) % 83 AS dst", "CAST(1 + src % 7 + (src * 31 + k * 7) % 83 % 5 AS double) AS weight")
+    plane, _ = Fa.scaled(edges)
+    found = Fa.quasi_newton(plane, 2, 1e-2, steps=5)
+    assert found.error <= 1e-2
+    assert Fa.worst_error(plane, found.u, found.v) == pytest.approx(found.error, rel=1e-9)
